@@ -18,8 +18,10 @@ Spark writes and commits both tables, so a lost executor or a repeated task leav
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,8 +41,11 @@ BLOCK_IDS = 1 << 17  #: a block ends with the document that brings it to so many
 LANES = 512
 STEPS = 128  #: steps between checkpoints
 PART_BYTES = 16 << 20  #: of text for each range of doc_id
-CACHED_CHUNKS, CACHED_WORDS = 400_000, 800_000  #: entries that a Python worker remembers
-BATCH_CHARS = 4 << 20
+CACHED_WORDS = 900_000  #: words that a Python worker remembers before it starts afresh
+BATCH_CHARS = 2 << 20
+
+#: how the pre-tokenizer cuts a normalised text; fixed by the tokenizer's file
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
@@ -135,11 +140,12 @@ class Coder:
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, remembered for each run between spaces and for each word.
+    """Ids of texts by the tokenizers library, remembered for each word.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its parts between spaces.
-    Parts of plain Latin letters and sentence marks are cut further, where the pre-tokenizer cuts them, and lower-cased,
-    as its normaliser does; all other parts go to the library whole.
+    For a tokenizer that lower-cases and cuts by WORDS, texts of ASCII and Latin-1 letters are cut here the same way, and
+    each word goes to the library's model once.  Other texts are taken run by run between spaces, since the tokenizer
+    drops white space and never joins across it; runs with other characters go to the library as they are, and so do
+    whole texts where the tokenizer is of another make.
     """
 
     def __init__(self, path: str):
@@ -148,49 +154,60 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.chunks: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        made = json.loads(self.library.to_str())
+        self.known_make = WORDS in json.dumps(made["pre_tokenizer"], ensure_ascii=False) and [n.get("type") for n in made["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.words: dict[str, bytes] = {}
-        # letters that normalisation only lower-cases, and marks that the pre-tokenizer keeps together
-        self.simple = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]++|[.,;:!?]++)*+\Z")
-        self.parts = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?]+")
+        self.plain = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
-    def _bytes(self, encodings) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in encodings]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, wanted: set[str]) -> None:
-        missing = list(wanted.difference(self.words))
-        if len(self.words) + len(missing) > CACHED_WORDS:
+    def _learn(self, wanted: set[str]) -> None:
+        if len(self.words) + len(wanted) > CACHED_WORDS:
             self.words.clear()
-            missing = list(wanted)
-        got = self._bytes(self.library.encode_batch_fast(missing, add_special_tokens=False))
-        self.words.update(zip(missing, got, strict=True))
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Puts new chunks' ids into ``chunks``."""
-        split, whole = [], []
-        for c in chunks:
-            if self.simple.match(c):
-                split.append((c, self.parts.findall(c.lower())))
+        model, words, code = self.library.model, self.words, self.code
+        odd = []
+        for w in wanted:
+            if w.isascii():  # bytes below 128 stand for themselves in the model's alphabet
+                words[w] = array(code, [t.id for t in model.tokenize(w)]).tobytes()
             else:
-                whole.append(c)
-        self._words({w for _, ws in split for w in ws})
-        words = self.words
-        for c, ws in split:
-            self.chunks[c] = b"".join([words[w] for w in ws])
-        self.chunks.update(zip(whole, self._bytes(self.library.encode_batch_fast(whole, add_special_tokens=False)), strict=True))
+                odd.append(w)
+        for k in range(0, len(odd), 4096):
+            words.update(zip(odd[k : k + 4096], self._whole(odd[k : k + 4096]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        get = self.chunks.get
-        found = [list(map(get, parts)) for parts in cut]
-        missing = {p for parts, got in zip(cut, found, strict=True) if None in got for p, g in zip(parts, got, strict=True) if g is None}
+        if not self.known_make:
+            return self._whole(texts)
+        plain, cut = self.plain.fullmatch, self.cut.findall
+        pieces: list[tuple[int, str, bool]] = []  # text number, piece, whether it is plain
+        for i, t in enumerate(texts):
+            if plain(t):
+                pieces.append((i, t, True))
+            else:
+                pieces += [(i, c, plain(c) is not None) for c in t.split(" ")]
+        tokens = [cut(p.lower()) if ok else None for _, p, ok in pieces]
+        found = self._ids(tokens)
+        other = iter(self._whole([p for _, p, ok in pieces if not ok]))
+        out: list[list[bytes]] = [[] for _ in texts]
+        for (i, _, ok), x in zip(pieces, found, strict=True):
+            out[i].append(x if ok else next(other))
+        return [b"".join(x) for x in out]
+
+    def _ids(self, tokens: list[list[str] | None]) -> list[bytes]:
+        get = self.words.get
+        found = [list(map(get, ts or ())) for ts in tokens]
+        short = [k for k, got in enumerate(found) if None in got]
+        missing = {t for k in short for t, g in zip(tokens[k], found[k], strict=True) if g is None}
         if missing:
-            if len(self.chunks) + len(missing) > CACHED_CHUNKS:
-                self.chunks.clear()
-            self._learn(list(missing))
-            known = self.chunks
-            found = [[known[p] if g is None else g for p, g in zip(parts, got, strict=True)] if None in got else got for parts, got in zip(cut, found, strict=True)]
-        return [b"".join(f) for f in found]
+            self._learn(missing)
+            for k in short:
+                again = list(map(get, tokens[k]))
+                if None in again:  # the cache was cleared meanwhile
+                    again = [g if a is None else a for a, g in zip(again, found[k], strict=True)]
+                found[k] = again
+        return [b"".join(got) for got in found]
 
 
 @lru_cache(maxsize=2)
