@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioflow.llm import bpe_pieces, decontaminate, personal_data, token_store, toxicity
+from folioflow.llm import bpe_pieces, compaction, decontaminate, jaccard, nearest, personal_data, substring_dedup, token_store, toxicity, url_filter
+from folioflow.llm.common import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,14 +22,32 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_in_documents(_read(spark, sf_dir, "documents"))
 
 
+def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compaction.compacted(_read(spark, sf_dir, "documents"), shared_dir(spark, "shards"))
+    return rows.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    return url_filter.judge(_read(spark, sf_dir, "pages"), labels)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(_read(spark, sf_dir, "documents"))
 
@@ -36,9 +56,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_pieces.encode_documents(_read(spark, sf_dir, "documents"), digest=True)
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_personal_data, op3_decontaminate, op6_toxicity, op8_token_store, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_personal_data, op2_compaction, op3_decontaminate, op4_url_filter, op5_substring_dedup, op6_toxicity, op7_jaccard_join, op8_token_store, op9_byte_bpe, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_compaction": compaction.SQL, "op5_substring_dedup": substring_dedup.SQL, "op7_jaccard_join": jaccard.SQL}

@@ -211,3 +211,19 @@ def predict(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFra
     """Fits on the labelled rows that are not held out and scores every document: doc_id, held_out, score, predicted."""
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))), rows)
     return score(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def reject(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` without the rows that score 0.5 or more; all columns stay as they are.
+
+    The model is the one of ``predict``.  Scores are computed beside the rows, so nothing is joined.
+    """
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))), rows)
+    bias = model.bias
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for part, texts in slices(batches):
+            yield part.filter(pa.array(score_texts(texts, table, bias) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
