@@ -1,0 +1,6 @@
+"""Registered queries; importing this package registers all of them."""
+
+from folioflow.plans import feed_queries, search_queries, text_queries, usage_queries
+from folioflow.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "feed_queries", "search_queries", "text_queries", "usage_queries"]
