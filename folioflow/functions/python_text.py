@@ -147,7 +147,7 @@ def emitted_frontmatter(keys: list[str], values: dict[str, str], text: str) -> s
 
     if not len(keys):
         return text
-    block = "".join(yaml.safe_dump({k: json.loads(values[k])}, allow_unicode=True, sort_keys=False, default_flow_style=None, width=2**30) for k in keys)
+    block = "".join(yaml.safe_dump({k: json.loads(values[k])}, allow_unicode=True, sort_keys=False, default_flow_style=False, width=2**30) for k in keys)
     return f"---\n{block}---\n{text}"
 
 

@@ -121,7 +121,7 @@ def compaction_due(state_bytes: Column, clients: Column) -> Column:
 
 def retry_after(now: Column, kind: Column) -> Column:
     seconds = F.when(kind == "transient", 300).when(kind == "persistent", 21_600).otherwise(1_800)
-    return F.timestampadd("SECOND", seconds, now)
+    return F.timestamp_add("SECOND", seconds, now)
 
 
 def embed_priority(embed_hash: Column) -> Column:
