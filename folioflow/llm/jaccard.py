@@ -14,8 +14,8 @@ each (the prefix).  The work goes in these steps:
    remaining lengths can't reach the threshold and those that are already linked to it.
 5. Linked nodes, and the documents with equal sets, share a component.
 
-No link is lost: every filter is a bound.  A block of more than BLOCK documents is dealt into chunks, and each pair of
-chunks is one task.
+No link is lost: every filter is a bound.  A block with more than BLOCK_ITEMS n-grams is dealt into chunks, and each
+pair of chunks is one task.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ from folioflow.llm.common import NULL_ID, Rolling, Words, materialise, mix, slic
 FREQUENT_SHARE = 1 / 400  #: of a task's documents
 FREQUENT = 100_000  #: n-grams in the hint at most
 CLASSES = 64
-BLOCK = 3_000
+BLOCK_ITEMS = 2_000_000  #: n-grams of all sets that one task links
 BROADCAST_ROWS = 1_000_000  #: rows of two numbers that are broadcast at most; more are joined by a shuffle
-_TASK_ITEMS = 4_000_000
+_TASK_ITEMS = 1_000_000
 _BUCKET_ITEMS = 300_000
 _TOP = np.uint64(1 << 63)
 
@@ -410,8 +410,9 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
 def _linked(rows: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percent: int) -> DataFrame:
     """node, root for the nodes of all blocks, by tries over their texts."""
-    chunks = blocks.groupBy("root").agg(F.count("*").alias("size")).withColumn("chunks", F.when(F.col("size") > BLOCK, F.ceil(F.col("size") / (BLOCK // 2))).otherwise(1).cast("int"))
-    placed = blocks.withColumnRenamed("root", "block").join(chunks.withColumnRenamed("root", "block"), "block").join(nodes.select("node", "key"), "node")
+    sized = blocks.withColumnRenamed("root", "block").join(nodes.select("node", "key", "n_shingles"), "node")
+    chunks = sized.groupBy("block").agg(F.sum("n_shingles").alias("size")).withColumn("chunks", F.when(F.col("size") > BLOCK_ITEMS, F.ceil(F.col("size") * 2 / BLOCK_ITEMS)).otherwise(1).cast("int"))
+    placed = sized.join(chunks, "block")
     # a node stands for the document with its smallest key
     texts = rows.select(_key(F.col("doc_id"), F.col("text_hash")).alias("key"), "text").join(_few(placed.select("node", "block", "chunks", "key")), "key")
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -421,7 +422,7 @@ def _linked(rows: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percen
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "task"):
             node = table["node"].to_pylist()
-            grams = gram_sets([t or b"" for t in table["text"].cast(pa.binary()).to_pylist()], n)
+            grams = [g for batch in table.to_batches() for _, texts in slices([batch]) for g in gram_sets(texts, n)]
             if len(node) > 1:
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([node[r] for r in link_sets(grams, percent)], pa.int64())], ["a", "b"])
 

@@ -58,7 +58,7 @@ def test_same_as_brute_force(spark, documents, seed, n, percent):
 
 def test_large_blocks_are_dealt_and_frequent_grams_come_last(spark, documents, monkeypatch):
     rows = corpus(3)
-    monkeypatch.setattr(J, "BLOCK", 6)
+    monkeypatch.setattr(J, "BLOCK_ITEMS", 300)
     monkeypatch.setattr(J, "FREQUENT_SHARE", 0.02)
     assert len(J.frequent(J._rows(documents(rows)), 3))
     assert answer(spark, documents, rows, 3, 90) == brute(rows, 3, 90)
