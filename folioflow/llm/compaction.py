@@ -24,6 +24,7 @@ TARGET_BYTES = 128 << 20
 FAN_IN = 4
 SMALLEST = 64 << 10  #: bytes up to which a shard is in tier 0
 ARRIVAL_ROWS = 2_000  #: rows of an arriving shard at most
+PLAN_ROWS = 100_000  #: shards of a plan that is broadcast; a larger one is joined by a shuffle
 
 MANIFEST = "shard string, n_rows bigint, n_bytes bigint, tier int, added bigint"
 
@@ -116,6 +117,7 @@ class ShardStore:
         pairs = self.spark.createDataFrame([(r["shard"], names[r["group"]]) for r in due], "_shard string, _group int")
         rows = self.spark.read.parquet(*[r["shard"] for r in due]).withColumn("_file", F.col("_metadata.file_path"))
         columns = [c for c in rows.columns if c != "_file"]
+        pairs = F.broadcast(pairs) if len(due) <= PLAN_ROWS else pairs  # a row for each small shard
         rows = rows.join(pairs, rows["_file"] == pairs["_shard"]).select(*columns, "_group")
         rows.repartition(len(names), "_group").write.partitionBy("_group").option("compression", "zstd").parquet(folder)
         merged = self._listed(folder, version + 1)
