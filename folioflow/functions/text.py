@@ -122,6 +122,12 @@ def rendered(content: Column, note_title: Column, note_tags: Column) -> Column:
     return F.concat(head, line, content)
 
 
+def origin_rules(app: str, desktop: tuple[str, ...] = ()) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """Classes of user agents in the order in which they are tried, for an application's own clients and the rest."""
+    own = (("plugin", (f"{app}-obsidian",)), ("mobile", (f"{app}-mobile",)), ("cli", (f"{app}-cli",)), ("web_spa", (f"{app}-web",)))
+    return (*own, ("mcp_desktop", desktop), ("mcp_other", ("mcp/", "modelcontext")), ("browser", ("mozilla", "chrome", "safari", "firefox")))
+
+
 def classified_origin(agent: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], other: str = "other") -> Column:
     """The first class of which a substring is in the lower-cased user agent; null or empty is ``unknown``."""
     low, out = F.lower(agent), F.when(agent.isNull() | (F.trim(agent) == ""), "unknown")

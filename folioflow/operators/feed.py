@@ -67,6 +67,12 @@ def merged_page(feeds: Sequence[DataFrame], seq: int, id_: object, limit: int, b
     return counted.where(F.col("_r") <= limit).select(*[c for c in both.columns if c not in ("has_more", "_feed")], more.alias("has_more"))
 
 
+def catch_up(feeds: Sequence[DataFrame], cursor: str, limit: int, budgets: Sequence[int | None] = ()) -> DataFrame:
+    """A merged page after a cursor ``seq`` or ``seq:id``; an id that is no number counts as none."""
+    seq, _, id_ = cursor.partition(":")
+    return merged_page(feeds, int(seq), int(id_) if id_.lstrip("-").isdigit() else None, limit, budgets)
+
+
 def manifest(notes: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
     """kind, id, path, content_hash and seq of all live files, by path."""
     columns = ["id", "path", "content_hash", "seq"]
@@ -149,6 +155,11 @@ def first_responses(requests: DataFrame, keys: Sequence[str], order: Sequence[st
     return requests.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
+def without(stored: DataFrame, keys: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``stored`` without the rows of the keys: by note, by vault, by user."""
+    return stored.join(keys.select(*by).distinct(), list(by), "left_anti").select(*stored.columns)
+
+
 def replaced_rows(stored: DataFrame, new: DataFrame, key: str = "note_id") -> DataFrame:
     """``stored`` with all rows of the keys in ``new`` replaced by those of ``new``."""
     return stored.join(new.select(key).distinct(), key, "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))

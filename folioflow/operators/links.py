@@ -108,6 +108,33 @@ def affected_sources(resolved: DataFrame, renamed: DataFrame) -> DataFrame:
     return resolved.join(renamed.select(F.col("note_id").alias("target_note_id")).distinct(), "target_note_id", "left_semi").select("source_note_id").distinct()
 
 
+def without_deleted(resolved: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Edges after notes were deleted: their own links go, links to them dangle."""
+    gone = deleted.select(F.col("note_id").alias("_gone")).distinct()
+    left = resolved.join(gone, resolved["source_note_id"] == gone["_gone"], "left_anti")
+    marked = left.join(gone, left["target_note_id"] == gone["_gone"], "left")
+    hit = F.col("_gone").isNotNull()
+    return marked.select(*[F.when(~hit, F.col(c)).alias(c) if c in ("target_note_id", "target_path") else (F.col("dangling") | hit).alias(c) if c == "dangling" else F.col(c) for c in resolved.columns])
+
+
+def rebound(edges: DataFrame, files: DataFrame, keys: DataFrame) -> DataFrame:
+    """Edges with the given basenames (vault_id, basename_key), resolved anew: after a file came, went or moved."""
+    return resolve(edges.join(keys.select("vault_id", "basename_key").distinct(), ["vault_id", "basename_key"], "left_semi"), files)
+
+
+def pre_rename_winners(edges: DataFrame, files: DataFrame, renames: DataFrame) -> DataFrame:
+    """Edges that resolved to a renamed note while it had its old path (note_id, old_path): those that a rename may rewrite."""
+    old = renames.select(F.col("note_id").alias("id"), "old_path")
+    before = files.join(old, "id", "left").select("vault_id", "id", F.coalesce("old_path", "path").alias("path"), "kind")
+    return resolve(edges, before).join(old.select(F.col("id").alias("target_note_id")), "target_note_id", "left_semi")
+
+
+def repairs(resolved: DataFrame, renames: DataFrame) -> DataFrame:
+    """Basenames that dangle although a recent rename (vault_id, old_path) left them."""
+    old = renames.select("vault_id", T.basename_key(F.col("old_path")).alias("basename_key")).distinct()
+    return danglers(resolved).select("vault_id", "basename_key").join(old, ["vault_id", "basename_key"], "left_semi")
+
+
 def rewritten(content: str, edits: list[tuple[int, int, str]]) -> str:
     """``content`` with byte ranges replaced, from right to left."""
     raw = content.encode()

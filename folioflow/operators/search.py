@@ -131,6 +131,11 @@ def rehydrate(hits: DataFrame, notes: DataFrame, key: str, columns: Sequence[str
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in hits.columns])
 
 
+def attach_ids(hits: DataFrame, notes: DataFrame) -> DataFrame:
+    """Hits with the note's id by vault and path; a path is looked up in its own vault only."""
+    return hits.join(notes.select("vault_id", F.col("path").alias("source_path"), "note_id"), ["vault_id", "source_path"], "left")
+
+
 def search(chunks: DataFrame, query: str, vector: Sequence[float] | None, mode: str = "hybrid", profile: Profile = Profile(), rerank: Callable[[DataFrame, str], DataFrame] | None = None, id_: str = "chunk_id", **filters) -> DataFrame:
     """The whole search over chunks (id, text, vector, vault_id, source_path and what the filters need).
 

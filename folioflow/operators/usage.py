@@ -68,6 +68,18 @@ def orphans(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
     return rows.join(owners, key, "left_anti").select(key).distinct()
 
 
+def decremented(counter: Column, by: Column) -> Column:
+    """A counter that never falls below 0."""
+    return F.greatest(F.lit(0), counter - by)
+
+
+def recounted(meters: DataFrame, notes: DataFrame, key: str = "user_id", counter: str = "notes_count") -> DataFrame:
+    """Meters whose counter isn't the number of live notes, with that number."""
+    real = notes.where(F.col("deleted_at").isNull()).groupBy(key).agg(F.count("*").alias("_real"))
+    joined = meters.join(real, key, "left").withColumn("real", F.coalesce("_real", F.lit(0)))
+    return joined.where(~F.col(counter).eqNullSafe(F.col("real"))).select(key, counter, "real")
+
+
 # --- caps and ladders -------------------------------------------------------------------------------------------------
 
 

@@ -50,6 +50,17 @@ def merged_feed_page(spark: SparkSession, folder: str) -> DataFrame:
     return feed.merged_page([_events(spark, folder), _conversations(spark, folder)], 10, 0, 50)
 
 
+@query(f"WITH {_EVENTS} SELECT seq, id, content_bytes::BIGINT AS content_bytes, true AS has_more FROM e WHERE seq > 40 ORDER BY seq, id LIMIT 20")
+def feed_catch_up(spark: SparkSession, folder: str) -> DataFrame:
+    return feed.catch_up([_events(spark, folder)], "40:not-a-number", 20)
+
+
+@query("SELECT doc_id, source FROM documents WHERE source NOT IN ('src1', 'src2')")
+def delete_by_vault(spark: SparkSession, folder: str) -> DataFrame:
+    gone = spark.createDataFrame([("src1",), ("src2",), ("src2",)], "source string")
+    return feed.without(table(spark, folder, "documents", ["doc_id", "source"]), gone, ["source"])
+
+
 @query(f"WITH {NOTES_SQL} SELECT 'note' AS kind, id, path, content_hash, seq FROM notes")
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return feed.manifest(notes(spark, folder))

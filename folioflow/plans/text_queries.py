@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions import language
 from folioflow.functions import python_text as P
 from folioflow.functions import text as T
 from folioflow.operators import chunking, links
@@ -53,12 +54,24 @@ def ancestor_materialise(spark: SparkSession, folder: str) -> DataFrame:
     return feed.implied_folders(table(spark, folder, "pages").select(path.alias("path")), by=())
 
 
-@query("""SELECT e.event_id, CASE WHEN agent = '' THEN 'unknown' WHEN contains(agent, 'obsidian') THEN 'plugin' WHEN contains(agent, 'curl') THEN 'script' WHEN contains(agent, 'mozilla') THEN 'browser' ELSE 'other' END AS origin
-FROM (SELECT event_id, lower(['', 'Mozilla/5.0', 'curl/8', 'Obsidian Mozilla', 'x'][(event_id % 5 + 1)::INT]) AS agent FROM events) e""")
+@query("""SELECT e.event_id, CASE WHEN agent = '' THEN 'unknown' WHEN contains(agent, 'app-mobile') THEN 'mobile' WHEN contains(agent, 'mcp/') THEN 'mcp_other' WHEN contains(agent, 'mozilla') THEN 'browser' ELSE 'unknown' END AS origin
+FROM (SELECT event_id, lower(['', 'Mozilla/5.0', 'MCP/1 Mozilla', 'App-Mobile Mozilla', 'x'][(event_id % 5 + 1)::INT]) AS agent FROM events) e""")
 def origin_classes(spark: SparkSession, folder: str) -> DataFrame:
-    agent = F.element_at(F.array(*map(F.lit, ["", "Mozilla/5.0", "curl/8", "Obsidian Mozilla", "x"])), (F.col("event_id") % 5 + 1).cast("int"))
-    rules = (("plugin", ("obsidian",)), ("script", ("curl",)), ("browser", ("mozilla",)))
-    return table(spark, folder, "events").select("event_id", T.classified_origin(agent, rules).alias("origin"))
+    agent = F.element_at(F.array(*map(F.lit, ["", "Mozilla/5.0", "MCP/1 Mozilla", "App-Mobile Mozilla", "x"])), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, folder, "events").select("event_id", T.classified_origin(agent, T.origin_rules("app"), "unknown").alias("origin"))
+
+
+def _language_sql() -> str:
+    count = {k: f"len(list_filter(ws, lambda w: list_contains({v}, w)))" for k, v in sorted(language.FUNCTION_WORDS.items())}
+    best = f"greatest({', '.join(count.values())})"
+    cases = " ".join(f"WHEN {c} = {best} THEN '{k}'" for k, c in count.items())
+    return f"""WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(left(text, 2000)), '\\p{{L}}+') AS ws FROM documents)
+SELECT lang, CASE WHEN {best} >= 2 AND {best} >= 0.4 * ({" + ".join(count.values())}) THEN CASE {cases} END END AS guess, count(*) AS n FROM t GROUP BY ALL"""
+
+
+@query(_language_sql())
+def language_detect(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents", ["lang", "text"]).groupBy("lang", language.detect(F.col("text")).alias("guess")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id AS note_id, replace(text, 'the', 'THE') AS all_replaced, CASE WHEN contains(text, 'and') THEN regexp_replace(text, 'and', 'AND') ELSE text END AS first_replaced, rtrim(text, chr(10)) || chr(10) || 'end' AS appended FROM documents")
@@ -114,6 +127,20 @@ def basename_collisions(spark: SparkSession, folder: str) -> DataFrame:
     return links.basename_collisions(notes(spark, folder).select("vault_id", F.concat(F.lit("x/"), F.upper("lang"), F.lit(".md")).alias("path")))
 
 
+@query(f"WITH {_LINKS} SELECT l.source_note_id, d.doc_id AS target_note_id FROM links l JOIN documents d ON d.source = l.vault_id AND 'doc-' || d.doc_id = l.target WHERE d.doc_id < 20")
+def pre_rename_winners(spark: SparkSession, folder: str) -> DataFrame:
+    edges = links.extract_links(markdown(spark, folder)).where("alias = 'alias'")
+    all_ = notes(spark, folder)
+    files = all_.select("vault_id", "id", F.when(F.col("id") < 20, F.concat(F.lit("new/x"), "id", F.lit(".md"))).otherwise(F.col("path")).alias("path"), F.lit("note").alias("kind"))
+    return links.pre_rename_winners(edges, files, all_.where("id < 20").select("note_id", F.col("path").alias("old_path"))).select("source_note_id", "target_note_id")
+
+
+@query(f"WITH {_LINKS} SELECT l.source_note_id, CASE WHEN d.doc_id % 2 = 1 THEN d.doc_id END AS target_note_id, coalesce(d.doc_id % 2 = 0, true) AS dangling FROM links l LEFT JOIN documents d ON d.source = l.vault_id AND 'doc-' || d.doc_id = l.target WHERE l.source_note_id % 2 = 1")
+def soft_delete_links(spark: SparkSession, folder: str) -> DataFrame:
+    out = links.without_deleted(_resolved(spark, folder), notes(spark, folder).where("note_id % 2 = 0"))
+    return out.select("source_note_id", "target_note_id", "dangling")
+
+
 @query()
 def link_rewrite(spark: SparkSession, folder: str) -> DataFrame:
     renames = notes(spark, folder).where("note_id < 5").select("note_id", F.concat(F.lit("moved/Renamed "), "note_id", F.lit(".md")).alias("new_path"))

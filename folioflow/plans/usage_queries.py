@@ -138,6 +138,13 @@ def log_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("category").cast("bigint").alias("event_id"), "message", "level")
 
 
+@query("SELECT c_custkey AS user_id, (c_custkey % 20)::INT AS notes_count, coalesce(n, 0) AS real, greatest(0, c_custkey % 20 - 5)::INT AS lowered FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) ON o_custkey = c_custkey WHERE c_custkey % 20 <> coalesce(n, 0)")
+def counter_repair(spark: SparkSession, folder: str) -> DataFrame:
+    meters = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 20).cast("int").alias("notes_count"))
+    owned = table(spark, folder, "orders").select(F.col("o_custkey").alias("user_id"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    return usage.recounted(meters, owned).withColumn("lowered", usage.decremented(F.col("notes_count"), F.lit(5)))
+
+
 _ORDERED = "o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)"
 
 
