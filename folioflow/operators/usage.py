@@ -103,6 +103,11 @@ def kept_by_retention(rows: DataFrame, today: str, days: int, ts: str = "ts") ->
     return rows.where(F.col(ts) >= F.to_date(F.lit(today)) - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+def unexpired(rows: DataFrame, now: Column, expires: str = "expires_at") -> DataFrame:
+    """Rows whose expiry is later than ``now``; without one they never expire."""
+    return rows.where(F.col(expires).isNull() | (F.col(expires) > now))
+
+
 def fixed_window_limit(hits: DataFrame, seconds: int, limit: int, key: str = "user_id", ts: str = "ts", id_: str = "event_id") -> DataFrame:
     """Each hit with its window's start and whether it is within the limit."""
     start = F.timestamp_seconds(F.floor((_micros(ts) / 1_000_000) / seconds) * seconds)
