@@ -103,22 +103,20 @@ def train(bags: list[bytes], labels: np.ndarray) -> Model:
     document, or without a telling word, the model is constant at the labels' mean over bags with words.
     """
     labels = np.asarray(labels, np.float64)
-    flat = [np.frombuffer(b, np.uint32) for b in bags]
-    sizes = np.array([len(x) for x in flat], np.int64)
-    words = np.concatenate(flat) if len(flat) else np.zeros(0, np.uint32)
-    slot, doc = (words & ~_NEW).astype(np.int64), np.repeat(np.arange(len(flat)), sizes)
-    fresh = (words & _NEW) != 0
-    sentence = np.cumsum(fresh) - 1
-    of = doc[fresh]
+    all_, pos, sentences = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(len(bags), np.int64)
+    for i, bag in enumerate(bags):  # bag by bag, so that memory holds little more than the bags
+        words = np.frombuffer(bag, np.uint32)
+        sentences[i] = np.count_nonzero(words & _NEW)
+        seen = np.unique(words & ~_NEW)
+        all_[seen] += 1
+        pos[seen] += labels[i]
+    of = np.repeat(np.arange(len(bags)), sentences)
     n, toxic = max(len(labels), 1), float(labels.sum())
     none = np.zeros(0, np.int64)
-    if not len(words) or not 0 < toxic < n:
+    if not len(of) or not 0 < toxic < n:
         rate = min(max(toxic / n, 1e-9), 1 - 1e-9)
         per = max(len(of) / n, 1.0)
         return Model(none, np.zeros(0), float(np.log(np.expm1(-np.log1p(-rate) / per))))
-    seen = np.unique(doc * SLOTS + slot)
-    d, s = seen // SLOTS, seen % SLOTS
-    all_, pos = np.bincount(s, minlength=SLOTS).astype(float), np.bincount(s, labels[d], SLOTS)
 
     def gain(k, m):  # log-likelihood of k toxic in m documents, at their own rate
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -128,8 +126,15 @@ def train(bags: list[bytes], labels: np.ndarray) -> Model:
     chosen = np.flatnonzero(2 * told >= MIN_GAIN)
     at = np.full(SLOTS, -1)
     at[chosen] = np.arange(len(chosen))
-    held = at[slot] >= 0
-    feature, row = at[slot[held]], sentence[held]
+    features, rows = [none], [none]
+    for bag, first in zip(bags, (np.cumsum(sentences) - sentences).tolist(), strict=True):
+        words = np.frombuffer(bag, np.uint32)
+        found = at[words & ~_NEW]
+        held = found >= 0
+        features.append(found[held])
+        rows.append((np.cumsum((words & _NEW) != 0) - 1 + first)[held])
+    feature, row = np.concatenate(features), np.concatenate(rows)
+    del features, rows
     w, b = np.zeros(len(chosen)), np.log(np.expm1(-np.log1p(-toxic / n) / (len(of) / n)))
     sign = np.where(labels > 0, 1.0, 0.0)
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
@@ -161,6 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     got = found.select("text", "toxic").mapInArrow(run, "toxic int, bag binary").toArrow()
     bags, toxic = got["bag"].to_pylist(), got["toxic"].to_pylist()
+    del got
     order = sorted(range(len(bags)), key=lambda i: (hash_bag(bags[i]), toxic[i]))
     return train([bags[i] for i in order], np.array([toxic[i] for i in order]))
 
