@@ -8,7 +8,8 @@ each (the prefix).  The work goes in these steps:
 2. One pass makes a small row for each document: size, digest of the set, prefix, and a sketch, which is how many of the
    n-grams fall into each of 64 classes.  Documents with equal sets are one node from here on.
 3. Prefixes are packed by n-gram; nodes that share one are grouped.  Within a group, nodes whose sizes and sketches allow
-   the threshold (the sketches' difference is never larger than the sets') are joined into blocks.
+   the threshold (the sketches' difference is never larger than the sets') are joined into blocks.  Long sets of unlike
+   documents look alike in 64 classes, so a block that is too large for one task is cut anew by sketches of 1024.
 4. Each block gets its texts and stores its sets in a trie, frequent n-grams first, so that near copies share their path.
    A set traverses the trie once for all sets below a node, with the overlap so far, and leaves out subtrees whose
    remaining lengths can't reach the threshold and those that are already linked to it.
@@ -33,6 +34,7 @@ from folioflow.llm.common import NULL_ID, Rolling, Words, materialise, mix, slic
 FREQUENT_SHARE = 1 / 400  #: of a task's documents
 FREQUENT = 100_000  #: n-grams in the hint at most
 CLASSES = 64
+FINE_CLASSES = 1024  #: of the sketches that large blocks are cut by
 BLOCK_ITEMS = 2_000_000  #: n-grams of all sets that one task links
 BROADCAST_ROWS = 1_000_000  #: rows of two numbers that are broadcast at most; more are joined by a shuffle
 _TASK_ITEMS = 1_000_000
@@ -64,6 +66,11 @@ def most_different(a, b, percent: int):
     return a + b - 2 * (-(-percent * (a + b) // (100 + percent)))
 
 
+def sketch(grams: np.ndarray, classes: int) -> bytes:
+    """How many of the n-grams fall into each class (a power of 2), 255 at most."""
+    return np.minimum(np.bincount((grams & np.uint64(classes - 1)).astype(np.int64), minlength=classes), 255).astype(np.uint8).tobytes()
+
+
 def frequent(rows: DataFrame, n: int) -> np.ndarray:
     """n-grams of many documents, sorted; the FREQUENT most frequent of those that some task saw in FREQUENT_SHARE of its documents."""
 
@@ -110,7 +117,7 @@ def _summaries(rows: DataFrame, n: int, percent: int) -> DataFrame:
                     known = hint[np.minimum(np.searchsorted(hint, grams), len(hint) - 1)] == grams
                     key = np.concatenate((grams[~known], grams[known] | _TOP))
                 prefixes.append(key[: prefix_size(len(key), percent)].tobytes())
-                sketches.append(np.minimum(np.bincount((grams & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
+                sketches.append(sketch(grams, CLASSES))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "n_shingles", "node", "prefix", "sketch"])
 
     return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, prefix binary, sketch binary")
@@ -252,17 +259,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _blocks(nodes: DataFrame, percent: int) -> DataFrame:
-    """node, root: nodes that may be linked, with their block."""
-    sizes = nodes.select("node", "n_shingles", "sketch")
-    members = _groups(nodes).join(sizes, "node").repartition("group").sortWithinPartitions("group", "n_shingles", "node")
+def _plausible(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """node, root: nodes joined by plausible links.  ``sketches`` has node, n_shingles and sketch; others take no part."""
+    members = groups.join(sketches, "node").repartition("group").sortWithinPartitions("group", "n_shingles", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for table in runs(batches, "group"):
             node = table["node"].to_pylist()
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), CLASSES)
-            out += [(node[i], node[j]) for i, j in plausible_edges(table["n_shingles"].to_numpy(), sketch, percent)]
+            if len(node) > 1:
+                wide = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+                out += [(node[i], node[j]) for i, j in plausible_edges(table["n_shingles"].to_numpy(), wide, percent)]
             if len(out) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
                 out = []
@@ -271,6 +278,25 @@ def _blocks(nodes: DataFrame, percent: int) -> DataFrame:
     return components(members.mapInArrow(run, "a bigint, b bigint"))
 
 
+def _blocks(rows: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, root: nodes that may be linked, with their block."""
+    groups = materialise(_groups(nodes), "groups")
+    blocks = materialise(_plausible(groups, nodes.select("node", "n_shingles", "sketch"), percent), "blocks")
+    sized = blocks.join(nodes.select("node", "n_shingles", "key"), "node")
+    large = sized.groupBy("root").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("root")
+    again = sized.join(large, "root", "left_semi")
+    if again.isEmpty():
+        return blocks
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n_shingles"), pa.array([sketch(g, FINE_CLASSES) for g in gram_sets(texts, n)], pa.binary())], ["node", "n_shingles", "sketch"])
+
+    texts = _texts(rows, again.select("key", "node", "n_shingles"))
+    sketches = materialise(texts.select("node", "n_shingles", "text").mapInArrow(fine, "node bigint, n_shingles bigint, sketch binary").dropDuplicates(["node"]), "sketches")
+    return blocks.join(large, "root", "left_anti").select("node", "root").unionByName(_plausible(groups, sketches, percent))
+
+
 # --- trie -------------------------------------------------------------------------------------------------------------
 
 
@@ -387,6 +413,11 @@ def _few(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
 
 
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (with a column key) and the text of the document with that key, which stands for its node."""
+    return rows.select(_key(F.col("doc_id"), F.col("text_hash")).alias("key"), "text").join(_few(wanted), "key")
+
+
 def links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, text_hash, n_shingles and component_id of each document.
 
@@ -400,7 +431,7 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     all_ = materialise(_summaries(rows, n, percent), "summaries")
     nodes = all_.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(_key(F.col("doc_id"), F.col("text_hash"))).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes, "nodes")
-    blocks = materialise(_blocks(nodes, percent), "blocks")
+    blocks = materialise(_blocks(rows, nodes, n, percent), "blocks")
     linked = _linked(rows, nodes, blocks, n, percent)
     named = linked.join(nodes.select("node", "doc_id"), "node", "right").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -413,8 +444,7 @@ def _linked(rows: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percen
     sized = blocks.withColumnRenamed("root", "block").join(nodes.select("node", "key", "n_shingles"), "node")
     chunks = sized.groupBy("block").agg(F.sum("n_shingles").alias("size")).withColumn("chunks", F.when(F.col("size") > BLOCK_ITEMS, F.ceil(F.col("size") * 2 / BLOCK_ITEMS)).otherwise(1).cast("int"))
     placed = sized.join(chunks, "block")
-    # a node stands for the document with its smallest key
-    texts = rows.select(_key(F.col("doc_id"), F.col("text_hash")).alias("key"), "text").join(_few(placed.select("node", "block", "chunks", "key")), "key")
+    texts = _texts(rows, placed.select("node", "block", "chunks", "key"))
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     every = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
     dealt = texts.select("node", "block", "text", F.explode(every).alias("pair")).select("node", "text", F.xxhash64("block", "pair.i", "pair.j").alias("task"))
