@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-CACHED = 800_000  #: chunks of text whose ids a Python worker remembers before it starts afresh
-BATCH_BYTES = 4 << 20  #: of text encoded together, or one document if that is longer
+CACHED = 300_000  #: chunks of text whose ids a task remembers before it starts afresh
+BATCH_BYTES = 2 << 20  #: of text encoded together, or one document if that is longer
 
 
 def byte_characters() -> list[str]:
@@ -125,6 +125,11 @@ class Codec:
         first, later = self.first, self.later.__getitem__
         return [first[chunks[0]] + b"".join(map(later, chunks[1:])) for chunks in cut]
 
+    def forget(self) -> None:
+        """Drops what was remembered: a Python worker lives on after its task, beside those of other jobs."""
+        self.first.clear()
+        self.later.clear()
+
     def decode(self, ids: bytes) -> bytes:
         pieces = self.pieces
         return b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
@@ -163,6 +168,7 @@ def encode_documents(docs: DataFrame, path: str = RANKS, pattern: str = public_t
                 else:
                     yield pa.RecordBatch.from_arrays([ids, pa.array(encoded, pa.binary()), pa.array(list(decoded), pa.binary())], ["doc_id", "ids", "decoded"])
                 begin, size = stop, 0
+        coder.forget()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else SCHEMA)
