@@ -43,7 +43,16 @@ def section_replace(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, (length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::INT AS \"offset\", 0 AS deleted, '!x' AS inserted FROM documents WHERE NOT suffix(text, '!')")
 def minimal_edits(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").where(~F.col("text").endswith("!"))
+    return _edits(table(spark, folder, "documents").where(~F.col("text").endswith("!")))
+
+
+@query("SELECT doc_id, (length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::INT AS \"offset\", 0 AS deleted, '!x' AS inserted FROM documents")
+def minimal_edits_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The edits of every document, those that end in ``!`` too: the common beginning is taken first, so there is no tie."""
+    return _edits(table(spark, folder, "documents"))
+
+
+def _edits(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", P.edit(F.col("text"), F.concat("text", F.lit("!x"))).alias("e")).select("doc_id", "e.*")
 
 

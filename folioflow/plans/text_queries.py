@@ -16,9 +16,15 @@ from folioflow.sources.tables import table
 
 @query(f"SELECT doc_id AS note_id, 'Note ' || doc_id AS title, concat(lang, '/p', doc_id % 5) AS folder, 'doc-' || doc_id AS key, 'Doc-' || doc_id AS derived, ['t' || (doc_id % 7), lang, 'area/x' || (doc_id % 4)]::VARCHAR AS tags FROM documents WHERE text NOT LIKE '%#%' AND text NOT LIKE '%`%' AND text NOT LIKE '%~~~%'")
 def note_fields(spark: SparkSession, folder: str) -> DataFrame:
-    rows = markdown(spark, folder).join(table(spark, folder, "documents").where("text NOT LIKE '%#%' AND text NOT LIKE '%`%' AND text NOT LIKE '%~~~%'").select(F.col("doc_id").alias("note_id")), "note_id", "left_semi")
+    plain = table(spark, folder, "documents").where("text NOT LIKE '%#%' AND text NOT LIKE '%`%' AND text NOT LIKE '%~~~%'")
+    return note_fields_all(spark, folder).join(plain.select(F.col("doc_id").alias("note_id")), "note_id", "left_semi")
+
+
+@query()
+def note_fields_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of every document; those with tags or code in their own text are beyond the SQL of ``note_fields``."""
     content, path = F.col("content"), F.col("path")
-    return rows.select("note_id", T.title(content, path).alias("title"), T.folder(path).alias("folder"), T.basename_key(path).alias("key"), T.derived_title(path).alias("derived"), F.concat(F.lit("["), F.array_join(T.tags(content), ", "), F.lit("]")).alias("tags"))
+    return markdown(spark, folder).select("note_id", T.title(content, path).alias("title"), T.folder(path).alias("folder"), T.basename_key(path).alias("key"), T.derived_title(path).alias("derived"), F.concat(F.lit("["), F.array_join(T.tags(content), ", "), F.lit("]")).alias("tags"))
 
 
 @query(f"SELECT doc_id AS note_id, sha256({MARKDOWN_SQL}) AS content_hash, ((octet_length(encode({MARKDOWN_SQL})) + 3) // 4)::BIGINT AS tokens FROM documents")
