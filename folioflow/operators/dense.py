@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OVERSAMPLING = 3.0
+BLOCK_QUERIES = 4096  #: queries that are broadcast at once
+CHUNK = 1024  #: rows and queries of one matrix product
+MARGIN = 1e-9  #: more than a matrix product's rounding of a cosine
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,11 +71,102 @@ def quantised_top_k(vectors: DataFrame, query: Sequence[float], k: int = 5, over
     return top_k(near, query, k, id_, vector)
 
 
-def query_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id and score for a bounded table of queries (query_id, query), which is broadcast against one scan."""
+def query_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", block: int = BLOCK_QUERIES) -> DataFrame:
+    """query_id, id and score of the k nearest of each query in a table of queries (query_id, query), ties to the smaller id.
+
+    The queries are dealt by hash into blocks of about ``block``, each broadcast against one scan.  A task keeps the exact
+    k best of its rows for each query; only those are shuffled and ranked.  Scores are those of ``cosine``, to the bit.
+    """
     from pyspark.sql import Window
 
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("too many queries for one pass; pass them in blocks")
-    scored = vectors.join(F.broadcast(queries)).select("query_id", id_, cosine(F.col(vector), F.col("query")).alias("score"))
-    return scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_))).where(F.col("_r") <= k).drop("_r")
+    spark, kinds = vectors.sparkSession, {**dict(vectors.dtypes), **dict(queries.dtypes)}
+    queries = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
+    blocks = max(1, -(-queries.count() // block))
+    rows = vectors.select(id_, F.col(vector).cast("array<double>").alias("_v"))
+    schema = f"query_id {kinds['query_id']}, {id_} {kinds[id_]}, score double"
+    found = None
+    for b in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        part = rows.mapInArrow(_nearest_of_task(spark.sparkContext.broadcast(asked), k, id_), schema)
+        found = part if found is None else found.unionByName(part)
+    return found.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_))).where(F.col("_r") <= k).drop("_r")
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as rows of ``width`` columns, their lengths (-1: null, or with a null inside) and their norms."""
+    out, size = np.zeros((len(column), width)), np.full(len(column), -1)
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    values = flat.to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        for i, v in enumerate(column.to_pylist()):
+            if v is not None and None not in v:
+                size[i] = len(v)
+                out[i, : len(v)] = v[:width]
+    else:
+        ends = np.cumsum(np.maximum(lengths, 0))
+        size = lengths
+        for n in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == n)
+            out[at, : min(n, width)] = values[(ends[at] - n)[:, None] + np.arange(min(n, width))]
+    norm = np.zeros(len(column))
+    for d in range(width):
+        norm += out[:, d] * out[:, d]
+    return out, size, np.sqrt(norm)
+
+
+def _nearest_of_task(asked: Broadcast, k: int, id_: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = asked.value.combine_chunks()
+        query = table.column("query").combine_chunks()
+        width = max((n or 0 for n in pc.list_value_length(query).to_pylist()), default=0)
+        q, q_size, q_norm = _matrix(query, width)
+        best: list[list[tuple[float, bool, object, float]]] = [[] for _ in q]  # order: score down, null ids first, id
+        floor = np.full(len(q), -np.inf)  # k-th best so far
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(id_).type
+            batch = batch.take(pc.sort_indices(batch.column(id_), null_placement="at_start"))
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                keys = part.column(id_).to_pylist()
+                v, v_size, v_norm = _matrix(part.column("_v"), width)
+                for begin in range(0, len(q), CHUNK):
+                    stop = min(begin + CHUNK, len(q))
+                    for i, rows, scores in _candidates(q[begin:stop], q_size[begin:stop], q_norm[begin:stop], v, v_size, v_norm, floor[begin:stop], k):
+                        more = [(-_rank(s), keys[r] is not None, keys[r], s) for r, s in zip(rows, scores, strict=True)]
+                        held = best[begin + i] = sorted(best[begin + i] + more, key=lambda x: x[:3] if x[1] else x[:2])[:k]
+                        if len(held) == k:
+                            floor[begin + i] = -held[-1][0]
+        if kind is not None:
+            number = np.repeat(np.arange(len(q)), [len(x) for x in best])
+            flat = [x for held in best for x in held]
+            yield pa.RecordBatch.from_arrays([table.column("query_id").combine_chunks().take(pa.array(number)), pa.array([x[2] for x in flat], kind), pa.array([x[3] for x in flat], pa.float64())], ["query_id", id_, "score"])
+
+    return run
+
+
+def _rank(score: float) -> float:
+    """Spark's order: not-a-number above all."""
+    return np.inf if score != score else score
+
+
+def _candidates(q, q_size, q_norm, v, v_size, v_norm, floor, k) -> Iterator[tuple[int, list[int], list[float]]]:
+    """Query number, and rows and scores that may be among its k best: found by a matrix product with a margin for its
+    rounding, then scored exactly, in the order of the dimensions."""
+    with np.errstate(all="ignore"):
+        live = (q_size[:, None] == v_size) & (q_size[:, None] >= 0)
+        size = q_norm[:, None] * v_norm
+        live &= (size > 0) | np.isnan(size)
+        near = np.where(live, (q @ v.T) / size, 0.0)
+        near = np.where(np.isnan(near), np.inf, near)
+        kth = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(q), -np.inf)
+        open_ = near >= np.maximum(floor, kth)[:, None] - MARGIN
+        for i in np.flatnonzero(open_.any(1)).tolist():
+            at = np.flatnonzero(open_[i])
+            dot = np.zeros(len(at))
+            for d in range(q.shape[1]):
+                dot += v[at, d] * q[i, d]
+            score = np.where(live[i, at], dot / (v_norm[at] * q_norm[i]), 0.0)
+            order = np.argsort(-np.where(np.isnan(score), np.inf, score), kind="stable")[:k]
+            yield i, at[order].tolist(), score[order].tolist()

@@ -2,8 +2,11 @@
 
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from folioflow.operators import dense
 from folioflow.plans import QUERIES
 
 
@@ -62,3 +65,28 @@ def test_edits_of_every_document(spark, folder):
         raw = t.encode("utf-16-le")
         assert (raw[: 2 * offset] + inserted.encode("utf-16-le") + raw[2 * (offset + deleted) :]).decode("utf-16-le") == t + "!x"
         assert deleted == 0 and len(inserted) == 2
+
+
+def test_block_search_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dense, "CHUNK", 16)
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.integers(-3, 4, 6)]) for i in range(90)] + [(i, [1.0, 2.0, 0.0, 0.0, 1.0, 0.0]) for i in range(90, 130)]
+    vectors += [(130, None), (131, [0.0] * 6), (132, [1.0, 2.0]), (133, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
+    rows = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").repartition(3)
+    asked = rows.selectExpr("vec_id AS query_id", "embedding AS query")
+    want = rows.crossJoin(asked).select("query_id", "vec_id", dense.cosine(F.col("embedding"), F.col("query")).alias("score")).collect()
+    best = {}
+    for r in sorted(want, key=lambda r: (r.query_id, -r.score, r.vec_id)):
+        best.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for block in (7, 4096):  # many blocks, and one
+        got = {}
+        for r in sorted(dense.query_top_k(rows, asked, 5, block=block).collect(), key=lambda r: (r.query_id, -r.score, r.vec_id)):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == {q: b[:5] for q, b in best.items()}
+
+
+def test_block_search_takes_more_than_ten_thousand_queries(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id int, embedding array<float>")
+    asked = spark.range(10_002).selectExpr("id AS query_id", "array(1.0f, float(id)) AS query")
+    got = dense.query_top_k(vectors, asked, 1)
+    assert sorted((r.vec_id, r["count"]) for r in got.groupBy("vec_id").count().collect()) == [(1, 2), (2, 10_000)]
