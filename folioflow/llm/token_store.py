@@ -144,19 +144,21 @@ class WordEncoder:
 
     For a tokenizer that lower-cases and cuts by WORDS, texts of ASCII and Latin-1 letters are cut here the same way, and
     each word goes to the library's model once.  Other texts are taken run by run between spaces, since the tokenizer
-    drops white space and never joins across it; runs with other characters go to the library as they are, and so do
-    whole texts where the tokenizer is of another make.
+    drops white space and never joins across it; runs with other characters go to the library as they are.  Whole texts go
+    there where they hold an added token, such as ``<|endoftext|>``, and where the tokenizer is of another make.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         made = json.loads(self.library.to_str())
         self.known_make = WORDS in json.dumps(made["pre_tokenizer"], ensure_ascii=False) and [n.get("type") for n in made["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in made["added_tokens"]) or r"(?!)")
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in made["added_tokens"]):
+            self.known_make = False  # such tokens are not found by their content alone
         self.words: dict[str, bytes] = {}
         self.plain = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
         self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -180,10 +182,12 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.known_make:
             return self._whole(texts)
-        plain, cut = self.plain.fullmatch, self.cut.findall
+        plain, cut, added = self.plain.fullmatch, self.cut.findall, self.added.search
         pieces: list[tuple[int, str, bool]] = []  # text number, piece, whether it is plain
         for i, t in enumerate(texts):
-            if plain(t):
+            if added(t):
+                pieces.append((i, t, False))
+            elif plain(t):
                 pieces.append((i, t, True))
             else:
                 pieces += [(i, c, plain(c) is not None) for c in t.split(" ")]

@@ -58,3 +58,13 @@ def test_damage_is_seen():
     assert (S.decode_block(coder, row) == values).all()
     with pytest.raises(ValueError):
         S.decode_block(coder, row | {"payload": b"\1" + row["payload"][1:]})
+
+
+def test_ids_are_those_of_the_library_alone():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(S.TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>don't É", "日本 <|endoftext|><|startoftext|> 1", "<|ENDOFTEXT|> <|endof text|>", "<| endoftext |> plain", "<|endoftext|", "é <|END"]
+    got = [np.frombuffer(x, S.encoder(S.TOKENIZER).kind).tolist() for x in S.encoder(S.TOKENIZER).encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [320, 49407, 321]
