@@ -27,7 +27,9 @@ from folioflow.llm.common import Words, slices
 
 LABELS = ("other", "email", "ip", "card", "phone", "secret")
 KINDS = ("email", "ip", "card", "phone")  #: those of the patterns, in the order of results; kinds that only the field knows follow
-ADDED = ("phone", "secret")  #: labels whose spans the field adds
+ADDED = ("card", "phone", "secret")  #: labels whose spans the field adds; what it labels email or ip is one only by its pattern
+SPANNING = {"card": 19, "phone": 15}  #: labels of numbers over several tokens, and their digits at most
+TOKENS = 40  #: of one number at most
 ROUNDS = 120
 
 # --- patterns ---------------------------------------------------------------------------------------------------------
@@ -102,7 +104,8 @@ for _bit, _chars in enumerate(("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcd
 _KIND[0x80:] = 8
 _KIND[[c for c in range(0x21, 0x7F) if not _KIND[c]]] = 256
 _TRIM = np.zeros(256, bool)
-_TRIM[[ord(c) for c in ".,;:!?\"'()[]<>{}#$%&*="]] = True
+_EDGES = ".,;:!?\"'()[]<>{}#$%&*="
+_TRIM[[ord(c) for c in _EDGES]] = True
 _DIGIT = (_KIND == 1).astype(np.uint8)
 _DIGIT_BUCKET = np.array([0, 1, 2, 3, 4, 5, 5, 6, 6, 6, 7, 8, 9, 10, 10, 10, 10, 10, 10, 10, 11])
 _LENGTH_BUCKET = np.repeat(np.arange(8), [1, 2, 3, 4, 6, 4, 12, 1])
@@ -327,33 +330,82 @@ def labelled_table(rows: int = 700, seed: int = 11) -> list[tuple[str, list[int]
 # --- over documents ---------------------------------------------------------------------------------------------------
 
 
-def field_spans(tables: Tables, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
-    """(label number, start byte, end byte) of what the field labels, for each text; neighbours of one label that may
-    span tokens (phone) are one span."""
+def field_spans(tables: Tables, texts: list[bytes]) -> list[list[tuple[int, int, int, bool]]]:
+    """(label number, start byte, end byte, whether it stands right behind the token before and has its label) of the
+    tokens that the field labels, for each text."""
     words = Words(texts)
     shape, start, end = shapes(words)
     at, label = tables.decode(shape, words.first)
     keep = (label > 0) & (start[at] < end[at])
     at, label = at[keep], label[keep]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    out: list[list[tuple[int, int, int, bool]]] = [[] for _ in texts]
     text = np.searchsorted(words.first, at, side="right") - 1
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
     last = -2
     for i, y, d in zip(at.tolist(), label.tolist(), text.tolist(), strict=True):
-        a, b = int(start[i] - begins[d]), int(end[i] - begins[d])
-        if i == last + 1 and out[d] and out[d][-1][0] == y and LABELS[y] == "phone":
-            out[d][-1] = (y, out[d][-1][1], b)
-        else:
-            out[d].append((y, a, b))
+        out[d].append((y, int(start[i] - begins[d]), int(end[i] - begins[d]), bool(i == last + 1 and out[d] and out[d][-1][0] == y)))
         last = i
     return out
 
 
-def _valid(kind: str, text: bytes) -> bool:
-    digits = sum(48 <= c <= 57 for c in text)
+def _valid(kind: str, text: str) -> bool:
+    digits = sum("0" <= c <= "9" for c in text)
+    if kind == "card":
+        return 13 <= digits <= 19 and re.fullmatch(r"[0-9\s-]+", text) is not None and luhn(re.sub("[^0-9]", "", text))
     if kind == "phone":
         return 9 <= digits <= 15 and len(text) > digits
-    return len(text) >= 20 and 0 < digits and any(65 <= c <= 90 or 97 <= c <= 122 for c in text)
+    return len(text.encode()) >= 20 and 0 < digits and any("A" <= c <= "Z" or "a" <= c <= "z" for c in text)
+
+
+def _whole_numbers(kind: str, text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges [i, j) of neighbouring pieces that are whole numbers: those that hold the most digits, then the fewest."""
+    digits = [sum("0" <= c <= "9" for c in text[a:b]) for a, b in pieces]
+    best, back = [(0, 0)], [-1]
+    for j in range(1, len(pieces) + 1):
+        top, come, held = best[-1], -1, 0
+        for i in range(j - 1, max(-1, j - 1 - TOKENS), -1):
+            held += digits[i]
+            if held > SPANNING[kind]:
+                break
+            if (got := (best[i][0] + held, best[i][1] - 1)) > top and _valid(kind, text[pieces[i][0] : pieces[j - 1][1]]):
+                top, come = got, i
+        best.append(top)
+        back.append(come)
+    out, j = [], len(pieces)
+    while j:
+        if back[j] >= 0:
+            out.append((back[j], j))
+        j = back[j] if back[j] >= 0 else j - 1
+    return out[::-1]
+
+
+def _numbers(kind: str, text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans of whole numbers in neighbouring pieces: first between line ends and trimmed punctuation, then over
+    these from what is left, since a number may be wrapped."""
+    parts: list[list[int]] = []
+    for i, (a, _) in enumerate(pieces):
+        if i and not text[pieces[i - 1][1] : a].strip(" \t()"):
+            parts[-1].append(i)
+        else:
+            parts.append([i])
+    free, out = [True] * len(pieces), []
+
+    def take(numbers: list[int]) -> None:
+        for i, j in _whole_numbers(kind, text, [pieces[n] for n in numbers]):
+            out.append((pieces[numbers[i]][0], pieces[numbers[j - 1]][1]))
+            for n in numbers[i:j]:
+                free[n] = False
+
+    for part in parts:
+        take(part)
+    if len(parts) > 1:
+        rest: list[int] = []
+        for n in [*(n for n in range(len(pieces)) if free[n]), -2]:
+            if rest and n != rest[-1] + 1:
+                take(rest)
+                rest = []
+            rest.append(n)
+    return out
 
 
 def find(texts: list[bytes], tables: Tables) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[str, int, int]]]]:
@@ -368,16 +420,39 @@ def find(texts: list[bytes], tables: Tables) -> Iterator[tuple[list[tuple[int, i
         base = [(0, a, b) for a, b in emails(text)] if not digit else base_spans(text)
         spans = [(KINDS[k], a, b) for k, a, b in base]
         taken = sorted((a, b) for _, a, b in base)
-        done = chars = 0
-        for y, a, b in more:
+        done = chars = at = 0
+        runs: list[tuple[str, list[tuple[int, int]]]] = []
+        floor = 0  # where the last piece, or the last base span behind it, ends
+        for y, a, b, follows in more:
             kind = LABELS[y]
-            if kind not in ADDED or not _valid(kind, raw[a:b]):
+            if kind not in ADDED:
                 continue
             chars += len(raw[done:a].decode("utf-8", "replace"))
-            size = len(raw[a:b].decode("utf-8", "replace"))
             done = a
-            if not any(x < chars + size and chars < y_ for x, y_ in taken):
-                spans.append((kind, chars, chars + size))
+            start, end = chars, chars + len(raw[a:b].decode("utf-8", "replace"))
+            follows = follows and kind in SPANNING
+            while start < end:  # what the patterns' spans leave of the token
+                while at < len(taken) and taken[at][1] <= start:
+                    follows = follows and taken[at][1] <= floor
+                    at += 1
+                stop = min(end, max(start, taken[at][0])) if at < len(taken) else end
+                piece = text[start:stop]
+                if stop < end or start > chars:
+                    piece = piece.strip(_EDGES + "-/")
+                if piece:
+                    begin = text.index(piece, start)
+                    if follows and runs and runs[-1][0] == kind:
+                        runs[-1][1].append((begin, begin + len(piece)))
+                    else:
+                        runs.append((kind, [(begin, begin + len(piece))]))
+                    floor = begin + len(piece)
+                    follows = kind in SPANNING
+                if stop == end:
+                    break
+                start, follows = taken[at][1], False
+        for kind, pieces in runs:
+            found = _numbers(kind, text, pieces) if kind in SPANNING else [p for p in pieces if _valid(kind, text[p[0] : p[1]])]
+            spans += [(kind, a, b) for a, b in found]
         order = {k: i for i, k in enumerate((*KINDS, "secret"))}
         yield base, sorted(spans, key=lambda s: (order[s[0]], s[1]))
 
@@ -393,8 +468,8 @@ def _spelled(spans) -> str:
 def find_in_documents(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, counts n_email, n_ip, n_card, n_phone of the patterns' spans, base_sha256 of them, and all spans as text.
 
-    base_sha256 is the hex digest of ``kind:start:end`` of the patterns' spans, comma-joined by kind, then start.  A span
-    of the field that overlaps one of them is left out.  A null or empty text has no spans; a null doc_id stays null;
+    base_sha256 is the hex digest of ``kind:start:end`` of the patterns' spans, comma-joined by kind, then start.  Spans
+    of the field are found in what those leave.  A null or empty text has no spans; a null doc_id stays null;
     repeated rows each give a row; other columns are not read.
     """
     field = field or model()

@@ -76,6 +76,29 @@ def test_added_spans(field):
     assert {(k, text[a:b]) for k, a, b in spans} == {("phone", "555) 123-4567"), ("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")}
 
 
+LISTS = {
+    "call 555-123-4567, 555-987-6543 now": ["555-123-4567", "555-987-6543"],
+    "555-123-4567\n555-987-6543\n555-111-2222": ["555-123-4567", "555-987-6543", "555-111-2222"],
+    "555-123-4567 555-987-6543": ["555-123-4567", "555-987-6543"],
+    "(555) 123-4567 (555) 987-6543": ["555) 123-4567", "555) 987-6543"],
+    "(555) 123-4567\n(555) 987-6543": ["555) 123-4567", "555) 987-6543"],
+    "é +1-784-555-8120, 555-987-6543": ["+1-784-555-8120", "555-987-6543"],
+    "(555)\n123-4567": ["555)\n123-4567"],
+}
+
+
+@pytest.mark.parametrize("text", LISTS)
+def test_adjacent_numbers(field, text):
+    ((_, spans),) = P.find([text.encode()], field.tables())
+    assert [text[a:b] for k, a, b in sorted(spans, key=lambda s: s[1]) if k == "phone"] == LISTS[text]
+
+
+def test_adjacent_cards(field):
+    text = "pay 4111111111111111 5500005555555559 or 4111111111111112 soon"
+    ((base, spans),) = P.find([text.encode()], field.tables())
+    assert base == [] and [text[a:b] for k, a, b in spans if k == "card"] == ["4111111111111111", "5500005555555559"]
+
+
 def test_query(spark, documents, odd, field):
     rows = list(enumerate([*odd, "é x.y@a.b.c, 1.2.3.4 4111 1111 1111 1111 +1 (784) 555-8120", "300.1.1.1 " * 3])) + [(None, "a@b.c"), (0, None)]
     got = P.find_in_documents(documents(rows), field).collect()
