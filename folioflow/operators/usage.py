@@ -1,15 +1,15 @@
 """Inventory and usage: counts, caps, limits, ladders, retention; folds over a key's events in the order of time.
 
-The folds are pure functions from (state, event) to (state, row), used by the batch operators here, which give each key
-to one pandas call, and by the streaming ones, which keep the state between batches.
+The folds are pure functions from (state, event) to (state, row), used by the batch operators here, which read each key's
+sorted rows batch by batch, and by the streaming ones, which keep the state between batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,35 +220,65 @@ def debounced(times: Sequence[int], quiet: int, ceiling: int, eager: int | None
 
     With ``eager``, a burst that follows at least ``idle`` without events runs its first flush that soon.
     """
-    out: list[tuple[int, int, int]] = []
-    first = due = count = 0
-    last = None
-    for t in times:
-        if count and t > due:
-            out.append((first, due, count))
-            count = 0
-        if not count:
-            first = t
-            calm = eager is not None and (last is None or t - last >= (idle or quiet))
-            due, fixed = (t + eager, True) if calm else (t + quiet, False)
-        elif not fixed:
-            due = min(t + quiet, first + ceiling)
-        count += 1
-        last = t
-    return [*out, (first, due, count)] if count else out
+    burst = Burst(quiet, ceiling, eager, idle)
+    out = [r for t in times if (r := burst(t))]
+    return [*out, burst.run()] if burst.count else out
+
+
+@dataclass
+class Burst:
+    """The open burst of ``debounced``: takes the next time and gives the run that it ends, if any."""
+
+    quiet: int
+    ceiling: int
+    eager: int | None = None
+    idle: int | None = None
+    first: int = 0
+    due: int = 0
+    count: int = 0
+    last: int | None = None
+    fixed: bool = False
+
+    def run(self) -> tuple[int, int, int]:
+        return self.first, self.due, self.count
+
+    def __call__(self, t: int) -> tuple[int, int, int] | None:
+        ended = None
+        if self.count and t > self.due:
+            ended, self.count = self.run(), 0
+        if not self.count:
+            self.first = t
+            calm = self.eager is not None and (self.last is None or t - self.last >= (self.idle or self.quiet))
+            self.due, self.fixed = (t + self.eager, True) if calm else (t + self.quiet, False)
+        elif not self.fixed:
+            self.due = min(t + self.quiet, self.first + self.ceiling)
+        self.count += 1
+        self.last = t
+        return ended
 
 
 def _fold(rows: DataFrame, key: str, ts: str, order: Sequence[str], make: Callable[[], Callable], out: str, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """A step for each row, by key in order of time.  A key's rows meet in one task, sorted by Spark, which can spill; Python
+    holds one batch of them and the step's state."""
     kinds = dict(rows.dtypes)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_us", *order], ignore_index=True)
-        step = make()
-        made = pd.DataFrame([step(int(t)) for t in frame["_us"]], columns=list(names))
-        return pd.concat([frame[[key, *keep]], made], axis=1)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = object(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            made = []
+            for value, us in zip(batch.column(key).to_pylist(), batch.column("_us").to_pylist(), strict=True):
+                if step is None or value != last:
+                    last, step = value, make()
+                made.append(step(us))
+            columns = [pa.array(c) for c in zip(*made, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, *keep)), *(c.cast(t) for c, t in zip(columns, types, strict=True))], [key, *keep, *names])
+
+    types = [{"int": pa.int32(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in out.split(", ")]
     schema = ", ".join([f"{key} {kinds[key]}", *[f"{c} {kinds[c]}" for c in keep], out])
-    return rows.select(key, *keep, _micros(ts).alias("_us")).groupBy(key).applyInPandas(run, schema)
+    dealt = rows.select(key, *keep, _micros(ts).alias("_us")).repartition(key).sortWithinPartitions(key, "_us", *order)
+    return dealt.mapInArrow(run, schema)
 
 
 def conversation_meter(ticks: DataFrame, key: str = "user_id", ts: str = "ts", id_: str = "event_id", **dials: int) -> DataFrame:
@@ -266,13 +296,26 @@ def debounce(events: DataFrame, key: str = "user_id", ts: str = "ts", quiet: flo
     us = lambda s: None if s is None else int(s * 1e6)
     kinds = dict(events.dtypes)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        made = debounced(sorted(frame["_us"].tolist()), us(quiet), us(ceiling), us(eager), us(idle))
-        out = pd.DataFrame(made, columns=["first_us", "run_us", "events"])
-        out.insert(0, key, frame[key].iloc[0])
-        return out
-
-    found = events.select(key, _micros(ts).alias("_us")).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, first_us bigint, run_us bigint, events int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, burst, kind = None, None, None
+        for batch in batches:
+            made, kind = [], batch.schema.field(key).type
+            for value, t in zip(batch.column(key).to_pylist(), batch.column("_us").to_pylist(), strict=True):
+                if burst is None or value != last:
+                    made += [(last, *burst.run())] if burst else []
+                    last, burst = value, Burst(us(quiet), us(ceiling), us(eager), us(idle))
+                if ended := burst(t):
+                    made.append((last, *ended))
+            yield rows(made, kind)
+        if burst:
+            yield rows([(last, *burst.run())], kind)
+
+    def rows(made: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        types = (kind, pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], [key, "first_us", "run_us", "events"])
+
+    dealt = events.select(key, _micros(ts).alias("_us")).repartition(key).sortWithinPartitions(key, "_us")
+    found = dealt.mapInArrow(run, f"{key} {kinds[key]}, first_us bigint, run_us bigint, events int")
     return found.select(key, F.timestamp_micros("first_us").alias("first"), F.timestamp_micros("run_us").alias("run_at"), "events")
 
 

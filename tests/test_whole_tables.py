@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import dense
+from folioflow.operators import dense, usage
 from folioflow.plans import QUERIES
 
 
@@ -90,3 +90,16 @@ def test_block_search_takes_more_than_ten_thousand_queries(spark):
     asked = spark.range(10_002).selectExpr("id AS query_id", "array(1.0f, float(id)) AS query")
     got = dense.query_top_k(vectors, asked, 1)
     assert sorted((r.vec_id, r["count"]) for r in got.groupBy("vec_id").count().collect()) == [(1, 2), (2, 10_000)]
+
+
+def test_folds_hold_a_batch_and_not_a_key(spark):
+    rows = spark.range(300).selectExpr("id AS event_id", "IF(id % 3 = 0, id % 5, 7) AS user_id", "timestamp_seconds(id * id % 977 * 60) AS ts")
+    makers = [lambda r: usage.token_bucket(r, capacity=3.0, per_second=0.001), lambda r: usage.debounce(r, quiet=90, ceiling=600)]
+    whole = [sorted(map(tuple, m(rows).collect())) for m in makers]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert [sorted(map(tuple, m(rows).collect())) for m in makers] == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for m in makers:  # no operator that gathers a group
+        assert "FlatMapGroups" not in m(rows)._jdf.queryExecution().toString()
