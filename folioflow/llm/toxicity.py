@@ -4,8 +4,11 @@ A document is a bag of sentences.  Each sentence has a logistic score from its w
 noisy-or of them: ``1 - prod(1 - p)``.  Only document labels are needed to train; the sentence scores then say where the
 offending sentences are.
 
-The model is fitted on the driver with numpy, on at most ``FIT_ROWS`` labelled documents, of which only hashed words
-travel.  Scoring is one pass over the documents without a shuffle.
+The model is fitted on the driver with numpy, on at most ``FIT_ROWS`` labelled documents of at most ``FIT_BYTES`` hashed
+words, which are all that travels.  Toxic documents are few, so the likelihood weighs both classes alike; one labelled
+document in CALIBRATE stays out of the fit and sets the scale, so that 0.5 is the score that parts toxic from clean
+documents best while at least CLEAN_KEPT of the clean ones stay below it.  The scale is an exponent on ``prod(1 - p)``: the
+document's score stays the noisy-or of its sentences'.  Scoring is one pass over the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,16 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import hash_ranges, slices
 
-FIT_ROWS = 12_000  #: labelled documents that the model is fitted on at most, those with the smallest hash of doc_id
+FIT_ROWS = 15_000  #: labelled documents that the model is fitted on at most, those with the smallest hash of doc_id
+FIT_BYTES = 96 << 20  #: their packed words at most; later documents in the order of the hash are left out beyond it
+CALIBRATE = 5  #: one of so many of them sets the scale
+CLEAN_KEPT = 0.95
 SLOTS = 1 << 18  #: words are hashed to so many weights
 MIN_GAIN = 12.0  #: log-likelihood gain from which a word becomes a feature
-ROUNDS = 400
-DECAY = 1e-4
+ROUNDS = 200
+DECAY = 2e-5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -36,11 +42,12 @@ _NEW = np.uint32(1 << 31)  #: marks the first word of a sentence in a packed bag
 
 @dataclass(frozen=True)
 class Model:
-    """``slots`` (sorted) have ``weights``; every sentence starts from ``bias``."""
+    """``slots`` (sorted) have ``weights``; every sentence starts from ``bias``; ``power`` is the exponent of the scale."""
 
     slots: np.ndarray
     weights: np.ndarray
     bias: float
+    power: float = 1.0
 
     def table(self) -> np.ndarray:
         out = np.zeros(SLOTS, np.float64)
@@ -82,10 +89,10 @@ def noisy_or(total: np.ndarray) -> np.ndarray:
     return -np.expm1(-total)
 
 
-def score_texts(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarray:
+def score_texts(texts: list[bytes], table: np.ndarray, bias: float, power: float = 1.0) -> np.ndarray:
     slot, sentence, text, _, _ = split(texts)
     z = bias + np.bincount(sentence, table[slot], len(text))
-    return noisy_or(np.bincount(text, softplus(z), len(texts)))
+    return noisy_or(power * np.bincount(text, softplus(z), len(texts)))
 
 
 def pack(text: bytes) -> bytes:
@@ -96,8 +103,14 @@ def pack(text: bytes) -> bytes:
     return (out | np.where(fresh, _NEW, np.uint32(0))).tobytes()
 
 
+def weights_of(labels: np.ndarray) -> np.ndarray:
+    """What each document counts in the likelihood: both labels weigh half."""
+    toxic, n = labels.sum(), len(labels)
+    return np.where(labels > 0, 0.5 / max(toxic, 1), 0.5 / max(n - toxic, 1))
+
+
 def train(bags: list[bytes], labels: np.ndarray) -> Model:
-    """Fits packed bags to 0/1 labels by full-batch Adam with a small weight decay.
+    """Fits packed bags to 0/1 labels by full-batch Adam on the weighted likelihood, with a small weight decay.
 
     Features are the slots whose presence in a document tells most about its label.  Without a toxic or without a clean
     document, or without a telling word, the model is constant at the labels' mean over bags with words.
@@ -113,10 +126,6 @@ def train(bags: list[bytes], labels: np.ndarray) -> Model:
     of = np.repeat(np.arange(len(bags)), sentences)
     n, toxic = max(len(labels), 1), float(labels.sum())
     none = np.zeros(0, np.int64)
-    if not len(of) or not 0 < toxic < n:
-        rate = min(max(toxic / n, 1e-9), 1 - 1e-9)
-        per = max(len(of) / n, 1.0)
-        return Model(none, np.zeros(0), float(np.log(np.expm1(-np.log1p(-rate) / per))))
 
     def gain(k, m):  # log-likelihood of k toxic in m documents, at their own rate
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -124,6 +133,10 @@ def train(bags: list[bytes], labels: np.ndarray) -> Model:
 
     told = gain(pos, all_) + gain(toxic - pos, n - all_) - gain(toxic, n)
     chosen = np.flatnonzero(2 * told >= MIN_GAIN)
+    if not len(of) or not 0 < toxic < n or not len(chosen):
+        rate = min(max(toxic / n, 1e-9), 1 - 1e-9)
+        per = max(len(of) / n, 1.0)
+        return Model(none, np.zeros(0), float(np.log(np.expm1(-np.log1p(-rate) / per))))
     at = np.full(SLOTS, -1)
     at[chosen] = np.arange(len(chosen))
     features, rows = [none], [none]
@@ -135,14 +148,14 @@ def train(bags: list[bytes], labels: np.ndarray) -> Model:
         rows.append((np.cumsum((words & _NEW) != 0) - 1 + first)[held])
     feature, row = np.concatenate(features), np.concatenate(rows)
     del features, rows
-    w, b = np.zeros(len(chosen)), np.log(np.expm1(-np.log1p(-toxic / n) / (len(of) / n)))
-    sign = np.where(labels > 0, 1.0, 0.0)
+    w, b = np.zeros(len(chosen)), np.log(np.expm1(np.log(2) / (len(of) / n)))
+    counts = weights_of(labels)
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, ROUNDS + 1):
         z = b + np.bincount(row, w[feature], len(of))
         total = np.bincount(of, softplus(z), len(labels))
-        slope = (1 - sign) - sign / np.maximum(np.expm1(total), 1e-6)  # of the loss, by the bag's total
-        g = slope[of] / (1 + np.exp(-z)) / n
+        slope = counts * ((1 - labels) - labels / np.clip(np.expm1(np.minimum(total, 700)), 1e-6, None))  # of the loss, by the bag's total
+        g = slope[of] / (1 + np.exp(-np.maximum(z, -700)))
         step = np.append(np.bincount(feature, g[row], len(chosen)) + DECAY * w, g.sum())
         m, v = 0.9 * m + 0.1 * step, 0.99 * v + 0.01 * step * step
         move = 0.1 * (1 - t / (ROUNDS + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -150,11 +163,54 @@ def train(bags: list[bytes], labels: np.ndarray) -> Model:
     return Model(chosen, w, float(b))
 
 
+def total_of(bag: bytes, table: np.ndarray, bias: float) -> float:
+    """The sum of softplus(z) over a packed bag's sentences."""
+    words = np.frombuffer(bag, np.uint32)
+    if not len(words):
+        return 0.0
+    return float(softplus(bias + np.bincount(np.cumsum((words & _NEW) != 0) - 1, table[words & ~_NEW])).sum())
+
+
+def calibrated(model: Model, bags: list[bytes], labels: np.ndarray) -> Model:
+    """``model`` with the power that puts 0.5 where documents outside the fit are parted best.
+
+    That is the threshold with the largest difference between the shares of toxic and of clean documents above it, among
+    those that leave CLEAN_KEPT of the clean ones below.  Where a label is missing the power stays.
+    """
+    labels = np.asarray(labels, np.float64)
+    toxic, clean = labels.sum(), (1 - labels).sum()
+    if not toxic or not clean or not len(model.slots):
+        return model
+    table = model.table()
+    totals = np.array([total_of(bag, table, model.bias) for bag in bags])
+    order = np.argsort(-totals, kind="stable")
+    ranked = totals[order]
+    caught, lost = np.cumsum(labels[order]) / toxic, np.cumsum(1 - labels[order]) / clean
+    whole = np.append(ranked[1:] < ranked[:-1], True)  # equal totals fall on one side
+    able = np.flatnonzero(whole & (lost <= 1 - CLEAN_KEPT) & (caught > lost))
+    edge = ranked[0] * 2 if not len(able) else ranked[(best := able[np.argmax((caught - lost)[able])])]
+    if len(able) and best + 1 < len(ranked):
+        edge = np.sqrt(max(edge, 1e-12) * max(ranked[best + 1], 1e-12))
+    return Model(model.slots, model.weights, model.bias, float(np.log(2) / max(edge, 1e-12)))
+
+
+def train_calibrated(bags: list[bytes], labels: np.ndarray) -> Model:
+    """``train`` on all but every CALIBRATE-th bag, ``calibrated`` on those, or on all where those lack a label."""
+    labels = np.asarray(labels)
+    last = np.arange(len(bags)) % CALIBRATE == CALIBRATE - 1
+    mixed = lambda mask: 0 < labels[mask].sum() < mask.sum()
+    fitted = ~last if mixed(~last) else np.ones(len(bags), bool)
+    judged = last if mixed(last) else np.ones(len(bags), bool)
+    of = lambda mask: [bag for bag, m in zip(bags, mask, strict=True) if m]
+    return calibrated(train(of(fitted), labels[fitted]), of(judged), labels[judged])
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model from labelled documents.
 
     ``labels`` has doc_id and toxic (0 or 1; other values and nulls don't count).  The rows used are those whose doc_id
-    has the smallest hash, at most ``rows`` of them, so the sample is bounded and the same at every run.
+    has the smallest hash, at most ``rows`` of them and FIT_BYTES of words, so the sample is bounded and the same at every
+    run.  Of documents that share a doc_id one is used, that with the smallest packed words.
     """
     chosen = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -162,13 +218,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([pack(t) for t in texts], pa.binary())], ["toxic", "bag"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([pack(t) for t in texts], pa.binary())], ["doc_id", "toxic", "bag"])
 
-    got = found.select("text", "toxic").mapInArrow(run, "toxic int, bag binary").toArrow()
+    packed = found.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, toxic int, bag binary")
+    one = packed.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("bag").alias("bag"))  # at most ``rows``
+    before = F.sum(F.length("bag")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = one.withColumn("before", before).where(F.col("before") <= FIT_BYTES).select("toxic", "bag").toArrow()
     bags, toxic = got["bag"].to_pylist(), got["toxic"].to_pylist()
     del got
     order = sorted(range(len(bags)), key=lambda i: (hash_bag(bags[i]), toxic[i]))
-    return train([bags[i] for i in order], np.array([toxic[i] for i in order]))
+    return train_calibrated([bags[i] for i in order], np.array([toxic[i] for i in order], np.int64))
 
 
 def hash_bag(bag: bytes) -> int:
@@ -182,12 +241,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held_out tells whether crc32 of doc_id as text is divisible by 5 (false for a null doc_id).  Repeated rows each give
     a row; columns other than doc_id and text are not read.
     """
-    bias = model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for part, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score_texts(texts, table, bias), pa.float64())], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score_texts(texts, table, model.bias, model.power), pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double")
@@ -199,13 +257,12 @@ def held_out(doc_id):
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The sentences whose own score is at least ``least``: doc_id, byte range from first to last word, score."""
-    bias = model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for part, texts in slices(batches):
             slot, sentence, text, begin, end = split(texts)
-            p = 1 / (1 + np.exp(-(bias + np.bincount(sentence, table[slot], len(text)))))
+            p = noisy_or(model.power * softplus(model.bias + np.bincount(sentence, table[slot], len(text))))
             hit = np.flatnonzero(p >= least)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text[hit])), pa.array(begin[hit], pa.int64()), pa.array(end[hit], pa.int64()), pa.array(p[hit])], ["doc_id", "start_byte", "end_byte", "score"])
 
@@ -225,11 +282,10 @@ def reject(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
     The model is the one of ``predict``.  Scores are computed beside the rows, so nothing is joined.
     """
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))), rows)
-    bias = model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for part, texts in slices(batches):
-            yield part.filter(pa.array(score_texts(texts, table, bias) < 0.5))
+            yield part.filter(pa.array(score_texts(texts, table, model.bias, model.power) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
