@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import NULL_ID, id_column, ids, materialise, shared_dir
+from folioflow.llm.common import NULL_ID, Words, gather, id_column, ids, materialise, same_bytes, shared_dir, slices
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -40,9 +40,10 @@ PRECISION = 20
 BLOCK_IDS = 1 << 17  #: a block ends with the document that brings it to so many ids
 LANES = 512
 STEPS = 128  #: steps between checkpoints
-PART_BYTES = 16 << 20  #: of text for each range of doc_id
-CACHED_WORDS = 900_000  #: words that a Python worker remembers before it starts afresh
-BATCH_CHARS = 2 << 20
+PART_BYTES = 128 << 20  #: of text in a range of doc_id, about, at most
+LEAST_PART_BYTES = 2 << 20  #: of text in a range of doc_id, about, at least
+CACHED = 300_000  #: runs between spaces, and words, that a Python worker remembers from of late, and as many from before
+ENCODE_BYTES = 4 << 20  #: of text that is taken together
 
 #: how the pre-tokenizer cuts a normalised text; fixed by the tokenizer's file
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -139,12 +140,37 @@ class Coder:
 # --- tokenizer --------------------------------------------------------------------------------------------------------
 
 
+def byte_alphabet() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level model: itself where it prints, else 256, 257 and so on."""
+    prints = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+class Memory:
+    """Two generations of a cache: when the young one is full it becomes the old one, and what is used is taken over."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.young[key] = value
+        return value
+
+
 class WordEncoder:
-    """Ids of texts by the tokenizers library, remembered for each word.
+    """Ids of texts (UTF-8) by the tokenizers library, remembered for each run of bytes between spaces.
 
-    For a tokenizer that lower-cases and cuts by WORDS, texts of ASCII and Latin-1 letters are cut here the same way, and
-    each word goes to the library's model once.  Other texts are taken run by run between spaces, since the tokenizer
-    drops white space and never joins across it; runs with other characters go to the library as they are.  Whole texts go
+    A tokenizer that cuts by WORDS drops white space and never joins across it, so a text's ids are those of its runs.
+    numpy finds the distinct runs of many texts.  A new run of ASCII and Latin-1 letters is lower-cased and cut by WORDS
+    here, and each new word goes to the library's model; other new runs go through the library as they are.  Whole texts go
     there where they hold an added token, such as ``<|endoftext|>``, and where the tokenizer is of another make.
     """
 
@@ -155,63 +181,81 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         made = json.loads(self.library.to_str())
+        tokens = made["added_tokens"]
         self.known_make = WORDS in json.dumps(made["pre_tokenizer"], ensure_ascii=False) and [n.get("type") for n in made["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in made["added_tokens"]) or r"(?!)")
-        if any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in made["added_tokens"]):
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
             self.known_make = False  # such tokens are not found by their content alone
-        self.words: dict[str, bytes] = {}
-        self.plain = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
-        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+        self.added = re.compile(b"|".join(re.escape(t["content"].encode()) for t in tokens) or rb"(?!)")
+        self.runs, self.words = Memory(), Memory()
+        self.plain = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+        self.alphabet = byte_alphabet()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, wanted: set[str]) -> None:
-        if len(self.words) + len(wanted) > CACHED_WORDS:
-            self.words.clear()
-        model, words, code = self.library.model, self.words, self.code
-        odd = []
-        for w in wanted:
-            if w.isascii():  # bytes below 128 stand for themselves in the model's alphabet
-                words[w] = array(code, [t.id for t in model.tokenize(w)]).tobytes()
-            else:
-                odd.append(w)
+    def _word(self, word: str) -> bytes:
+        known = self.words.get(word)
+        if known is None:
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            known = self.words.young[word] = array(self.code, [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
+        return known
+
+    def _learn(self, wanted: list[bytes]) -> None:
+        """Puts the ids of some runs into the young generation."""
+        young, old, match, cut, known_word, odd = self.runs.young, self.runs.old, self.plain.fullmatch, self.cut.findall, self.words.young.get, []
+        for raw in wanted:
+            known = old.get(raw)
+            if known is not None:
+                young[raw] = known
+                continue
+            run = raw.decode()
+            if not match(run):
+                odd.append(raw)
+                continue
+            words = cut(run.lower())
+            ids_ = list(map(known_word, words))
+            if None in ids_:
+                ids_ = [x or self._word(w) for x, w in zip(ids_, words)]
+            young[raw] = ids_[0] if len(ids_) == 1 else b"".join(ids_)
         for k in range(0, len(odd), 4096):
-            words.update(zip(odd[k : k + 4096], self._whole(odd[k : k + 4096]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.known_make:
-            return self._whole(texts)
-        plain, cut, added = self.plain.fullmatch, self.cut.findall, self.added.search
-        pieces: list[tuple[int, str, bool]] = []  # text number, piece, whether it is plain
-        for i, t in enumerate(texts):
-            if added(t):
-                pieces.append((i, t, False))
-            elif plain(t):
-                pieces.append((i, t, True))
-            else:
-                pieces += [(i, c, plain(c) is not None) for c in t.split(" ")]
-        tokens = [cut(p.lower()) if ok else None for _, p, ok in pieces]
-        found = self._ids(tokens)
-        other = iter(self._whole([p for _, p, ok in pieces if not ok]))
-        out: list[list[bytes]] = [[] for _ in texts]
-        for (i, _, ok), x in zip(pieces, found, strict=True):
-            out[i].append(x if ok else next(other))
-        return [b"".join(x) for x in out]
-
-    def _ids(self, tokens: list[list[str] | None]) -> list[bytes]:
-        get = self.words.get
-        found = [list(map(get, ts or ())) for ts in tokens]
-        short = [k for k, got in enumerate(found) if None in got]
-        missing = {t for k in short for t, g in zip(tokens[k], found[k], strict=True) if g is None}
-        if missing:
-            self._learn(missing)
-            for k in short:
-                again = list(map(get, tokens[k]))
-                if None in again:  # the cache was cleared meanwhile
-                    again = [g if a is None else a for a, g in zip(again, found[k], strict=True)]
-                found[k] = again
-        return [b"".join(got) for got in found]
+            young.update(zip(odd[k : k + 4096], self._whole([x.decode() for x in odd[k : k + 4096]]), strict=True))
+
+    def _ids(self, keys: list[bytes]) -> list[bytes]:
+        self.runs.turn()
+        self.words.turn()
+        found = list(map(self.runs.young.get, keys))
+        if None in found:
+            self._learn([k for k, x in zip(keys, found, strict=True) if x is None])
+            found = list(map(self.runs.young.__getitem__, keys))
+        return found
+
+    def _by_runs(self, texts: list[bytes]) -> list[bytes]:
+        words = Words(texts)
+        if not len(words.start):
+            return [b""] * len(texts)
+        _, first, each = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        length = words.end - words.start
+        same = length == length[first][each]
+        if not same.all() or not same_bytes(words.buf, words.start, words.start[first][each], length).all():
+            return [b"".join(self._ids(t.split())) for t in texts]  # two runs with one hash
+        raw = words.buf.tobytes()
+        found = self._ids([raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)])
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(found), self.kind)
+        size_of = size[each]
+        out = gather(flat, (np.cumsum(size) - size)[each], size_of).tobytes()
+        stops = (np.concatenate(([0], np.cumsum(size_of)))[words.first] * self.kind.itemsize).tolist()
+        return [out[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, as the bytes of unsigned integers of ``kind``."""
+        whole = [i for i, t in enumerate(texts) if self.added.search(t)] if self.known_make else range(len(texts))
+        apart = set(whole)
+        out = self._by_runs([b"" if i in apart else t for i, t in enumerate(texts)])
+        for i, x in zip(whole, self._whole([texts[i].decode() for i in whole]), strict=True):
+            out[i] = x
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -222,57 +266,36 @@ def encoder(path: str) -> WordEncoder:
 # --- jobs -------------------------------------------------------------------------------------------------------------
 
 
-def _part_of(docs: DataFrame) -> tuple:
-    """A column that deals doc_id into ranges of about equal numbers of rows, and the number of ranges."""
+def _parts(docs: DataFrame) -> int:
+    """How many ranges of doc_id: of PART_BYTES at most, but enough for all cores where those hold LEAST_PART_BYTES."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // PART_BYTES))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
-    column = F.lit(0)
-    for b in bounds:
-        column = column + F.when(F.col("doc_id") > int(b), 1).otherwise(0) if len(bounds) <= 64 else column
-    if len(bounds) > 64:
-        edges = F.array(*[F.lit(int(b)) for b in bounds])
-        column = F.size(F.filter(edges, lambda e: F.col("doc_id") > e))
-    return F.coalesce(column, F.lit(0)).cast("int"), len(bounds) + 1
+    cores = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // PART_BYTES), min(cores, -(-size // LEAST_PART_BYTES)))
 
 
 def tokenised(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """doc_id and its ids with the end id, in shared files: part (range of doc_id), offset within it, n, ids (zstd).
 
-    The files hold each part's rows together and in the order of doc_id, ties by their ids.
+    The files hold each part's rows together and in the order of doc_id, ties by a hash of the text.  Ranges are of both,
+    so that rows of one doc_id, or of none, may fill many.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    part, n = _part_of(docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, pack = encoder(path), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], coder.kind).tobytes()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            begin = size = 0
-            for stop in range(1, len(texts) + 1):
-                size += len(texts[stop - 1] or "")
-                if size < BATCH_CHARS and stop < len(texts):
-                    continue
-                got = [x + end for x in coder.encode([t or "" for t in texts[begin:stop]])]
-                counts = pa.array([len(x) // coder.kind.itemsize for x in got], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("part").slice(begin, stop - begin), batch.column("doc_id").slice(begin, stop - begin), counts, pa.array([pack.compress(x) for x in got], pa.binary())], ["part", "doc_id", "n", "ids"])
-                begin, size = stop, 0
-
-    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = None, 0
-        for batch in batches:
-            out = []
-            for p, k in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                if p != last:
-                    last, total = p, 0
-                out.append(total)
-                total += k
-            yield batch.append_column("offset", pa.array(out, pa.int64()))
+        total = 0
+        for part, texts in slices(batches, limit=ENCODE_BYTES):
+            got = [x + end for x in coder.encode(texts)]
+            n = np.array([len(x) // coder.kind.itemsize for x in got], np.int64)
+            before = total + np.cumsum(n) - n
+            total += int(n.sum())
+            yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.array(n), pa.array([pack.compress(x) for x in got], pa.binary()), pa.array(before)], ["part", "doc_id", "n", "ids", "offset"])
 
-    rows = docs.withColumn("part", part).mapInArrow(encode, "part int, doc_id bigint, n bigint, ids binary")
-    rows = rows.repartition(n, "part").sortWithinPartitions("part", "doc_id", "ids")
-    return materialise(rows.mapInArrow(offsets, "part int, doc_id bigint, n bigint, ids binary, offset bigint"), "tokens")
+    keyed = docs.withColumn("tie", F.xxhash64("text"))
+    rows = keyed.repartitionByRange(_parts(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    return materialise(rows.mapInArrow(encode, "part int, doc_id bigint, n bigint, ids binary, offset bigint"), "tokens")
 
 
 def _bases(tokens: DataFrame) -> dict[int, int]:
@@ -307,7 +330,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
     """Encodes ``docs`` and writes the dataset at ``path``, documents in ascending order of doc_id.
 
     A null text counts as empty and has the end id alone.  A null doc_id comes first; rows of one doc_id stand side by
-    side, ordered by their stored ids.  Other columns are not read.  An empty table gives a dataset without blocks.
+    side, ordered by a hash of their texts.  Other columns are not read.  An empty table gives a dataset without blocks.
     """
     spark = docs.sparkSession
     coder = encoder(tokenizer)

@@ -1,9 +1,11 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from folioflow.llm import token_store as S
 from folioflow.llm.common import NULL_ID
@@ -28,17 +30,22 @@ def test_frequencies():
         assert out.sum() == 1 << S.PRECISION and all(o > 0 for o, c in zip(out, counts) if c)
 
 
+@cache
+def library():
+    return Tokenizer.from_file(S.TOKENIZER)  # as loaded, apart from the operator's own
+
+
 def library_ids(text):
-    return [*S.encoder(S.TOKENIZER).library.encode(text or "", add_special_tokens=False).ids, S.END_ID]
+    return [*library().encode(text or "", add_special_tokens=False).ids, S.END_ID]
 
 
 def test_dataset(spark, documents, odd, monkeypatch):
-    monkeypatch.setattr(S, "PART_BYTES", 4000)
+    monkeypatch.setattr(S, "LEAST_PART_BYTES", 4000)
     monkeypatch.setattr(S, "BLOCK_IDS", 50)
-    rows = list(enumerate([*odd, "The QUICK, brown fox's É é <|endoftext|> don't.", "one two " * 300])) + [(None, "no id"), (-5, "b"), (4, "again")]
+    rows = list(enumerate([*odd, "The QUICK, brown fox's É é <|endoftext|> don't.", "<|startoftext|> a<|endoftext|>", "one two " * 300, "Long, très long 日本 " * 150_000])) + [(None, "no id"), (-5, "b"), (4, "again")]
     got = [tuple(r) for r in S.round_trip(documents(rows)).collect()]
     key = lambda i: NULL_ID if i is None else i
-    coded = sorted(((key(i), library_ids(t)) for i, t in rows), key=lambda x: (x[0], x[1]))
+    coded = sorted(((key(i), library_ids(t)) for i, t in rows), key=lambda x: x[0])
     got = sorted(((key(g[0]), *g[1:]) for g in got), key=lambda g: g[1])
     assert [g[0] for g in got] == [i for i, _ in coded]
     at = 0
@@ -61,10 +68,32 @@ def test_damage_is_seen():
 
 
 def test_ids_are_those_of_the_library_alone():
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(S.TOKENIZER)
     texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>don't É", "日本 <|endoftext|><|startoftext|> 1", "<|ENDOFTEXT|> <|endof text|>", "<| endoftext |> plain", "<|endoftext|", "é <|END"]
-    got = [np.frombuffer(x, S.encoder(S.TOKENIZER).kind).tolist() for x in S.encoder(S.TOKENIZER).encode(texts)]
-    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["a\x1cb\x85c\xa0d\u2003e\u3000f", "e\u0301 =\u0338 \u0301x", "ΣΑΣ Σ İI ß ẞ", "it's'LL d'd 12,3.. ``--''", "\ufeff\x00 \x7f", "一 二三\u200b四", "ﬁ ① x²", ""]
+    got = [np.frombuffer(x, S.encoder(S.TOKENIZER).kind).tolist() for x in S.encoder(S.TOKENIZER).encode([t.encode() for t in texts])]
+    assert got == [library().encode(t, add_special_tokens=False).ids for t in texts]
     assert got[0] == [320, 49407, 321]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=4))
+def test_any_text_as_the_library(texts):
+    got = [np.frombuffer(x, S.encoder(S.TOKENIZER).kind).tolist() for x in S.encoder(S.TOKENIZER).encode([t.encode("utf-8", "replace") for t in texts])]
+    assert got == [library().encode(t.encode("utf-8", "replace").decode(), add_special_tokens=False).ids for t in texts]
+
+
+def test_runs_are_forgotten_and_learned_again(monkeypatch):
+    monkeypatch.setattr(S, "CACHED", 3)
+    coder = S.WordEncoder(S.TOKENIZER)
+    for k in range(5):
+        texts = [f"word{k} and é{k}, once", "and again"]
+        assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode([t.encode() for t in texts])] == [library().encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_of_one_id_fill_many_parts(spark, documents, monkeypatch):
+    monkeypatch.setattr(S, "LEAST_PART_BYTES", 500)
+    docs = documents([(7, f"text {i}") for i in range(400)] + [(None, f"n {i}") for i in range(100)])
+    assert docs.select("text").count() == 500 and S.tokenised(docs).select("part").distinct().count() > 3
+    got = S.round_trip(docs).orderBy("start").collect()
+    assert [g.doc_id for g in got] == [None] * 100 + [7] * 400
+    assert [g.start for g in got] == np.cumsum([0] + [g.n_tokens for g in got])[:-1].tolist()
