@@ -1,26 +1,34 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import nearest as N
 
 
+def usable(rows):
+    return [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+
+
 def brute(rows, k, every):
-    good = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
-    out = {}
-    for q, v in good:
+    """For each query (id and vector) its k nearest: ids and scores."""
+    good, out = usable(rows), {}
+    for n, (q, v) in enumerate(good):
         if q % every == 0:
-            scores = sorted((-float((v * w).sum()), i) for i, w in good if i != q and len(w) == len(v))
-            out[q] = [(i, -s) for s, i in scores[:k]]
+            scores = sorted((-float((v * w).sum()), i) for m, (i, w) in enumerate(good) if m != n and len(w) == len(v))
+            if scores:
+                out[q, tuple(v)] = [(i, -s) for s, i in scores[:k]]
     return out
 
 
 def answer(spark, rows, k, every):
     table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id bigint, embedding array<double>, id int")
-    got = {}
-    for r in sorted(N.nearest(table, F.col("id") % every == 0, k).collect(), key=lambda r: (r.query_id, r.rank)):
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-        assert r.rank == len(got[r.query_id])
-    return got
+    return N.nearest(table, F.col("id") % every == 0, k).collect()
+
+
+def same(got, want):
+    """Results of all queries, however those of one id are mixed."""
+    flat = lambda q, x: [(q, n + 1, i, round(s, 9)) for n, (i, s) in enumerate(x)]
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted(y for (q, _), x in want.items() for y in flat(q, x))
 
 
 def test_small_tables_are_exact(spark):
@@ -28,28 +36,63 @@ def test_small_tables_are_exact(spark):
     rows = [(i, r.normal(size=4).tolist()) for i in range(60)]
     rows += [(100, None), (101, []), (102, [0.0] * 4), (103, [1.0, None, 0.0, 0.0]), (104, [float("nan"), 1.0, 1.0, 1.0]), (105, [float("inf")] * 4), (None, [1.0] * 4), (110, [1.0, 2.0]), (120, [2.0, 1.0])]
     rows += [(130 + j, rows[0][1]) for j in range(5)] + [(7, rows[3][1])]
-    got, want = answer(spark, rows, 20, 10), brute(rows, 20, 10)
-    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items() if x}
-    assert all(abs(a[1] - b[1]) < 1e-12 for q in got for a, b in zip(got[q], want[q]))
-    assert answer(spark, [], 20, 10) == {} and answer(spark, [(1, [1.0])], 20, 10) == {}
+    same(answer(spark, rows, 20, 10), brute(rows, 20, 10))
+    assert answer(spark, [], 20, 10) == [] and answer(spark, [(1, [1.0])], 20, 10) == [] and answer(spark, [(0, [1.0])], 20, 10) == []
+
+
+def test_repeated_ids_and_rows(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=4).tolist()) for i in range(60)]
+    rows += [(0, r.normal(size=4).tolist()), (0, [0.1, 0.0, 0.0, 0.0]), (10, rows[10][1]), (10, rows[10][1]), (20, rows[7][1])]
+    want = brute(rows, 20, 10)
+    assert len([q for q in want if q[0] == 0]) == 3 and len([q for q in want if q[0] == 10]) == 1
+    got = answer(spark, rows, 20, 10)
+    same(got, want)
+    assert [x.vec_id for x in got if x.query_id == 10].count(10) == 2  # its copies, but not itself
+    same(answer(spark, [(0, [1.0, 0.0])] * 3, 20, 10), brute([(0, [1.0, 0.0])] * 3, 20, 10))
 
 
-def test_recall_in_shards_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("kind", ["clusters", "no structure"])
+def test_recall_in_shards_and_blocks(spark, monkeypatch, kind):
     monkeypatch.setattr(N, "SHARD_ROWS", 4000)
     monkeypatch.setattr(N, "QUERY_ROWS", 30)
     r = np.random.default_rng(2)
-    centres = r.normal(size=(20, 32))
-    vectors = centres[r.integers(0, 20, 12000)] + 0.7 * r.normal(size=(12000, 32))
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
-    got = answer(spark, rows, 20, 200)
+    vectors = r.normal(size=(12000, 32))
+    if kind == "clusters":
+        vectors = r.normal(size=(200, 32))[r.integers(0, 200, 12000)] + 0.3 * vectors
+    got = {}
+    for x in answer(spark, [(i, v.tolist()) for i, v in enumerate(vectors)], 20, 200):
+        got.setdefault(x.query_id, set()).add(x.vec_id)
     right = 0
     for q, found in got.items():
         scores = vectors @ vectors[q]
         scores[q] = -np.inf
-        right += len({i for i, _ in found} & set(np.argsort(-scores)[:20].tolist()))
+        right += len(found & set(np.argsort(-scores)[:20].tolist()))
     assert len(got) == 60 and right / (20 * len(got)) >= 0.9
 
 
+def test_clusters_end_the_ascent_early():
+    r = np.random.default_rng(6)
+    vectors = r.normal(size=(500, 32))[r.integers(0, 500, 20000)] + 0.15 * r.normal(size=(20000, 32))
+    vectors /= np.sqrt((vectors * vectors).sum(1))[:, None]
+    forest = N.Forest(np.arange(len(vectors)), vectors)
+    levels = []
+    ranges = forest.ranges
+    forest.ranges = lambda codes, level: levels.append(int(level.min())) or ranges(codes, level)
+    right = 0
+    for q in range(50):
+        ((best, _),) = forest.search(vectors[q : q + 1], 20)
+        right += len(set(best.tolist()) & set(np.argsort(-(vectors @ vectors[q]))[:20].tolist()))
+    assert right / 1000 >= 0.9 and min(levels) > 0
+
+
+def test_one_very_long_vector_and_one_id_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(N, "QUERY_ROWS", 20)
+    r = np.random.default_rng(8)
+    rows = [(0, r.normal(size=3).tolist()) for _ in range(70)] + [(i, r.normal(size=3).tolist()) for i in range(1, 20)] + [(30, r.normal(size=100_000).tolist()), (31, r.normal(size=100_000).tolist())]
+    same(answer(spark, rows, 5, 10), brute(rows, 5, 10))
+
+
 def test_ranges_are_prefix_matches():
     r = np.random.default_rng(3)
     forest = N.Forest(np.arange(300), r.normal(size=(300, 6)), trees=2)
