@@ -143,7 +143,7 @@ def codec(path: str, pattern: str) -> Codec:
 SCHEMA = "doc_id bigint, ids binary, decoded binary"
 
 
-def encode_documents(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, digest: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = RANKS, digest: bool = False) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and the decoded bytes of each text, or their digests.
 
     A null text counts as empty and gives no ids.  A null doc_id stays null; repeated rows each give a row; other
@@ -152,7 +152,7 @@ def encode_documents(docs: DataFrame, path: str = RANKS, pattern: str = public_t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path, pattern)
+        coder = codec(path, public_tokenizers.PATTERN)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             begin = size = 0

@@ -30,20 +30,28 @@ _LONG = 512  #: bytes from which a word is hashed by itself
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies under ``spark.checkpoint.dir``.  Where that is unset (tests, a laptop) a local folder is set for the session.
+    It lies under ``spark.checkpoint.dir``.  Where that is unset, a local folder is set for the session if Spark runs on
+    this machine alone (tests, a laptop); on a cluster it is an error, since no other folder is known to be shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``materialise`` and the folder, for tables that are removed once the next one is written."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+    return stored(df, name)[0]
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:
@@ -51,6 +59,14 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, lengthened until none of ``columns`` has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * _M1

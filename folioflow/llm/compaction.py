@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import free_name
+
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
 SMALLEST = 64 << 10  #: bytes up to which a shard is in tier 0
@@ -41,14 +43,6 @@ def tier(n_bytes: Column, fan_in: int = FAN_IN) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(n_bytes, F.lit(1)) / SMALLEST) / F.log(F.lit(float(fan_in))))).cast("int")
 
 
-def _free(columns: list[str], name: str) -> str:
-    """``name``, lengthened until no column has it."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def _folder(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
@@ -157,7 +151,7 @@ class ShardStore:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         rows = self.spark.read.parquet(*[r["shard"] for r in listed])
         columns = rows.columns
-        file, group = _free(columns, "file"), _free(columns, "group")
+        file, group = free_name(columns, "file"), free_name(columns, "group")
         pairs = self.spark.createDataFrame([(r["shard"], r["group"]) for r in listed], f"`{file}` string, `{group}` int")
         rows = rows.withColumn(file, rows.metadataColumn("_metadata")["file_path"]).join(F.broadcast(pairs), file)
         dealt = rows.repartitionById(max(r["group"] for r in listed) + 1, F.col(group)).select(*[F.col(f"`{c}`") for c in columns])

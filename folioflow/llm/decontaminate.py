@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import NULL_ID, id_column, mix
+from folioflow.llm.common import NULL_ID, id_column, materialise, mix
 
 Q = 12
 SEGMENT = 80
@@ -186,16 +186,29 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 SCHEMA = "doc_id bigint, item_id bigint, n_segments int, edits int, start bigint, end bigint"
 
 
+def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about SLICE_CHARS characters."""
+    begin = size = 0
+    for stop in range(1, len(texts) + 1):
+        size += len(texts[stop - 1] or "")
+        if size >= SLICE_CHARS or stop == len(texts):
+            yield begin, stop
+            begin, size = stop, 0
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item of which at least one segment occurs in it.
 
     doc_id, item_id, the number of the item's segments found, the fewest edits of one, and the stretch from the first to
     the last of them in the normalised text (characters, end exclusive).  Null and blank texts match nothing; a null id
-    stays null; each of several equal rows or items gives its own row; other columns are not read.
+    stays null; each of several equal rows or items gives its own row; other columns are not read.  The blocks of the
+    benchmark are taken one after the other.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    empty = rows.sparkSession.createDataFrame([], SCHEMA)
-    return reduce(DataFrame.unionByName, [_pass(rows, b) for b in _blocks(benchmark)], empty)
+    found = [rows.sparkSession.createDataFrame([], SCHEMA)]
+    for items in _blocks(benchmark):
+        found.append(materialise(_pass(rows, items), "passages"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
@@ -206,32 +219,49 @@ def _pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         queries = Queries(shared.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            begin = size = 0
-            for stop in range(1, len(texts) + 1):
-                size += len(texts[stop - 1] or "")
-                if size < SLICE_CHARS and stop < len(texts):
-                    continue
+            for begin, stop in _runs(texts):
                 text, segment, edits, a, b = queries.matches([t or "" for t in texts[begin:stop]])
-                if len(text):
-                    pair, of = np.unique(np.stack((text, queries.item[segment])), axis=1, return_inverse=True)
-                    of = of.ravel()
-                    n = pair.shape[1]
-                    seen = np.bincount(np.unique(np.stack((of, segment)), axis=1)[0], minlength=n)
-                    least, first, last = np.full(n, 1 << 30), np.full(n, 1 << 60), np.zeros(n, np.int64)
-                    np.minimum.at(least, of, edits)
-                    np.minimum.at(first, of, a)
-                    np.maximum.at(last, of, b)
-                    ids = batch.column("doc_id").slice(begin, stop - begin).take(pa.array(pair[0]))
-                    yield pa.RecordBatch.from_arrays([ids, id_column([numbers[i] for i in pair[1]]), pa.array(seen, pa.int32()), pa.array(least, pa.int32()), pa.array(first), pa.array(last)], ["doc_id", "item_id", "n_segments", "edits", "start", "end"])
-                begin, size = stop, 0
+                if not len(text):
+                    continue
+                pair, of = np.unique(np.stack((text, queries.item[segment])), axis=1, return_inverse=True)
+                of = of.ravel()
+                n = pair.shape[1]
+                seen = np.bincount(np.unique(np.stack((of, segment)), axis=1)[0], minlength=n)
+                least, first, last = np.full(n, 1 << 30), np.full(n, 1 << 60), np.zeros(n, np.int64)
+                np.minimum.at(least, of, edits)
+                np.minimum.at(first, of, a)
+                np.maximum.at(last, of, b)
+                ids = batch.column("doc_id").slice(begin, stop - begin).take(pa.array(pair[0]))
+                yield pa.RecordBatch.from_arrays([ids, id_column([numbers[i] for i in pair[1]]), pa.array(seen, pa.int32()), pa.array(least, pa.int32()), pa.array(first), pa.array(last)], ["doc_id", "item_id", "n_segments", "edits", "start", "end"])
 
     return rows.mapInArrow(run, SCHEMA)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; a document without doc_id stays.
+    """``docs`` without the rows that hold a benchmark passage, whatever their doc_id; all columns stay as they are.
 
-    The ids of such documents are few beside the documents, but their number isn't bounded, so Spark chooses the join.
+    Rows are judged where they are read, so nothing is joined or shuffled.  After each block of the benchmark but the last
+    what is left is written to the shared folder.
     """
-    found = find_passages(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs["doc_id"].cast("bigint") == found["_leaked"], "left_anti")
+    blocks = _blocks(benchmark)
+    items = next(blocks, None)
+    while items is not None:
+        docs, items = _without(docs, items), next(blocks, None)
+        if items is not None:
+            docs = materialise(docs, "clean")
+    return docs
+
+
+def _without(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast([(n, t) for n, (_, t) in enumerate(items)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = Queries(shared.value)
+        for batch in batches:
+            texts = batch.column("text").cast(pa.string()).to_pylist()
+            clean = np.ones(len(texts), bool)
+            for begin, stop in _runs(texts):
+                clean[begin + queries.matches([t or "" for t in texts[begin:stop]])[0]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

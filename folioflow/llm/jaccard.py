@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import NULL_ID, Rolling, Words, materialise, mix, slices
+from folioflow.llm.common import NULL_ID, Rolling, Words, free_name, materialise, mix, remove_dir, slices, stored
 
 FREQUENT_SHARE = 1 / 400  #: of a task's documents
 FREQUENT = 100_000  #: n-grams in the hint at most
@@ -243,7 +243,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps; each is an aggregation and a join, and the edges are written to the
     shared folder after every round.
     """
-    edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges, folder = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     before = mark(edges)
     while True:
@@ -252,7 +252,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = materialise(small, "edges")
+        last = folder
+        edges, folder = stored(small, "edges")
+        remove_dir(edges.sparkSession, last)
         now = mark(edges)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -419,13 +421,14 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, text_hash, n_shingles and component_id of each document.
+    """doc_id, text_hash, n_shingles, component_id and component_hash of each document.
 
     The set of a document is that of its distinct n-word shingles, lower-cased in A-Z; with fewer words, the whole
     sequence as one; without words or with a null text it is empty and linked with nothing.  component_id is the smallest
     doc_id of the documents reachable by links (a document with an empty set has its own).  Rows with a null doc_id are
-    linked like others and get the smallest doc_id that isn't null, if there is one.  Repeated rows are linked with each
-    other; columns other than doc_id and text aren't read.
+    linked like others and get the smallest doc_id that isn't null, if there is one; component_hash is the smallest
+    text_hash of a component without any.  Repeated rows are linked with each other; columns other than doc_id and text
+    aren't read.
     """
     rows = _rows(docs)
     all_ = materialise(_summaries(rows, n, percent), "summaries")
@@ -433,10 +436,10 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     nodes = materialise(nodes, "nodes")
     blocks = materialise(_blocks(rows, nodes, n, percent), "blocks")
     linked = _linked(rows, nodes, blocks, n, percent)
-    named = linked.join(nodes.select("node", "doc_id"), "node", "right").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(smallest, "root").select("node", "component_id")
-    return all_.join(found, "node", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = linked.join(nodes.select("node", "doc_id", F.col("key.h").alias("text_hash")), "node", "right").select("node", F.coalesce("root", "node").alias("root"), "doc_id", "text_hash")
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("text_hash").alias("component_hash"))
+    found = named.join(smallest, "root").select("node", "component_id", "component_hash")
+    return all_.join(found, "node", "left").select("doc_id", "text_hash", "n_shingles", "component_hash", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _linked(rows: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percent: int) -> DataFrame:
@@ -467,20 +470,21 @@ def _linked(rows: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percen
 def kept(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of linked ones: that with the smallest doc_id.
 
-    Documents with an empty set all stay, and so do groups in which no row has a doc_id.  Of rows with one doc_id and one
-    text, one stays.
+    In a group in which no row has a doc_id it is that with the smallest hash of its text.  Documents with an empty set all
+    stay.  Of rows with one doc_id (or none) and one text, one stays.
     """
     found = materialise(links(docs, n, percent), "components").where("n_shingles > 0")
-    key = _key(F.col("doc_id"), F.col("text_hash")).alias("_key")
-    gone = found.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(key).distinct()
-    again = found.where("doc_id is not null").groupBy(key).count().where("count > 1").select("_key")
+    name = free_name(docs.columns, "key")
+    key = _key(F.col("doc_id"), F.col("text_hash")).alias(name)
+    gone = found.where("CASE WHEN component_id IS NULL THEN text_hash <> component_hash ELSE doc_id IS NULL OR doc_id <> component_id END").select(key).distinct()
+    again = found.groupBy(key).count().where("count > 1").select(name)
     mine = _key(docs["doc_id"], F.xxhash64(docs["text"].cast("string")))
-    left = docs.join(_few(gone), mine == F.col("_key"), "left_anti")
+    left = docs.join(_few(gone), mine == F.col(name), "left_anti")
     if again.isEmpty():
         return left
     again = _few(materialise(again, "repeats"))
-    once = left.join(again, mine == F.col("_key"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, mine == F.col("_key"), "left_anti").unionByName(once)
+    once = left.join(again, mine == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, mine == F.col(name), "left_anti").unionByName(once)
 
 
 #: The links of 3-word shingles at 90 per cent in DuckDB's SQL.

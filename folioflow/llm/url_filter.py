@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialise
+from folioflow.llm.common import materialise, remove_dir, stored
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -67,8 +67,12 @@ def templates(counted: DataFrame) -> DataFrame:
     Level by level; each level is written to the shared folder.
     """
     rows = counted.withColumn("template", F.lit(""))
+    last = None
     for level in range(DEPTH + 1):
-        rows = materialise(_level(rows, level), "templates")
+        rows, folder = stored(_level(rows, level), "templates")
+        if last:
+            remove_dir(rows.sparkSession, last)
+        last = folder
     return rows
 
 

@@ -57,9 +57,11 @@ def test_nothing_within_the_budget_is_lost(spark, documents, cases):
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, doc_id string")
     got = D.find_passages(documents(docs), bench)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == brute(docs, items)
+    docs = docs + [(None, docs[d][1]) for d in (1, 2, 3, 4, 5)]
     kept = D.clean_documents(documents(docs), bench)
-    leaked = {d for d, _ in brute(docs, items)}
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d is None or d not in leaked)
+    leaked = {n for n, _ in brute([(n, t) for n, (_, t) in enumerate(docs)], items)}
+    assert leaked & set(range(len(docs) - 5, len(docs)))  # rows without an id go, too
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(d) for n, d in enumerate(docs) if n not in leaked)
     assert kept.columns == documents(docs).columns
 
 
@@ -69,6 +71,18 @@ def test_blocks_give_the_same(spark, documents, cases, monkeypatch):
     whole = sorted(map(str, D.find_passages(documents(docs), bench).collect()))
     monkeypatch.setattr(D, "BLOCK_CHARS", 400)
     assert sorted(map(str, D.find_passages(documents(docs), bench).collect())) == whole
+    kept = sorted(map(str, D.clean_documents(documents(docs), bench).collect()))
+    monkeypatch.undo()
+    assert kept == sorted(map(str, D.clean_documents(documents(docs), bench).collect()))
+
+
+def test_one_very_long_text(spark, documents):
+    passage = " ".join(f"word{k}" for k in range(40))
+    long = "some other words here " * 200_000
+    docs = documents([(1, long + passage + long), (2, long)])
+    bench = spark.createDataFrame([(5, passage)], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id) for r in D.find_passages(docs, bench).collect()] == [(1, 5)]
+    assert [r.doc_id for r in D.clean_documents(docs, bench).collect()] == [2]
 
 
 def test_empty_tables(spark, documents):

@@ -130,3 +130,21 @@ def test_components(spark):
         sets.join(a, b)
     got = {x.node: x.root for x in J.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: sets.find(i) for e in edges if e[0] != e[1] for i in e}
+
+
+def test_groups_without_ids_and_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    near, other = text + " more", " ".join(f"v{k}" for k in range(9))
+    rows = [(None, text, 1, 2), (None, text, 1, 2), (None, near, 3, 4), (None, other, 5, 6), (7, other + " x y", 5, 6), (8, "one", 5, 6), (None, "one", 5, 6), (9, "", 0, 0), (9, "", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _key int, key int")
+    got = [(r.doc_id, r.text, r._key, r.key) for r in J.kept(docs).collect()]
+    assert sum(t in (text, near) for _, t, *_ in got) == 1 and set(got) <= set(rows)
+    assert sorted((d, t) for d, t, *_ in got if d is not None) == [(7, other + " x y"), (8, "one"), (9, ""), (9, "")]
+    assert sum(t == other for _, t, *_ in got) == (0 if 100 * 5 >= 80 * 7 else 1)
+
+
+def test_one_very_long_text(spark, documents):
+    r = np.random.default_rng(1)
+    words = [f"w{x}" for x in r.integers(0, 50_000, 400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-5])), (3, " ".join(words[: len(words) // 2]))]
+    assert answer(spark, documents, rows, 3, 90) == brute(rows, 3, 90)
