@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import bpe_pieces, decontaminate, jaccard, personal_data, toxicity
-from folioflow.llm.common import materialise
+from folioflow.llm.common import remove_dir, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, folder = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last:
+            remove_dir(spark, last)
+        last = folder
     return docs
