@@ -10,27 +10,37 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.stemming import STEMMERS
 
 K1, B, EMPTY_AVERAGE = 1.2, 0.75, 100.0
 WORD = r"[\p{L}\p{N}\p{M}_]+"
+CHANGED_BY_NFKC = "[\\u00A0\\u00A8\\u00AA\\u00AF\\u00B2-\\u00B5\\u00B8-\\u00BA\\u00BC-\\u00BE]|[^\\u0000-\\u00FF]"
+MARKS = "[^\\u0000-\\u02FF]"  #: no combining mark comes before
+MAY_HOLD_CJK = "[^\\u0000-\\u10FF\\u2000-\\u206F]"  #: also what becomes CJK in NFKC
 CJK = "\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uFAFF"
 
 
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else v if v.isascii() else unicodedata.normalize("NFKC", v))
+def nfkc(text: Column) -> Column:
+    """``text`` in NFKC, the one step that Spark has no function for.
 
+    Only texts with a character that the form may change are sent to Python; for all others a null goes.
+    """
 
-def words(text: Column, normalise: bool = False) -> Column:
-    """Lower-cased runs of letters, digits, marks and ``_``; marks right after a Latin letter go.
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    ``normalise`` adds NFKC, the one step that Spark has no function for.
-    """
-    base = F.pandas_udf(_nfkc, "string")(text) if normalise else text
-    return F.regexp_extract_all(F.regexp_replace(F.lower(base), r"(?<=\p{IsLatin})\p{Mn}+", ""), F.lit(f"({WORD})"), 1)
+    return F.coalesce(run(F.when(text.rlike(CHANGED_BY_NFKC), text)), text)
+
+
+def words(text: Column, normalise: bool = True) -> Column:
+    """Lower-cased runs of letters, digits, marks and ``_``, in NFKC; marks right after a Latin letter go."""
+    base = F.lower(nfkc(text) if normalise else text)
+    base = F.when(base.rlike(MARKS), F.regexp_replace(base, r"(?<=\p{IsLatin})\p{Mn}+", "")).otherwise(base)
+    return F.regexp_extract_all(base, F.lit(f"({WORD})"), 1)
 
 
 def cjk_split(word: Column) -> Column:
@@ -40,30 +50,60 @@ def cjk_split(word: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]"), bigrams(r)).otherwise(F.array(r))))
 
 
-def tokens(text: Column, normalise: bool = False) -> Column:
-    """All raw tokens; their number is the document's length."""
-    return F.flatten(F.transform(words(text, normalise), lambda w: F.when(w.rlike(f"[{CJK}]"), cjk_split(w)).otherwise(F.array(w))))
+def tokens(text: Column, normalise: bool = True) -> Column:
+    """All raw tokens; their number is the document's length.  Texts without CJK characters are taken word by word."""
+    found = words(text, normalise)
+    split = F.flatten(F.transform(found, lambda w: F.when(w.rlike(f"[{CJK}]"), cjk_split(w)).otherwise(F.array(w))))
+    return F.when(text.rlike(MAY_HOLD_CJK), split).otherwise(found)
 
 
-def stems(terms: DataFrame, term: str = "term", language: str = "lang") -> DataFrame:
-    """``terms`` with the stem of each term where its language has a stemmer and the stem differs; null otherwise.
+def asked_tokens(spark: SparkSession, query: str, language: str | None = None) -> list[str]:
+    """The distinct tokens of a query in order, each followed by its stem in ``language`` where that differs."""
+    text = unicodedata.normalize("NFKC", query)
+    found = spark.sql("SELECT :q AS text", args={"q": text}).select(tokens(F.col("text"), normalise=False).alias("t")).first()["t"]
+    pairs = [[t, stem(t, language)] for t in found]
+    return list(dict.fromkeys(x for pair in pairs for x in pair if x is not None))
+
+
+def stem(term: str, language: str | None) -> str | None:
+    """The stem of a term where its language has a stemmer and the stem differs."""
+    made = STEMMERS[language](term) if language in STEMMERS else None
+    return None if made == term else made
 
-    Cyrillic, Greek and Arabic words take their script's language.  The Python part runs once for each distinct pair.
-    """
+
+def stem_column(term: Column, language: Column) -> Column:
+    """The stem of each term; Cyrillic, Greek and Arabic words take their script's language.  Null where there is none."""
 
     @F.pandas_udf("string")
     def run(values: pd.Series, languages: pd.Series) -> pd.Series:
-        out = [STEMMERS[k](v) if k in STEMMERS and v.isascii() else None for v, k in zip(values, languages, strict=True)]
-        return pd.Series([s if s != v else None for s, v in zip(out, values, strict=True)], dtype=object)
+        known: dict = {}
+        out = []
+        for pair in zip(values, languages, strict=True):
+            if pair not in known:
+                known[pair] = stem(*pair)
+            out.append(known[pair])
+        return pd.Series(out, dtype=object)
 
-    by_script = F.when(F.col(term).rlike("[\\u0400-\\u04FF]"), "ru").when(F.col(term).rlike("[\\u0370-\\u03FF]"), "el").when(F.col(term).rlike("[\\u0600-\\u06FF\\u0750-\\u077F]"), "ar").otherwise(F.col(language))
-    distinct = terms.select(term, language).distinct().withColumn("stem", run(F.col(term), by_script))
-    return terms.join(distinct, [term, language], "left")
+    by_script = F.when(term.rlike("[\\u0400-\\u04FF]"), "ru").when(term.rlike("[\\u0370-\\u03FF]"), "el").when(term.rlike("[\\u0600-\\u06FF\\u0750-\\u077F]"), "ar").otherwise(language)
+    return run(term, by_script)
 
 
-def postings(docs: DataFrame, keys: Sequence[str], text: str = "text", normalise: bool = False) -> DataFrame:
-    """``keys``, term and tf: how often each raw token occurs in each document.  Documents without tokens have no rows."""
-    return docs.select(*keys, F.explode(tokens(F.col(text), normalise)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+def stems(terms: DataFrame, term: str = "term", language: str = "lang") -> DataFrame:
+    """``terms`` with the stem of each term, null where there is none; best applied to distinct terms."""
+    return terms.withColumn("stem", stem_column(F.col(term), F.col(language)))
+
+
+def postings(docs: DataFrame, keys: Sequence[str], text: str = "text", normalise: bool = True, language: str | None = None) -> DataFrame:
+    """``keys``, term and tf: how often each raw token occurs in each document.  Documents without tokens have no rows.
+
+    With ``language``, a column of codes, each occurrence counts for its token and, where that differs, for its stem.
+    """
+    held = [*dict.fromkeys([*keys, *([language] if language else [])])]
+    found = docs.select(*held, F.explode(tokens(F.col(text), normalise)).alias("term")).groupBy(*held, "term").agg(F.count("*").alias("tf"))
+    if not language:
+        return found
+    both = F.array_compact(F.array("term", stem_column(F.col("term"), F.col(language))))
+    return found.select(*keys, F.explode(both).alias("term"), "tf").groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
 
 
 def tf_weight(tf: Column, length: Column, average: Column, k1: float = K1, b: float = B) -> Column:
@@ -85,44 +125,49 @@ def average_length(sized: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 
 def _occurrences(term: str) -> Column:
-    return F.size(F.filter("_t", lambda x: x == F.lit(term)))
+    return F.size("_t") - F.size(F.array_remove("_t", F.lit(term)))
 
 
 def bm25(docs: DataFrame, query: str, doc: str = "doc_id", group: Sequence[str] = (), text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """``group``, doc and score of every document that has a term of the query.
 
     Each of the query's distinct tokens weighs 1.  The average length, N and the document frequencies are those of the
-    group.  One pass tokenises: it keeps each document's length and its counts of the query's terms only, so what is
-    shuffled are the few matching rows and the group's sums.
+    group.  Each row is tokenised once for the hits and once for the sums: the tokens and the counts stand behind
+    generators, below which no filter is pushed.  What is shuffled are the few matching rows and the group's sums.
     """
-    spark = docs.sparkSession
-    asked = spark.sql("SELECT :q AS text", args={"q": query}).select(F.array_distinct(tokens(F.col("text"))).alias("t")).first()["t"]
-    all_ = tokens(F.col(text))
-    counted = docs.select(*group, doc, all_.alias("_t")).select(*group, doc, F.size("_t").cast("bigint").alias("length"), *[_occurrences(q).alias(f"_{i}") for i, q in enumerate(asked)])
-    stats = [F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(EMPTY_AVERAGE)).alias("average"), F.count("*").alias("n"), *[F.count_if(F.col(f"_{i}") > 0).alias(f"_d{i}") for i in range(len(asked))]]
-    score = sum((F.when(F.col(f"_{i}") > 0, idf(F.col("n"), F.col(f"_d{i}")) * tf_weight(F.col(f"_{i}"), F.col("length"), F.col("average"), k1, b)).otherwise(0.0) for i in range(len(asked))), F.lit(0.0))
+    asked = asked_tokens(docs.sparkSession, query)
     if not asked:
         return docs.select(*group, doc, F.lit(0.0).alias("score")).limit(0)
+    cut = docs.select(*group, doc, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
+    numbers = F.struct(F.size("_t").cast("bigint").alias("length"), *[_occurrences(q).alias(f"_{i}") for i, q in enumerate(asked)])
+    counted = cut.select(*group, doc, F.inline(F.array(numbers)))
+    stats = [F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(EMPTY_AVERAGE)).alias("average"), F.count("*").alias("n"), *[F.count_if(F.col(f"_{i}") > 0).alias(f"_d{i}") for i in range(len(asked))]]
+    score = sum((F.when(F.col(f"_{i}") > 0, idf(F.col("n"), F.col(f"_d{i}")) * tf_weight(F.col(f"_{i}"), F.col("length"), F.col("average"), k1, b)).otherwise(0.0) for i in range(len(asked))), F.lit(0.0))
     hit = counted.where(" OR ".join(f"_{i} > 0" for i in range(len(asked))))
     sums = counted.groupBy(*group).agg(*stats)
     joined = hit.join(sums, list(group)) if group else hit.join(F.broadcast(sums))
     return joined.select(*group, doc, score.alias("score"))
 
 
-def sparse_vectors(docs: DataFrame, doc: str = "doc_id", text: str = "text", group: Sequence[str] = ()) -> DataFrame:
-    """group, doc, term, tf and weight: the stored part of BM25, against the exact average length."""
-    keys = [*group, doc]
-    sized = lengths(docs, keys, text)
-    found = postings(docs, keys, text).join(sized, keys)
-    average = average_length(sized, group)
+def sparse_vectors(docs: DataFrame, doc: str = "doc_id", text: str = "text", group: Sequence[str] = (), language: str | None = None) -> DataFrame:
+    """group, doc, term, tf and weight: the stored part of BM25, against the exact average length.
+
+    With ``language`` stems are stored beside the tokens, as in ``postings``; a document's length is that of its tokens.
+    """
+    held = [*dict.fromkeys([*group, doc, *([language] if language else [])])]
+    cut = docs.select(*held, tokens(F.col(text)).alias("_t")).select(*held, "_t", F.size("_t").cast("bigint").alias("length"))
+    found = cut.select(*held, "length", F.explode("_t").alias("term")).groupBy(*held, "length", "term").agg(F.count("*").alias("tf"))
+    if language:
+        both = F.array_compact(F.array("term", stem_column(F.col("term"), F.col(language))))
+        found = found.select(*group, doc, "length", F.explode(both).alias("term"), "tf").groupBy(*group, doc, "length", "term").agg(F.sum("tf").alias("tf"))
+    average = average_length(lengths(docs, [*group, doc], text), group)
     joined = found.join(average, list(group)) if group else found.join(F.broadcast(average))
-    return joined.select(*keys, "term", "tf", tf_weight(F.col("tf"), F.col("length"), F.col("average")).alias("weight"))
+    return joined.select(*group, doc, "term", "tf", tf_weight(F.col("tf"), F.col("length"), F.col("average")).alias("weight"))
 
 
-def score_postings(stored: DataFrame, query: str, n: int, doc: str = "doc_id") -> DataFrame:
-    """doc and score from stored weights: the query's terms are broadcast and meet their postings."""
-    spark = stored.sparkSession
-    asked = spark.sql("SELECT :q AS text", args={"q": query}).select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    found = stored.join(F.broadcast(asked), "term")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+def score_postings(stored: DataFrame, query: str, n: int, doc: str = "doc_id", language: str | None = None) -> DataFrame:
+    """doc and score from stored weights: the query's terms, with their stems in ``language``, meet their postings."""
+    asked = asked_tokens(stored.sparkSession, query, language)
+    found = stored.where(F.col("term").isin(asked))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each of the query's terms
     return found.join(F.broadcast(df), "term").groupBy(doc).agg(F.sum(idf(F.lit(n), F.col("df")) * F.col("weight")).alias("score"))

@@ -136,3 +136,25 @@ def test_streams_equal_batches(spark, tmp_path, name, dials):
     q.awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     assert got == sorted(map(tuple, getattr(usage, name)(rows, **dials).collect()))
+
+
+def test_index_with_stems_and_compatibility_forms(spark):
+    docs = spark.createDataFrame([(1, "en", "running RUNS ﬁling"), (2, "en", "the runner"), (3, "de", "running"), (4, "en", None), (5, "en", "ﾃﾞｰﾀ １２")], "doc_id int, lang string, text string")
+    raw = {(r.doc_id, r.term): r.tf for r in keyword.postings(docs, ["doc_id"]).collect()}
+    assert raw == {(1, "running"): 1, (1, "runs"): 1, (1, "filing"): 1, (2, "the"): 1, (2, "runner"): 1, (3, "running"): 1, (5, "デー"): 1, (5, "ータ"): 1, (5, "12"): 1}
+    both = {(r.doc_id, r.term): r.tf for r in keyword.postings(docs, ["doc_id"], language="lang").collect()}
+    assert both == raw | {(1, "run"): 2, (1, "file"): 1} or both == raw | {(1, "run"): 2, (1, "file"): 1, (2, "runner"): 1}
+    stored = keyword.sparse_vectors(docs, language="lang")
+    assert {(r.doc_id, r.term): r.tf for r in stored.collect()} == both
+    assert sorted(r.doc_id for r in keyword.score_postings(stored, "run", 5, language="en").collect()) == [1]
+    assert sorted(r.doc_id for r in keyword.score_postings(stored, "running", 5, language="en").collect()) == [1, 3]
+    assert keyword.asked_tokens(spark, "Running ﬁles running", "en") == ["running", "run", "files", "file"]
+    plain = {(r.doc_id, r.term): r.weight for r in keyword.sparse_vectors(docs).collect()}
+    assert all(abs(r.weight - plain[r.doc_id, r.term]) < 1e-12 for r in stored.collect() if (r.doc_id, r.term) in plain)
+
+
+def test_bm25_tokenises_once_for_each_branch(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id int, text string")
+    plan = keyword.bm25(docs, "a b c")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 * 3  # two branches; the plain and the CJK way of each, and the runs of the latter
+    assert [(r.doc_id, r.score > 0) for r in keyword.bm25(docs, "a b c").collect()] == [(1, True)]
