@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,6 +141,25 @@ def batch_change(notes: DataFrame, ids: DataFrame, seq: int) -> DataFrame:
     return hit.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("deleted", F.lit(True))
 
 
+def batch_move(notes: DataFrame, moves: DataFrame, seq: int) -> DataFrame:
+    """The notes of ``moves`` (id, folder) in their new folders, all with one seq.
+
+    No rows at all if some id is unknown or if two live notes would have one path.
+    """
+    unknown = moves.join(notes, "id", "left_anti").agg(F.count("*").alias("_unknown"))
+    to = moves.groupBy("id").agg(F.max("folder").alias("_folder"))
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    after = notes.join(to, "id", "left").withColumn("path", F.when(F.col("_folder").isNull(), F.col("path")).otherwise(F.concat_ws("/", F.nullif("_folder", F.lit("")), name)))
+    clash = after.groupBy("vault_id", "path").agg(F.count("*").alias("n"), F.count("_folder").alias("moved")).where("n > 1 and moved > 0").agg(F.count("*").alias("_clash"))
+    hit = after.where("_folder is not null").join(F.broadcast(unknown)).join(F.broadcast(clash)).where("_unknown = 0 and _clash = 0")  # two single rows
+    return hit.withColumn("folder", F.col("_folder")).withColumn("seq", F.lit(seq).cast("bigint")).select(*notes.columns)
+
+
+def oldest_first(rows: DataFrame, stale: Column, by: str, id_: str, limit: int = 500) -> DataFrame:
+    """The first ``limit`` stale rows, oldest first, ties by id: the next batch of a repair job."""
+    return rows.where(stale).orderBy(by, id_).limit(limit)
+
+
 def upsert(notes: DataFrame, changes: DataFrame, key: str = "path") -> DataFrame:
     """Status of each change (key, base_hash, content_hash) against the present rows: created, unchanged, conflict or updated."""
     present = notes.select(key, F.col("content_hash").alias("_now"))
@@ -169,3 +188,26 @@ def patched(stored: DataFrame, patch: DataFrame, key: str, columns: Sequence[str
     """``stored`` with the columns that ``patch`` has a value for."""
     fresh = patch.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
     return stored.join(fresh, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in stored.columns])
+
+
+def patched_where(stored: DataFrame, where: Column, values: Mapping[str, Column]) -> DataFrame:
+    """``stored`` with the given columns overwritten, or added, in the rows that ``where`` holds for; others keep theirs or null."""
+    hit = F.coalesce(where, F.lit(False))
+    new = {c: F.when(hit, v).otherwise(F.col(c) if c in stored.columns else F.lit(None)) for c, v in values.items()}
+    return stored.select(*[new[c].alias(c) if c in new else F.col(c) for c in stored.columns], *[v.alias(c) for c, v in new.items() if c not in stored.columns])
+
+
+def without_keys(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows without the named payload columns; unknown names don't matter."""
+    return stored.drop(*keys)
+
+
+def scroll(stored: DataFrame, where: Column, payload: Sequence[str], id_: str, after: object = None, limit: int = 256) -> DataFrame:
+    """A page of a filtered scan in the order of ids, with the payload columns asked for only."""
+    page = stored.where(where) if after is None else stored.where(where & (F.col(id_) > F.lit(after)))
+    return page.select(id_, *payload).orderBy(id_).limit(limit)
+
+
+def filtered_count(stored: DataFrame, where: Column, by: Sequence[str] = ()) -> DataFrame:
+    """The exact number of rows that a filter leaves, whole or by columns."""
+    return stored.where(where).groupBy(*by).agg(F.count("*").alias("n"))

@@ -87,6 +87,11 @@ def resolve(edges: DataFrame, files: DataFrame, edge: tuple[str, ...] = ("source
     return out.select(*edges.columns, F.when(F.col("_b.kind") == "note", F.col("_b.id")).alias("target_note_id"), F.when(F.col("_b.kind") != "note", F.col("_b.id")).alias("target_attachment_id"), F.col("_b.path").alias("target_path"), F.col("_b").isNull().alias("dangling"))
 
 
+def outgoing(resolved: DataFrame) -> DataFrame:
+    """The edges of each note in the order of the parser: position, target, path of the target, whether it dangles."""
+    return resolved.select("source_note_id", "position", "target", "alias", "link_type", "target_note_id", "target_path", "dangling").orderBy("source_note_id", "position")
+
+
 def backlinks(resolved: DataFrame, notes: DataFrame, limit: int = BACKLINKS) -> DataFrame:
     """For each target note the first ``limit`` edges by position and source, with the source's path and title."""
     order = Window.partitionBy("target_note_id").orderBy("position", "source_note_id")
@@ -108,8 +113,13 @@ def affected_sources(resolved: DataFrame, renamed: DataFrame) -> DataFrame:
     return resolved.join(renamed.select(F.col("note_id").alias("target_note_id")).distinct(), "target_note_id", "left_semi").select("source_note_id").distinct()
 
 
-def without_deleted(resolved: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Edges after notes were deleted: their own links go, links to them dangle."""
+def without_deleted(resolved: DataFrame, deleted: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
+    """Edges after notes, and ``attachments`` (attachment_id), were deleted: notes' own links go, links to them dangle."""
+    if attachments is not None:
+        lost = attachments.select(F.col("attachment_id").alias("_lost")).distinct()
+        marked = resolved.join(lost, resolved["target_attachment_id"] == lost["_lost"], "left")
+        hit = F.col("_lost").isNotNull()
+        resolved = marked.select(*[F.when(~hit, F.col(c)).alias(c) if c in ("target_attachment_id", "target_path") else (F.col("dangling") | hit).alias(c) if c == "dangling" else F.col(c) for c in resolved.columns])
     gone = deleted.select(F.col("note_id").alias("_gone")).distinct()
     left = resolved.join(gone, resolved["source_note_id"] == gone["_gone"], "left_anti")
     marked = left.join(gone, left["target_note_id"] == gone["_gone"], "left")
