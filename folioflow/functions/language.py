@@ -18,9 +18,6 @@ FUNCTION_WORDS = {
     "fr": "le la les de des et est un une en que qui dans pour pas sur par au du il".split(),
 }
 
-#: Languages with a stemmer; fixed values
-STEMMER_CODES = {"english": "en", "german": "de", "french": "fr", "spanish": "es", "italian": "it", "portuguese": "pt", "dutch": "nl", "danish": "da", "finnish": "fi", "hungarian": "hu", "romanian": "ro", "swedish": "sv", "turkish": "tr", "catalan": "ca", "czech": "cs", "esperanto": "eo", "estonian": "et", "indonesian": "id", "irish": "ga", "lithuanian": "lt", "polish": "pl", "basque": "eu", "bokmal": "no", "nynorsk": "no"}
-
 
 def _hits(words: Column, language: str) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(FUNCTION_WORDS[language])))

@@ -143,6 +143,18 @@ def first_timestamp(values: Column, *keys: str) -> Column:
     return F.coalesce(*tries) if len(tries) > 1 else tries[0]
 
 
+def okf_fields(values: Column) -> list[Column]:
+    """type, description and resource of a note's frontmatter (JSON values), and its two timestamps.
+
+    The three are the map's strings, blank or of another kind null; fm_timestamp is the first valid of timestamp, modified
+    and updated, fm_created of created and date.
+    """
+    text = lambda k: F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at(values, F.lit(k)), F.lit("}")), "$.v")
+    string = lambda k: F.when(F.startswith(F.try_element_at(values, F.lit(k)), F.lit('"')), _or_null(text(k))).alias(k)
+    plain = F.transform_values(values, lambda k, v: F.regexp_replace(v, '^"|"$', ""))
+    return [*[string(k) for k in ("type", "description", "resource")], first_timestamp(plain, "timestamp", "modified", "updated").alias("fm_timestamp"), first_timestamp(plain, "created", "date").alias("fm_created")]
+
+
 def sanitised_path(path: Column) -> Column:
     """A path safe on every file system, but for the 255-byte limit of a segment, which ``sanitise`` (Python) adds."""
     clean = F.regexp_replace(F.regexp_replace(path, "\u0000", ""), ILLEGAL_IN_PATHS, "")

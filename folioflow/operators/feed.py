@@ -115,7 +115,7 @@ def renamed_subtree(notes: DataFrame, old: str, new: str) -> DataFrame:
     return moved.join(stay, ["vault_id", "new_path"], "left").withColumn("conflict", F.coalesce("_taken", F.lit(False))).drop("_taken")
 
 
-def retargeted(rows: DataFrame, moves: DataFrame, path: str = "path", limit: int = 10_000) -> DataFrame:
+def retargeted(rows: DataFrame, moves: DataFrame, path: str = "path") -> DataFrame:
     """``rows`` with new_path by the longest matching ``old`` prefix of ``moves`` (old, new); null where none fits.
 
     The path's own ancestors are looked up, so this is an equality join, whatever the number of moves.

@@ -163,7 +163,7 @@ def minmax_relevance(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def mmr_diverse_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
-    pool = dense.top_k(vectors, _query_vector(spark, folder), 40, with_vector=False).join(vectors, "vec_id").withColumn("query_id", F.lit(0))
+    pool = dense.top_k(vectors, _query_vector(spark, folder), 40, with_vector=True).withColumn("query_id", F.lit(0))
     return search.mmr(pool, 10, 0.5, id_="vec_id").select("query_id", "vec_id", "pick")
 
 

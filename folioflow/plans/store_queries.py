@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import python_text as P
 from folioflow.functions import text as T
-from folioflow.operators import feed, links
+from folioflow.operators import feed, links, search
 from folioflow.plans.notes import NOTES_SQL, PATH, notes
 from folioflow.plans.registry import query
 from folioflow.sources.tables import table
@@ -91,3 +92,36 @@ def backlinks_capped(spark: SparkSession, folder: str) -> DataFrame:
     titled = notes(spark, folder).withColumn("title", T.derived_title(F.col("path")))
     found = links.backlinks(edges.withColumn("position", place.cast("int")), titled)
     return found.select("target_note_id", "source_note_id", F.col("position").alias("place"))
+
+
+_CHANGED = "SELECT source AS vault_id, 'doc-' || doc_id AS key FROM documents WHERE doc_id % 3 = 0"
+
+
+@query(f"WITH {_EDGES}, k AS ({_CHANGED}) SELECT source_note_id, n::INT AS place, target_note_id, target_note_id IS NULL AS dangling FROM r JOIN k ON k.vault_id = r.vault_id AND k.key = r.goal")
+def rebound_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of every third note's basename, resolved anew."""
+    edges = _edges(spark, folder)
+    place = F.row_number().over(Window.partitionBy("source_note_id").orderBy("position"))
+    edges = edges.withColumn("place", place.cast("int")).drop("target_note_id", "target_attachment_id", "target_path", "dangling")
+    keys = notes(spark, folder).where("note_id % 3 = 0").select("vault_id", T.basename_key(F.col("path")).alias("basename_key"))
+    files = notes(spark, folder).select("vault_id", "id", "path", F.lit("note").alias("kind"))
+    return links.rebound(edges, files, keys).select("source_note_id", "place", "target_note_id", "dangling")
+
+
+@query(f"WITH {NOTES_SQL}, h AS (SELECT vec_id AS chunk_id, d.source AS vault_id, concat(d.lang, '/p', d.doc_id % 5, '/Doc-', d.doc_id + vec_id % 2, '.md') AS source_path FROM embeddings JOIN documents d ON d.doc_id = vec_id) SELECT chunk_id, h.source_path, note_id FROM h LEFT JOIN notes n ON n.vault_id = h.vault_id AND n.path = h.source_path")
+def attached_ids(spark: SparkSession, folder: str) -> DataFrame:
+    path = F.expr("concat(lang, '/p', doc_id % 5, '/Doc-', doc_id + vec_id % 2, '.md')")
+    met = table(spark, folder, "embeddings").join(table(spark, folder, "documents"), F.col("doc_id") == F.col("vec_id"))
+    hits = met.select(F.col("vec_id").alias("chunk_id"), F.col("source").alias("vault_id"), path.alias("source_path"))
+    return search.attach_ids(hits, notes(spark, folder)).select("chunk_id", "source_path", "note_id")
+
+
+_OKF = "concat('---\ntype: ', source, '\ndescription: \"', lang, ' text\"\nresource: ', n_chars, '\nmodified: 2024-02-0', doc_id % 9 + 1, '\ntimestamp: soon\ndate: 2024-03-0', doc_id % 9 + 1, 'T10:00:00.5Z\n---\n', text)"
+
+
+@query("SELECT doc_id AS note_id, source AS type, lang || ' text' AS description, NULL::VARCHAR AS resource, '2024-02-0' || (doc_id % 9 + 1) || ' 00:00:00' AS fm_timestamp, '2024-03-0' || (doc_id % 9 + 1) || ' 10:00:00' AS fm_created FROM documents")
+def okf_fields(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("note_id"), P.frontmatter_fields(F.expr(_OKF)).alias("f"))
+    found = rows.select("note_id", *T.okf_fields(F.col("f.values")))
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select("note_id", "type", "description", "resource", show("fm_timestamp"), show("fm_created"))
