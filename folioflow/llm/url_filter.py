@@ -91,8 +91,10 @@ def _level(rows: DataFrame, level: int) -> DataFrame:
     similar = (F.col("labelled") == 0) | (F.col("n") == 0) | (gap <= CHANCE * F.sqrt(F.try_divide(p * (1 - p), F.col("labelled"))))
     merged = _salted(named, pooled, node).select(*node, "seg", F.when((F.col("named") > 1) & similar, "~").otherwise(F.col("seg")).alias("name"))
     names = marked.where("variable").select(*node, "seg", F.lit("*").alias("name")).unionByName(merged)
-    out = rows.join(names, [*node, "seg"], "left")
-    return out.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("seg", "name")
+    # one segment of a host can hold a third of all urls: its one name is met by SALT tasks
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int"))
+    out = dealt.join(names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*node, "seg", "_salt"], "left")
+    return out.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("seg", "name", "_salt")
 
 
 def _salted(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
