@@ -5,10 +5,11 @@ of a document with one minimiser travel as one string of words to the bucket tha
 meet there; about half of them share each word's transport.  A bucket sorts its windows by a 64-bit hash, compares the
 words of equal hashes byte by byte, and reports every window that is not the first of its kind.
 
-Buckets are kept even.  A map task sends each distinct string once, with its first place, and the reports on its other
-places ride along.  Windows of a minimiser that holds more than HOT_SHARE of all strings (a passage in a third of all
+Buckets are kept even.  A map task sends each distinct string once, with its first place; it knows that the other places
+are repeated, and deals its reports on them over all buckets, whatever the words.  Windows of a minimiser that holds more than HOT_SHARE of all strings (a passage in a third of all
 documents, with other words around it each time) travel one by one, dealt by the hash of the window itself; a first pass
-over the corpus finds those minimisers, at most 2 / HOT_SHARE of them.  A task packs what it sends to a bucket into
+over the corpus finds those minimisers, at most 2 / LEAST_SHARE of them; with the corpus the share falls, so that the
+rest of a bucket stays at HOT_BUCKETS times its size, down to LEAST_SHARE.  A task packs what it sends to a bucket into
 compressed rows.
 """
 
@@ -28,9 +29,12 @@ from folioflow.llm.common import NULL_ID, Rolling, Words, gather, id_column, mix
 K = 20
 M = 3
 HOT_SHARE = 1 / 2000
+LEAST_SHARE = 1 / 100_000
+HOT_BUCKETS = 16
 BUCKET_BYTES = 2 << 20  #: of corpus text for each bucket
 CHUNK_BYTES = 24 << 20  #: of text that a map task packs at a time
 _CHUNK_ITEMS = 4_000_000
+_REPORTS = 512  #: that a packed row takes along, unless a task has more for each of its buckets
 
 _ROW = "doc_id bigint, text_hash int, text string"
 _RUNS = "doc_id bigint, text_hash int, start int, n int"
@@ -128,6 +132,7 @@ class _Packer:
 
     def __init__(self, k: int, m: int, buckets: int, hot: np.ndarray):
         self.k, self.m, self.buckets, self.hot = k, m, np.uint64(buckets), hot
+        self.turn = 0
         self.coder = zstandard.ZstdCompressor(level=1)
         self.clear()
 
@@ -177,13 +182,17 @@ class _Packer:
         drop = later.copy()
         drop[twin[same_place & (text_hash[twin] == text_hash[head[twin]])]] = True  # the very same row again
         kept, gone = np.flatnonzero(~drop), np.flatnonzero(later)
-        kept, gone = kept[np.argsort(bucket[kept], kind="stable")], gone[np.argsort(bucket[gone], kind="stable")]
+        kept = kept[np.argsort(bucket[kept], kind="stable")]
         names, first = np.unique(bucket[kept], return_index=True)
         first = np.append(first, len(kept))
-        rest = np.searchsorted(bucket[gone], names), np.searchsorted(bucket[gone], names, side="right")
+        gone = gone[np.lexsort((start[gone], doc[gone]))]
+        shares = min(len(names), -(-len(gone) // _REPORTS))
+        taker = (np.arange(shares) * len(names) // max(shares, 1) + self.turn) % len(names)
+        self.turn += 1
+        reports = dict(zip(taker.tolist(), np.array_split(gone, max(shares, 1)), strict=False))
         blobs = []
         for i in range(len(names)):
-            x, y = kept[first[i] : first[i + 1]], gone[rest[0][i] : rest[1][i]]
+            x, y = kept[first[i] : first[i + 1]], reports.get(i, gone[:0])
             columns = [v[x].astype(t) for v, t in zip((doc, text_hash, start, windows, size), _TYPES, strict=True)]
             others = [v[y].astype(t) for v, t in zip((doc, text_hash, start, windows), _OTHER, strict=True)]
             blobs.append(_pack(columns, gather(buf, at[x], size[x] + 1), others, self.coder))  # a space after each string
@@ -245,7 +254,7 @@ def repeated(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     rows = _keyed(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-size // BUCKET_BYTES))
-    hot = hot_minimisers(rows, k, m)
+    hot = hot_minimisers(rows, k, m, min(HOT_SHARE, max(LEAST_SHARE, HOT_BUCKETS / buckets)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(k, m, buckets, hot)
