@@ -67,23 +67,23 @@ def extension(target: Column) -> Column:
     return F.lower(F.regexp_extract(F.element_at(F.split(target, "/"), -1), r".(\.[^.]*)$", 1))
 
 
-def resolve(edges: DataFrame, files: DataFrame, edge: tuple[str, ...] = ("source_note_id", "position")) -> DataFrame:
+def resolve(edges: DataFrame, files: DataFrame) -> DataFrame:
     """``edges`` with target_note_id, target_attachment_id, target_path and dangling.
 
     ``files`` has vault_id, id, path and kind (note or attachment) of live files.  A target without extension, or with
     .md or .canvas, prefers notes, any other prefers attachments; the other kind is the fallback.  A target with a slash
     must be the whole path, as given or with .md or .canvas, whatever the case.  The shortest path wins, then the first
-    in order.  Candidates meet by basename; a basename that many files share has as many candidates for each edge.
+    in order.  The files' names are ranked once, so an edge meets one row, however many files share a name.
     """
-    goals = files.select("vault_id", T.basename_key(F.col("path")).alias("basename_key"), F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("kind").alias("_kind"))
-    low = F.lower("target")
-    whole = F.lower("_path").isin(low, F.concat(low, F.lit(".md")), F.concat(low, F.lit(".canvas")))
-    fits = ~F.contains("target", F.lit("/")) | whole
+    low, bare = F.lower("path"), T.basename_key(F.col("path"))
+    stem = F.regexp_replace(low, r"\.(md|canvas)$", "")
+    whole = F.filter(F.array(low, F.when(T.basename_key(stem) == bare, stem)), lambda k: F.contains(k, F.lit("/")))
+    ranked = lambda first: F.min(F.struct(F.when(F.col("kind") == first, 0).otherwise(1).alias("p"), F.length("path").alias("n"), "path", "id", "kind"))
+    named = files.select("vault_id", F.explode(F.array_distinct(F.array_append(whole, bare))).alias("_key"), "path", "id", "kind")
+    names = named.groupBy("vault_id", "_key").agg(ranked("note").alias("_notes"), ranked("attachment").alias("_others"))
     notes_first = extension(F.col("target")).isin("", ".md", ".canvas")
-    preferred = F.when(notes_first == (F.col("_kind") == "note"), 0).otherwise(1)
-    met = edges.join(goals, ["vault_id", "basename_key"]).where(fits)
-    best = met.groupBy(*edge).agg(F.min(F.struct(preferred.alias("p"), F.length("_path").alias("n"), F.col("_path").alias("path"), F.col("_id").alias("id"), F.col("_kind").alias("kind"))).alias("_b"))
-    out = edges.join(best, list(edge), "left")
+    keyed = edges.withColumn("_key", F.when(F.contains("target", F.lit("/")), F.lower("target")).otherwise(F.col("basename_key")))
+    out = keyed.join(names, ["vault_id", "_key"], "left").withColumn("_b", F.when(notes_first, F.col("_notes")).otherwise(F.col("_others")))
     return out.select(*edges.columns, F.when(F.col("_b.kind") == "note", F.col("_b.id")).alias("target_note_id"), F.when(F.col("_b.kind") != "note", F.col("_b.id")).alias("target_attachment_id"), F.col("_b.path").alias("target_path"), F.col("_b").isNull().alias("dangling"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from folioflow.operators.usage import Bucket, Meter
+from folioflow.operators.usage import Bucket, Burst, Meter
 
 
 def _streamed(rows: DataFrame, key: str, ts: str, id_: str, make: Callable, names: tuple[str, ...], out: str) -> DataFrame:
@@ -42,35 +42,40 @@ def token_bucket(calls: DataFrame, key: str = "user_id", ts: str = "ts", id_: st
     return _streamed(calls, key, ts, id_, lambda: Bucket(**dials), ("tokens", "decision"), "tokens double, decision string")
 
 
-def debounce(events: DataFrame, key: str = "user_id", ts: str = "ts", quiet: int = 30, ceiling: int = 300, late: str = "10 seconds") -> DataFrame:
-    """key, first_us, run_us and events of each run, sent once the watermark has passed its time."""
+def debounce(events: DataFrame, key: str = "user_id", ts: str = "ts", quiet: float = 30, ceiling: float = 300, late: str = "10 seconds", eager: float | None = None, idle: float | None = None) -> DataFrame:
+    """key, first_us, run_us and events of each run, sent once the watermark has passed its time.
+
+    With ``eager``, a burst after at least ``idle`` (``quiet`` if not given) without events runs that soon, as in the batch
+    operator.  The key's last event stays in the state until the watermark has passed that rest too.  An event that comes
+    after a later one counts at that one's time.
+    """
     kinds = dict(events.dtypes)
-    quiet_us, ceiling_us = quiet * 1_000_000, ceiling * 1_000_000
+    us = lambda s: None if s is None else int(s * 1e6)
+    rest = us(idle or quiet) if eager is not None else 0
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, due, n = state.get if state.exists else (0, 0, 0)
+        burst = Burst(us(quiet), us(ceiling), us(eager), us(idle))
+        if state.exists:
+            burst.first, burst.due, burst.count, burst.last, burst.fixed = state.get
         out = []
         if state.hasTimedOut:
-            out.append((first, due, n))
+            if burst.count:
+                out.append(burst.run())
+                burst.count = 0
+        else:
+            out += [r for t in sorted(t for f in frames for t in f["_us"].tolist()) if (r := burst(max(t, burst.last or t)))]
+        until = burst.due if burst.count else burst.last + rest
+        if state.hasTimedOut and until // 1000 < state.getCurrentWatermarkMs():
             state.remove()
         else:
-            for t in sorted(t for f in frames for t in f["_us"].tolist()):
-                if n and t > due:
-                    out.append((first, due, n))
-                    n = 0
-                if not n:
-                    first, due = t, t + quiet_us
-                else:
-                    due = min(max(due, t + quiet_us), first + ceiling_us)
-                n += 1
-            state.update((first, due, n))
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            state.update((burst.first, burst.due, burst.count, burst.last, burst.fixed))
+            state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         frame = pd.DataFrame(out, columns=["first_us", "run_us", "events"])
         frame.insert(0, key, group[0])
         yield frame
 
     shaped = events.withWatermark(ts, late).select(key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
-    return shaped.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, first_us bigint, run_us bigint, events int", "first_us bigint, due_us bigint, n int", "append", GroupStateTimeout.EventTimeTimeout)
+    return shaped.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, first_us bigint, run_us bigint, events int", "first_us bigint, due_us bigint, n int, last_us bigint, fixed boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def daily_counts(requests: DataFrame, keys: tuple[str, ...] = ("user_id", "fingerprint_class"), ts: str = "ts", late: str = "1 hour") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import dense, feed, keyword, search, usage
 from folioflow.sources import tables
-from folioflow.streaming import folds
+from folioflow.streaming import folds, sinks
 
 
 def test_bm25_weight(spark):
@@ -158,3 +158,27 @@ def test_bm25_tokenises_once_for_each_branch(spark):
     plan = keyword.bm25(docs, "a b c")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 2 * 3  # two branches; the plain and the CJK way of each, and the runs of the latter
     assert [(r.doc_id, r.score > 0) for r in keyword.bm25(docs, "a b c").collect()] == [(1, True)]
+
+
+@pytest.mark.parametrize("dials", [{}, {"eager": 3600, "idle": 7200}])
+def test_streamed_debounce_equals_batch(spark, tmp_path, dials):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    last = spark.sql("SELECT -1L AS event_id, -1L AS user_id, TIMESTAMP '2030-01-01' AS ts").select(*[F.col(c).cast(t) for c, t in rows.dtypes])
+    for k, (a, b) in enumerate((("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2025-01-01"))):
+        rows.where(f"ts >= '{a}' and ts < '{b}'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part={k}")
+    last.coalesce(1).write.parquet(f"{tmp_path}/in/part=3")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    dials = {"quiet": 86_400, "ceiling": 259_200, **dials}
+    folds.debounce(stream, **dials).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").where("user_id >= 0").collect()))
+    want = usage.debounce(rows, **dials).select("user_id", F.unix_micros("first"), F.unix_micros("run_at"), "events")
+    assert got and got == sorted(map(tuple, want.collect()))
+
+
+def test_change_topics_replace_a_replayed_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"v{i % 3}") for i in range(30)], "seq int, vault_id string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    for cp in ("one", "two"):  # a new checkpoint runs the same batch again
+        sinks.change_topics(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/{cp}").trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 30 and sorted(r.seq for r in back.where("vault_id = 'v1'").collect()) == list(range(1, 30, 3))

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,26 @@ def test_resolution_and_rewriting(spark):
     new = links.rewrite_notes(notes, resolved, renames, after).first()["content"]
     assert new == "[[Foo2]] [[b/New Name]] [[img.png]] [[Node.js]] [[missing]] [t](b/New%20Name.md) [[Foo2.md]]"
     assert [r[0] for r in links.affected_sources(resolved, renames).collect()] == [6]
+
+
+def test_resolution_equals_brute_force(spark):
+    paths = ["a/x.md", "b/x.md", "deep/er/x.md", "x.canvas", "a/x.png", "x.png", "a/X", "a/y.md.md", "y.md", "a/y", "a/b.c/z.md", "a/x.md.canvas", "n/note.md", "n/note"]
+    files = [("v", i, p, "attachment" if p.endswith(".png") or i % 7 == 6 else "note") for i, p in enumerate(paths)] + [("w", 100, "a/x.md", "note")]
+    targets = ["x", "X.md", "a/x", "A/x.md", "x.png", "a/x.png", "b/x.png", "y", "y.md", "a/y.md", "a/y", "a/y.md.md", "er/x", "b.c/z", "z", "a/x.md.canvas", "n/note", "none", "/x", None]
+    frame = spark.createDataFrame(files, "vault_id string, id int, path string, kind string")
+    edges = spark.createDataFrame([("v", 1, i, t) for i, t in enumerate(targets)], "vault_id string, source_note_id int, position int, target string").withColumn("basename_key", T.basename_key(F.col("target")))
+    key = lambda p: re.sub(r"\.(md|canvas)$", "", p.lower().split("/")[-1])
+
+    def best(target):
+        name = (target or "").split("/")[-1]
+        notes_first = "." not in name[1:] or name.lower().endswith((".md", ".canvas"))
+        low = (target or "").lower()
+        found = [(notes_first != (k == "note"), len(p), p, i) for v, i, p, k in files if v == "v" and target is not None and key(p) == key(target) and ("/" not in target or p.lower() in (low, low + ".md", low + ".canvas"))]
+        return min(found)[3] if found else None
+
+    resolved = links.resolve(edges, frame)
+    got = [(r.target, r.target_note_id if r.target_note_id is not None else r.target_attachment_id, r.dangling) for r in resolved.orderBy("position").collect()]
+    assert got == [(t, best(t), best(t) is None) for t in targets]
+    notes = spark.createDataFrame([("v", 1, "[[x]] [[a/x]]")], "vault_id string, note_id int, content string")
+    plan = links.resolve(links.extract_links(notes), frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
