@@ -15,8 +15,14 @@ each (the prefix).  The work goes in these steps:
    remaining lengths can't reach the threshold and those that are already linked to it.
 5. Linked nodes, and the documents with equal sets, share a component.
 
-No link is lost: every filter is a bound.  A block with more than BLOCK_ITEMS n-grams is dealt into chunks, and each
-pair of chunks is one task.
+No link is lost: every filter is a bound.  Groups and blocks of any size are dealt over tasks of bounded size:
+
+* A group with more than GROUP_NODES nodes is compared in parts.  What a part joins is then one box, the range of its
+  sizes and sketches, and only boxes are compared across parts; two boxes are joined unless no member of one can be linked
+  with a member of the other.
+* A block with more than BLOCK_ITEMS n-grams is linked in chunks, then a few sets of each class found are linked with each
+  other.  If that leaves one class, as among near copies, the block is done.  Otherwise the sets outside the largest class
+  meet all chunks of the block; those of the largest class don't meet each other again.
 """
 
 from __future__ import annotations
@@ -35,7 +41,9 @@ FREQUENT_SHARE = 1 / 400  #: of a task's documents
 FREQUENT = 100_000  #: n-grams in the hint at most
 CLASSES = 64
 FINE_CLASSES = 1024  #: of the sketches that large blocks are cut by
+GROUP_NODES = 1_000  #: nodes of one n-gram that one task compares
 BLOCK_ITEMS = 2_000_000  #: n-grams of all sets that one task links
+HEADS = 8  #: sets that stand for a class of a chunk when chunks are compared
 BROADCAST_ROWS = 1_000_000  #: rows of two numbers that are broadcast at most; more are joined by a shuffle
 _TASK_ITEMS = 1_000_000
 _BUCKET_ITEMS = 300_000
@@ -261,23 +269,94 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def box_edges(root: np.ndarray, least: np.ndarray, most: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect all boxes of which members may be linked; boxes of one ``root`` are connected already.
+
+    A box has the least and most n-grams of its members, and of each class of their sketches (``low``, ``high``).
+    """
+    edges: list[tuple[int, int]] = []
+    _, at = np.unique(root, return_inverse=True)
+    low, high = low.astype(np.int16), high.astype(np.int16)
+    for i in range(1, len(at)):
+        part = np.flatnonzero(at[:i] != at[i])
+        part = part[percent * np.maximum(least[part], least[i]) <= 100 * np.minimum(most[part], most[i])]
+        apart = np.maximum(np.maximum(low[part] - high[i], low[i] - high[part]), 0).sum(1)
+        # the bound of most_different without its rounding, which isn't monotone in the sizes
+        for j in part[(100 + percent) * apart <= (100 - percent) * (most[part] + most[i])].tolist():
+            if at[j] != at[i]:
+                edges.append((j, i))
+                at[at == max(at[i], at[j])] = min(at[i], at[j])
+    return edges
+
+
+_BOX = "group bigint, root bigint, least bigint, most bigint, low binary, high binary"
+
+
+def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One box for each group and root of a batch, from the boxes in it."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group, root, least, most = (batch.column(c).to_numpy() for c in ("group", "root", "least", "most"))
+        low, high = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(group), -1) for c in ("low", "high"))
+        order = np.lexsort((root, group))
+        group, root = group[order], root[order]
+        first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (root[1:] != root[:-1])))
+        low, high = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+        numbers = [pa.array(x) for x in (group[first], root[first], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first))]
+        yield pa.RecordBatch.from_arrays([*numbers, *(pa.array([row.tobytes() for row in x], pa.binary()) for x in (low, high))], ["group", "root", "least", "most", "low", "high"])
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+
+
 def _plausible(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """node, root: nodes joined by plausible links.  ``sketches`` has node, n_shingles and sketch; others take no part."""
-    members = groups.join(sketches, "node").repartition("group").sortWithinPartitions("group", "n_shingles", "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for table in runs(batches, "group"):
+        for table in runs(batches, "task"):
             node = table["node"].to_pylist()
             if len(node) > 1:
                 wide = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
                 out += [(node[i], node[j]) for i, j in plausible_edges(table["n_shingles"].to_numpy(), wide, percent)]
             if len(out) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+                yield _edges(out)
                 out = []
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+        yield _edges(out)
 
-    return components(members.mapInArrow(run, "a bigint, b bigint"))
+    def compare_boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "task"):
+            root = table["root"].to_numpy()
+            low, high = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint8).reshape(len(root), -1) for c in ("low", "high"))
+            found = box_edges(root, table["least"].to_numpy(), table["most"].to_numpy(), low, high, percent)
+            yield _edges([(int(root[i]), int(root[j])) for i, j in found])
+
+    large = materialise(groups.groupBy("group").agg(F.count("*").alias("nodes")).where(F.col("nodes") > GROUP_NODES), "large-groups")
+    dealt = groups.join(_few(large), "group", "left")
+    part = F.when(F.col("nodes").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") * 2 / GROUP_NODES)))
+    members = dealt.withColumn("task", F.when(part == 0, F.col("group")).otherwise(F.xxhash64("group", part))).join(sketches, "node")
+    compared = members.select("task", "node", "n_shingles", "sketch").repartition("task").sortWithinPartitions("task", "n_shingles", "node")
+    found = components(compared.mapInArrow(compare, "a bigint, b bigint"))
+    if large.isEmpty():
+        return found
+    found = materialise(found, "parts")
+    named = members.where("nodes IS NOT NULL").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    boxes = named.select("group", "root", F.col("n_shingles").alias("least"), F.col("n_shingles").alias("most"), F.col("sketch").alias("low"), F.col("sketch").alias("high"))
+    boxes = materialise(boxes.mapInArrow(_boxes, _BOX).repartition("group", "root").sortWithinPartitions("group", "root").mapInArrow(_boxes, _BOX), "boxes")
+    sizes = boxes.groupBy("group").agg(F.count("*").alias("boxes"), F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
+    parts = sizes.select("group", F.when(F.col("boxes") > GROUP_NODES, F.ceil(F.col("boxes") * 2 / GROUP_NODES)).otherwise(1).cast("int").alias("parts"))
+    dealt = boxes.join(_few(parts), "group")
+    mine = F.pmod(F.xxhash64("root", "least"), F.col("parts")).cast("int")
+    tasks = dealt.select(*boxes.columns, F.explode(_pairs(mine, F.col("parts"))).alias("pair")).withColumn("task", F.xxhash64("group", "pair.i", "pair.j"))
+    across = tasks.drop("group", "pair").repartition("task").sortWithinPartitions("task", "most", "root").mapInArrow(compare_boxes, "a bigint, b bigint")
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
+
+
+def _pairs(mine, parts):
+    """The pairs (i, j) of parts that a row of part ``mine`` belongs to."""
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
 
 
 def _blocks(rows: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -380,14 +459,20 @@ class Trie:
         node.one = node.one and self.sets.find(node.some) == self.sets.find(item)
 
 
-def link_sets(grams: list[np.ndarray], percent: int) -> list[int]:
-    """For each set the smallest index of a set that it is linked with, directly or through others."""
+def link_sets(grams: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[int]:
+    """For each set the smallest index of a set that it is linked with, directly or through others.
+
+    Sets with the same number in ``known`` are known to be linked.
+    """
     flat = np.concatenate(grams)
     _, which, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(count), np.int32)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.int32)
     ranks, at = rank[which], 0
     sets = Sets(len(grams))
+    first: dict[int, int] = {}
+    for i, name in enumerate(known or []):
+        sets.join(first.setdefault(name, i), i)
     trie = Trie(sets, len(count), percent)
     for i, g in enumerate(grams):
         mine = np.sort(ranks[at : at + len(g)])
@@ -442,29 +527,67 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     return all_.join(found, "node", "left").select("doc_id", "text_hash", "n_shingles", "component_hash", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _linked(rows: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percent: int) -> DataFrame:
-    """node, root for the nodes of all blocks, by tries over their texts."""
-    sized = blocks.withColumnRenamed("root", "block").join(nodes.select("node", "key", "n_shingles"), "node")
-    chunks = sized.groupBy("block").agg(F.sum("n_shingles").alias("size")).withColumn("chunks", F.when(F.col("size") > BLOCK_ITEMS, F.ceil(F.col("size") * 2 / BLOCK_ITEMS)).otherwise(1).cast("int"))
-    placed = sized.join(chunks, "block")
-    texts = _texts(rows, placed.select("node", "block", "chunks", "key"))
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    dealt = texts.select("node", "block", "text", F.explode(every).alias("pair")).select("node", "text", F.xxhash64("block", "pair.i", "pair.j").alias("task"))
+def _tries(dealt: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b, head: each node with the first that it is linked with in its task, by tries.
+
+    ``dealt`` has task, node, root (nodes of one root are known to be linked) and text.  HEADS nodes of a class are heads.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "task"):
             node = table["node"].to_pylist()
-            grams = [g for batch in table.to_batches() for _, texts in slices([batch]) for g in gram_sets(texts, n)]
             if len(node) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([node[r] for r in link_sets(grams, percent)], pa.int64())], ["a", "b"])
+                grams = [g for batch in table.to_batches() for _, texts in slices([batch]) for g in gram_sets(texts, n)]
+                first = link_sets(grams, percent, table["root"].to_pylist())
+                total, seen, head = np.bincount(first), [0] * len(node), []
+                for r in first:
+                    head.append(bool(total[r] > 1 and seen[r] < HEADS))
+                    seen[r] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([node[r] for r in first], pa.int64()), pa.array(head, pa.bool_())], ["a", "b", "head"])
+
+    return dealt.select("task", "node", "root", "text").repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "a bigint, b bigint, head boolean")
+
 
-    found = materialise(dealt.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "a bigint, b bigint"), "links")
-    # the tasks of one block give chains of links, which one more round of components makes whole
-    split = chunks.where("chunks > 1")
+def _chunks(size):
+    return F.when(size > BLOCK_ITEMS, F.ceil(size * 2 / BLOCK_ITEMS)).otherwise(1).cast("int")
+
+
+def _chunk(chunks):
+    return F.pmod(F.xxhash64("node"), chunks).cast("int")
+
+
+def _linked(rows: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, root for the nodes of all blocks, by tries over their texts."""
+    sized = blocks.withColumnRenamed("root", "block").join(nodes.select("node", "key", "n_shingles"), "node")
+    split = materialise(sized.groupBy("block").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("block", _chunks(F.col("size")).alias("chunks")), "large-blocks")
+    placed = sized.join(_few(split), "block", "left")
+    texts = _texts(rows, placed.select("node", F.col("node").alias("root"), "key", F.xxhash64("block", _chunk(F.coalesce("chunks", F.lit(1)))).alias("task")))
+    found = materialise(_tries(texts, n, percent), "links")
     if split.isEmpty():
         return found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return components(found.where("a <> b").select("a", "b"))
+    # a few sets of each class, over the chunks of a block
+    placed = placed.where("chunks IS NOT NULL").drop("chunks")
+    heads = materialise(placed.join(found.where("head").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "node"), "heads")
+    dealt = heads.join(_few(heads.groupBy("block").agg(_chunks(F.sum("n_shingles")).alias("chunks"))), "block")
+    texts = _texts(rows, dealt.select("node", "root", "key", F.xxhash64("block", _chunk(F.col("chunks"))).alias("task")))
+    joined = materialise(components(found.select("a", "b").unionByName(_tries(texts, n, percent).select("a", "b"))), "joined")
+    # sets outside the largest class of a block meet all of it
+    named = placed.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = named.groupBy("block", "root").agg(F.sum("n_shingles").alias("size"))
+    largest = classes.groupBy("block").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("size"), F.sum("size").alias("total"), F.count("*").alias("classes")).where("classes > 1")
+    largest = materialise(largest.select("block", "main", _chunks(F.col("size")).alias("chunks"), _chunks(F.col("total") - F.col("size")).alias("others")), "largest")
+    if largest.isEmpty():
+        return joined
+    open_ = named.join(_few(largest), "block")
+    upto = lambda parts: F.sequence(F.lit(0), parts - 1)
+    task = lambda i, j, others: F.struct(i.alias("i"), j.alias("j"), F.lit(others).alias("others"))
+    main = F.transform(upto(F.col("others")), lambda j: task(_chunk(F.col("chunks")), j, False))
+    mine = _chunk(F.col("others"))
+    other = F.concat(F.transform(upto(F.col("chunks")), lambda i: task(i, mine, False)), F.transform(_pairs(mine, F.col("others")), lambda p: task(p["i"], p["j"], True)))
+    texts = _texts(rows, open_.select("node", "root", "key", "block", F.when(F.col("root") == F.col("main"), main).otherwise(other).alias("tasks")))
+    dealt = texts.select("node", "root", "text", "block", F.explode("tasks").alias("at")).withColumn("task", F.xxhash64("block", "at.i", "at.j", "at.others"))
+    edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(edges.unionByName(_tries(dealt, n, percent).select("a", "b")))
 
 
 def kept(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

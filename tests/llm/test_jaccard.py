@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,6 +65,28 @@ def test_large_blocks_are_dealt_and_frequent_grams_come_last(spark, documents, m
     assert answer(spark, documents, rows, 3, 90) == brute(rows, 3, 90)
 
 
+@pytest.mark.parametrize("seed,n,percent", [(4, 3, 90), (6, 5, 80)])
+def test_large_groups_are_dealt(spark, documents, monkeypatch, seed, n, percent):
+    rows = corpus(seed)
+    monkeypatch.setattr(J, "GROUP_NODES", 3)
+    monkeypatch.setattr(J, "BLOCK_ITEMS", 2_000)
+    assert answer(spark, documents, rows, n, percent) == brute(rows, n, percent)
+
+
+def test_one_block_of_near_copies(spark, documents, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(90):
+        text = list(words)
+        for _ in range(r.randint(0, 6)):
+            text[r.randrange(150)] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(text)))
+    monkeypatch.setattr(J, "GROUP_NODES", 10)
+    monkeypatch.setattr(J, "BLOCK_ITEMS", 1_500)
+    assert answer(spark, documents, rows, 3, 90) == brute(rows, 3, 90)
+
+
 def test_odd_rows_and_empty_tables(spark, documents, odd):
     rows = list(enumerate(odd)) + [(20, "A"), (21, "a b"), (22, "A B")]
     assert answer(spark, documents, rows, 3, 90) == brute(rows, 3, 90)
@@ -122,6 +145,26 @@ def test_bounds_lose_no_link(sets, percent):
                 assert set(sorted(a)[:p]) & set(sorted(sets[j])[:q])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.sets(st.integers(0, 120), min_size=1, max_size=60)), min_size=2, max_size=30), st.sampled_from([80, 90]))
+def test_boxes_lose_no_link(members, percent):
+    sets = [s for _, s in members]
+    sketch = np.array([np.bincount([x % 64 for x in s], minlength=64) for s in sets]).astype(np.uint8)
+    size = np.array([len(s) for s in sets], np.int64)
+    table = {"group": np.zeros(len(sets), np.int64), "root": np.array([r for r, _ in members]), "least": size, "most": size, "low": [x.tobytes() for x in sketch], "high": [x.tobytes() for x in sketch]}
+    (box,) = J._boxes(iter([pa.RecordBatch.from_pydict(table)]))
+    root = box["root"].to_numpy()
+    low, high = (np.array([np.frombuffer(x, np.uint8) for x in box[c].to_pylist()]) for c in ("low", "high"))
+    assert root.tolist() == sorted({r for r, _ in members})
+    joined = J.Sets(9)
+    for i, j in J.box_edges(root, box["least"].to_numpy(), box["most"].to_numpy(), low, high, percent):
+        joined.join(int(root[i]), int(root[j]))
+    for i, (a, x) in enumerate(members):
+        for b, y in members[:i]:
+            if 100 * len(x & y) >= percent * len(x | y):
+                assert joined.find(a) == joined.find(b)
+
+
 def test_components(spark):
     r = random.Random(7)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(900, k) for k in range(901, 950)] + [(5, 5)]
