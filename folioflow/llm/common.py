@@ -8,13 +8,14 @@ occur inside a multi-byte UTF-8 sequence, so byte runs and code-point runs are t
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioflow.scratch import Scratch, free_name, materialise, remove_dir, shared_dir, stored  # noqa: F401
 
 NULL_ID = -(2**63)  #: stands for a null doc_id inside numpy code; sorts before every other id
 SLICE_BYTES = 2 << 20  #: bytes of text that one numpy pass handles, or one document if that is longer
@@ -27,46 +28,6 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LONG = 512  #: bytes from which a word is hashed by itself
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see.
-
-    It lies under ``spark.checkpoint.dir``.  Where that is unset, a local folder is set for the session if Spark runs on
-    this machine alone (tests, a laptop); on a cluster it is an error, since no other folder is known to be shared.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="folioflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``materialise`` and the folder, for tables that are removed once the next one is written."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
-    return stored(df, name)[0]
-
-
-def remove_dir(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def free_name(columns: list[str], name: str) -> str:
-    """``name``, lengthened until none of ``columns`` has it."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -101,12 +62,14 @@ def id_column(values: np.ndarray) -> pa.Array:
 class Words:
     """The words of some texts: ``buf`` padded bytes, ``start`` and ``end`` of each word, ``first[i]:first[i+1]`` those of text i."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, apart: np.ndarray = _SPACE):
+        """``apart``: for each byte, whether it parts words; a space must."""
+        self.apart = apart
         raw = b" ".join(texts)
         if lower:
             raw = raw.lower()  # bytes.lower() maps A-Z only
         self.buf = np.frombuffer(raw + b" " * 9, np.uint8)
-        live = ~_SPACE[self.buf]
+        live = ~apart[self.buf]
         edge = np.flatnonzero(live[1:] != live[:-1]) + 1
         if live[0]:
             edge = np.concatenate(([0], edge))
@@ -121,7 +84,7 @@ class Words:
     def joined(self) -> "Words":
         """The same words with exactly one space after each."""
         length = self.end - self.start
-        keep = ~_SPACE[self.buf[:-8]]
+        keep = ~self.apart[self.buf[:-8]]
         keep[self.end[self.end < len(keep)]] = True
         buf = self.buf[:-8][keep]
         out = object.__new__(Words)
@@ -130,7 +93,7 @@ class Words:
         buf = buf.copy()
         buf[out.end] = 0x20
         out.buf = np.concatenate((buf, np.full(9, 0x20, np.uint8)))
-        out.first, out.count = self.first, self.count
+        out.first, out.count, out.apart = self.first, self.count, self.apart
         return out
 
 
@@ -201,3 +164,23 @@ def gather(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray
     """The bytes of many ranges, one after the other."""
     begin = np.cumsum(length) - length
     return buf[np.repeat(start - begin, length) + np.arange(int(length.sum()))]
+
+
+#: A key is hot if it has more rows than this share of what each shuffle partition would get.
+HOT_SHARE = 4
+
+
+def join_counted(many: DataFrame, one: DataFrame, on: str, count: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has each value of ``on`` once and in ``count`` how many rows of ``many`` have it.
+
+    Rows of hot keys stay where they are and get a broadcast of ``one``'s hot rows, of which there are at most HOT_SHARE for
+    each shuffle partition, whatever the size of the data; the rest is joined by a shuffle or as Spark chooses.  Both are
+    read twice if there are hot keys, so they should be stored tables.  ``how`` is inner or left; ``count`` is dropped.
+    """
+    partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = one.agg(F.sum(count)).first()[0] or 0
+    hot = one.where(F.col(count) > max(1, total // (HOT_SHARE * partitions)))
+    if total < HOT_SHARE * partitions or hot.isEmpty():
+        return many.join(one.drop(count), on, how)
+    hot = F.broadcast(hot.drop(count))
+    return many.join(hot, on).unionByName(many.join(F.broadcast(hot.select(on)), on, "left_anti").join(one.drop(count), on, how))
