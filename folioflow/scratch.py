@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -56,6 +56,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def measured(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+        """``write`` and aggregates of the rows, taken while they are written; None where there are no rows to take them of."""
+        seen = Observation()
+        done = self.write(df.observe(seen, *(c.alias(k) for k, c in measures.items())), name)
+        return done, seen.get
+
     def finish(self, df: DataFrame, name: str = "result") -> DataFrame:
         """Writes the run's result and removes its other tables."""
         done, path = self.place(df, name)

@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -44,6 +45,10 @@ def test_empty_and_clashing_names(spark):
 def test_a_run_leaves_its_result_only(spark):
     run = Scratch(spark, "test")
     first = run.write(spark.range(5), "first")
+    again, seen = run.measured(first.where("id > 2"), "again", rows=F.count("*"), most=F.max("id"))
+    none, empty = run.measured(again.where("id > 9"), "none", rows=F.count("*"), most=F.max("id"))
+    bare, nothing = run.measured(spark.createDataFrame([], "id int"), "bare", rows=F.count("*"), most=F.max("id"))
+    assert again.count() == 2 and seen == {"rows": 2, "most": 4} and empty == nothing == {"rows": 0, "most": None} and none.isEmpty() and bare.isEmpty()
     done = run.finish(first.withColumn("two", F.lit(2)))
     assert done.count() == 5
-    assert len(spark.sparkContext.wholeTextFiles(f"{run.path}/*/_SUCCESS").collect()) == 1
+    assert os.listdir(run.path.removeprefix("file://")) == ["5-result"]
