@@ -166,21 +166,22 @@ def gather(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray
     return buf[np.repeat(start - begin, length) + np.arange(int(length.sum()))]
 
 
-#: A key is hot if it has more rows than this share of what each shuffle partition would get.
+#: A key is hot if it has more rows than a shuffle partition would get, divided by this, and more than HOT_ROWS.
 HOT_SHARE = 4
+HOT_ROWS = 100
 
 
-def join_counted(many: DataFrame, one: DataFrame, on: str, count: str, how: str = "inner") -> DataFrame:
+def join_counted(many: DataFrame, one: DataFrame, on: str, count: str, how: str = "inner", total: int | None = None, most: int | None = None) -> DataFrame:
     """``many`` joined with ``one``, which has each value of ``on`` once and in ``count`` how many rows of ``many`` have it.
 
-    Rows of hot keys stay where they are and get a broadcast of ``one``'s hot rows, of which there are at most HOT_SHARE for
-    each shuffle partition, whatever the size of the data; the rest is joined by a shuffle or as Spark chooses.  Both are
-    read twice if there are hot keys, so they should be stored tables.  ``how`` is inner or left; ``count`` is dropped.
+    ``total`` and ``most`` are the sum and the largest of the counts.  Rows of hot keys stay where they are and get a
+    broadcast of ``one``'s hot rows, of which there are at most HOT_SHARE for each shuffle partition, whatever the size of
+    the data; the rest is joined by a shuffle or as Spark chooses.  Both are read twice if there are hot keys, so they
+    should be stored tables.  ``how`` is inner or left; ``count`` is dropped.
     """
     partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = one.agg(F.sum(count)).first()[0] or 0
-    hot = one.where(F.col(count) > max(1, total // (HOT_SHARE * partitions)))
-    if total < HOT_SHARE * partitions or hot.isEmpty():
+    bound = max(HOT_ROWS, (total or 0) // (HOT_SHARE * partitions))
+    if (most or 0) <= bound:
         return many.join(one.drop(count), on, how)
-    hot = F.broadcast(hot.drop(count))
+    hot = F.broadcast(one.where(F.col(count) > bound).drop(count))
     return many.join(hot, on).unionByName(many.join(F.broadcast(hot.select(on)), on, "left_anti").join(one.drop(count), on, how))

@@ -5,18 +5,21 @@ Sets are ordered globally: first the n-grams that few documents have, by hash, t
 each (the prefix).  The work goes in these steps:
 
 1. One pass finds the frequent n-grams (a hint for the order; the result doesn't depend on it).
-2. One pass makes a small row for each document: size, digest of the set, prefix, and a sketch, which is how many of the
-   n-grams fall into each of 64 classes.  Documents with equal sets are one node from here on.
-3. Prefixes are packed by n-gram; nodes that share one are grouped.  Within a group, nodes whose sizes and sketches allow
-   the threshold (the sketches' difference is never larger than the sets') are joined into blocks.  Long sets of unlike
-   documents look alike in 64 classes, so a block that is too large for one task is cut anew by sketches of 1024.
+2. One pass makes a small row for each document: size, digest of the set (128 bits), prefix, and a sketch, which is how many
+   of the n-grams fall into each of 64 classes.  Documents with equal sets are one node from here on.
+3. Nodes that share an n-gram of their prefixes are grouped: n-grams are counted by partial sums, those of one node fall
+   out, and of those with the same nodes one stays.  Within a group, nodes whose sizes and sketches allow the threshold
+   (the sketches' difference is never larger than the sets') are joined into blocks.  Long sets of unlike documents look
+   alike in 64 classes, so a block that is too large for one task is cut anew by sketches of 1024.
 4. Each block gets its texts and stores its sets in a trie, frequent n-grams first, so that near copies share their path.
    A set traverses the trie once for all sets below a node, with the overlap so far, and leaves out subtrees whose
    remaining lengths can't reach the threshold and those that are already linked to it.
 5. Linked nodes, and the documents with equal sets, share a component.
 
-No link is lost: every filter is a bound.  Groups and blocks of any size are dealt over tasks of bounded size:
+No link is lost: every filter is a bound.  Keys, groups and blocks of any size are dealt over tasks of bounded size:
 
+* An n-gram, set, node or class that very many rows have is counted before it is joined; its rows stay where they are and
+  get a broadcast of the few rows that concern such keys (``join_counted``).
 * A group with more than GROUP_NODES nodes is compared in parts.  What a part joins is then one box, the range of its
   sizes and sketches, and only boxes are compared across parts; two boxes are joined unless no member of one can be linked
   with a member of the other.
@@ -28,14 +31,14 @@ No link is lost: every filter is a bound.  Groups and blocks of any size are dea
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import NULL_ID, Rolling, Words, free_name, materialise, mix, remove_dir, slices, stored
+from folioflow.llm.common import Rolling, Scratch, Words, free_name, join_counted, mix, remove_dir, slices
 
 FREQUENT_SHARE = 1 / 400  #: of a task's documents
 FREQUENT = 100_000  #: n-grams in the hint at most
@@ -46,7 +49,6 @@ BLOCK_ITEMS = 2_000_000  #: n-grams of all sets that one task links
 HEADS = 8  #: sets that stand for a class of a chunk when chunks are compared
 BROADCAST_ROWS = 1_000_000  #: rows of two numbers that are broadcast at most; more are joined by a shuffle
 _TASK_ITEMS = 1_000_000
-_BUCKET_ITEMS = 300_000
 _TOP = np.uint64(1 << 63)
 
 # --- sets -------------------------------------------------------------------------------------------------------------
@@ -106,80 +108,44 @@ def frequent(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def _summaries(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (64 bits of the set's digest), prefix and sketch; empty sets have no node."""
+    """doc_id, text_hash, n_shingles, digest of the set, keys (its prefix) and sketch; empty sets have none of these."""
     hint = frequent(rows, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            sizes, nodes, prefixes, sketches = [], [], [], []
+            sizes, digests, prefixes, sketches = [], [], [], []
             for grams in gram_sets(texts, n):
                 sizes.append(len(grams))
                 if not len(grams):
-                    nodes.append(None)
+                    digests.append(None)
                     prefixes.append(None)
                     sketches.append(None)
                     continue
-                nodes.append(int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True))
+                digests.append(set_digest(grams))
                 key = grams
                 if len(hint):
                     known = hint[np.minimum(np.searchsorted(hint, grams), len(hint) - 1)] == grams
                     key = np.concatenate((grams[~known], grams[known] | _TOP))
-                prefixes.append(key[: prefix_size(len(key), percent)].tobytes())
+                prefixes.append(key[: prefix_size(len(key), percent)].view(np.int64))
                 sketches.append(sketch(grams, CLASSES))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "n_shingles", "node", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "keys", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, prefix binary, sketch binary")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch binary")
 
 
-# --- blocks -----------------------------------------------------------------------------------------------------------
+def set_digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _groups(nodes: DataFrame) -> DataFrame:
-    """group, node: nodes that share an n-gram of their prefixes.  Groups of the same nodes have one number."""
-    items = nodes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    buckets = max(8, -(-(items // 8) // _BUCKET_ITEMS))
+# --- blocks -----------------------------------------------------------------------------------------------------------
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        size = 0
 
-        def rows() -> pa.RecordBatch:
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            key, owner = key[order], owner[order]
-            names, first = np.unique(bucket[order], return_index=True)
-            first = np.append(first, len(key))
-            blobs = [(key[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([k for k, _ in blobs], pa.binary()), pa.array([o for _, o in blobs], pa.binary())], ["bucket", "keys", "owners"])
-
-        for batch in batches:
-            for raw, node in zip(batch.column("prefix").to_pylist(), batch.column("node").to_pylist(), strict=True):
-                keys.append(np.frombuffer(raw, np.uint64))
-                owners.append(np.full(len(keys[-1]), node, np.int64))
-                size += len(keys[-1])
-            if size >= _TASK_ITEMS:
-                yield rows()
-                keys, owners, size = [], [], 0
-        if keys:
-            yield rows()
-
-    def share(table: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
-        owner = np.concatenate([np.frombuffer(x, np.int64) for x in table["owners"].to_pylist()])
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(key)))
-        name = np.add.reduceat(mix(owner.view(np.uint64)), first)  # of the set of nodes
-        keep = np.repeat(size > 1, size)
-        return pa.table([pa.array(np.repeat(name, size)[keep].view(np.int64)), pa.array(owner[keep])], ["group", "node"])
-
-    packed = nodes.select("node", "prefix").mapInArrow(pack, "bucket bigint, keys binary, owners binary")
-    return packed.groupBy("bucket").applyInArrow(share, "group bigint, node bigint").distinct()
+def _groups(run: Scratch, nodes: DataFrame) -> DataFrame:
+    """group, node: nodes that share a key.  Of keys that the same nodes have, one makes a group."""
+    items = nodes.select("node", F.explode("keys").alias("key"))
+    held = items.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("these")).where("n > 1")
+    keys, seen = run.measured(held.groupBy("these", "n").agg(F.min("key").alias("key")).select("key", "n"), "keys", total=F.sum("n"), most=F.max("n"))
+    return run.write(join_counted(items, keys, "key", "n", **seen).select(F.col("key").alias("group"), "node"), "groups")
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -200,6 +166,20 @@ def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _new(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """The rows that differ in ``columns`` from the row before, of a sorted partition."""
+    last: list = [None] * len(columns)
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        for k, c in enumerate(columns):
+            values = batch.column(c).to_numpy(zero_copy_only=False)
+            if len(values):
+                keep[1:] |= values[1:] != values[:-1]
+                keep[0] |= values[0] != last[k]
+                last[k] = values[-1]
+        yield batch if keep.all() else batch.filter(pa.array(keep))
+
+
 class Sets:
     """Disjoint sets of 0, 1, 2, ..."""
 
@@ -219,14 +199,21 @@ class Sets:
             self.above[max(i, j)] = min(i, j)
 
 
-def plausible_edges(size: np.ndarray, sketch: np.ndarray, percent: int, recent: int = 32) -> list[tuple[int, int]]:
-    """Pairs that connect all nodes of a group whose sizes and sketches allow a link, as few as come up.
+#: Tells which of some nodes (sizes, shapes) may be linked with one (size, shape).
+Near = Callable[[np.ndarray, np.ndarray, int, np.ndarray], np.ndarray]
+
+
+def near_sketches(percent: int) -> Near:
+    return lambda sizes, shapes, size, shape: np.abs(shapes.astype(np.int16) - shape.astype(np.int16)).sum(1) <= most_different(sizes, size, percent)
+
+
+def plausible_edges(size: np.ndarray, shape: np.ndarray, percent: int, recent: int = 32, near: Near | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect all nodes of a group whose sizes and shapes (sketches, unless ``near`` says) allow a link.
 
     ``size`` is in ascending order.  Each node is compared with the smaller ones that its size allows, but of those that
     are connected with each other already only until one pair is found.
     """
-    sets, edges, low = Sets(len(size)), [], 0
-    wide = sketch.astype(np.int16)
+    edges, low, near = [], 0, near or near_sketches(percent)
     root = np.arange(len(size))
     for i in range(1, len(size)):
         while percent * size[i] > 100 * size[low]:
@@ -234,8 +221,7 @@ def plausible_edges(size: np.ndarray, sketch: np.ndarray, percent: int, recent:
         at = np.arange(low, i)
         for part in (at[-recent:], at[:-recent]):
             while len(part := part[root[part] != root[i]]):
-                near = np.abs(wide[part] - wide[i]).sum(1) <= most_different(size[part], size[i], percent)
-                hit = part[near]
+                hit = part[near(size[part], shape[part], size[i], shape[i])]
                 if not len(hit):
                     break
                 edges.append((int(hit[-1]), i))
@@ -245,25 +231,32 @@ def plausible_edges(size: np.ndarray, sketch: np.ndarray, percent: int, recent:
     return edges
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, run: Scratch | None = None) -> DataFrame:
     """node, root: the smallest node of each node's component, for all nodes in ``edges`` (columns a, b).
 
     Alternates the large-star and small-star steps; each is an aggregation and a join, and the edges are written to the
-    shared folder after every round.
+    shared folder after every round.  A hub's edges, however many, are not brought together: see ``join_counted``.
     """
-    edges, folder = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-    before = mark(edges)
+    run = run or Scratch(edges.sparkSession, "components")
+    mark = {"edges": F.count("*"), "digest": F.bit_xor(F.xxhash64("a", "b"))}
+
+    def starred(pairs: DataFrame, least) -> tuple[DataFrame, str]:
+        """Each pair with the least neighbour m of its a."""
+        hubs, seen = run.measured(pairs.groupBy("a").agg(least.alias("m"), F.count("*").alias("n")), "least", total=F.sum("n"), most=F.max("n"))
+        return join_counted(pairs, hubs, "a", "n", **seen)
+
+    old = []
+    edges, before = run.measured(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", **mark)
     while True:
+        begun = len(run.paths)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        last = folder
-        edges, folder = stored(small, "edges")
-        remove_dir(edges.sparkSession, last)
-        now = mark(edges)
+        large = run.write(starred(both, F.least(F.min("b"), F.col("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        pairs = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = starred(large, F.min("b")).select(F.explode(pairs).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        edges, now = run.measured(small, "edges", **mark)
+        for path in old:
+            remove_dir(run.spark, path)
+        old = run.paths[begun:]
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = now
@@ -311,16 +304,20 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
 
-def _plausible(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """node, root: nodes joined by plausible links.  ``sketches`` has node, n_shingles and sketch; others take no part."""
+def _plausible(run: Scratch, groups: DataFrame, shapes: DataFrame, percent: int, near: Near | None = None, sketches: DataFrame | None = None) -> DataFrame:
+    """node, root: nodes joined by plausible links.
+
+    ``shapes`` has node, n_shingles and shape; other nodes take no part.  ``near`` compares shapes; without it they are
+    sketches.  ``sketches`` (node, sketch) is for boxes, which are always of sketches; without it they are the shapes.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for table in runs(batches, "task"):
             node = table["node"].to_pylist()
             if len(node) > 1:
-                wide = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
-                out += [(node[i], node[j]) for i, j in plausible_edges(table["n_shingles"].to_numpy(), wide, percent)]
+                wide = np.frombuffer(b"".join(table["shape"].to_pylist()), np.uint8).reshape(len(node), -1)
+                out += [(node[i], node[j]) for i, j in plausible_edges(table["n_shingles"].to_numpy(), wide, percent, near=near)]
             if len(out) > 100_000:
                 yield _edges(out)
                 out = []
@@ -333,25 +330,26 @@ def _plausible(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFram
             found = box_edges(root, table["least"].to_numpy(), table["most"].to_numpy(), low, high, percent)
             yield _edges([(int(root[i]), int(root[j])) for i, j in found])
 
-    large = materialise(groups.groupBy("group").agg(F.count("*").alias("nodes")).where(F.col("nodes") > GROUP_NODES), "large-groups")
+    large = run.write(groups.groupBy("group").agg(F.count("*").alias("nodes")).where(F.col("nodes") > GROUP_NODES), "large-groups")
     dealt = groups.join(_few(large), "group", "left")
     part = F.when(F.col("nodes").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") * 2 / GROUP_NODES)))
-    members = dealt.withColumn("task", F.when(part == 0, F.col("group")).otherwise(F.xxhash64("group", part))).join(sketches, "node")
-    compared = members.select("task", "node", "n_shingles", "sketch").repartition("task").sortWithinPartitions("task", "n_shingles", "node")
-    found = components(compared.mapInArrow(compare, "a bigint, b bigint"))
+    members = dealt.withColumn("task", F.when(part == 0, F.col("group")).otherwise(F.xxhash64("group", part))).join(shapes, "node")
+    compared = members.select("task", "node", "n_shingles", "shape").repartition("task").sortWithinPartitions("task", "n_shingles", "node")
+    found = components(compared.mapInArrow(compare, "a bigint, b bigint"), run)
     if large.isEmpty():
         return found
-    found = materialise(found, "parts")
+    found = run.write(found, "parts")
     named = members.where("nodes IS NOT NULL").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.withColumn("sketch", F.col("shape")) if sketches is None else named.join(sketches, "node")
     boxes = named.select("group", "root", F.col("n_shingles").alias("least"), F.col("n_shingles").alias("most"), F.col("sketch").alias("low"), F.col("sketch").alias("high"))
-    boxes = materialise(boxes.mapInArrow(_boxes, _BOX).repartition("group", "root").sortWithinPartitions("group", "root").mapInArrow(_boxes, _BOX), "boxes")
+    boxes = run.write(boxes.mapInArrow(_boxes, _BOX).repartition("group", "root").sortWithinPartitions("group", "root").mapInArrow(_boxes, _BOX), "boxes")
     sizes = boxes.groupBy("group").agg(F.count("*").alias("boxes"), F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
     parts = sizes.select("group", F.when(F.col("boxes") > GROUP_NODES, F.ceil(F.col("boxes") * 2 / GROUP_NODES)).otherwise(1).cast("int").alias("parts"))
     dealt = boxes.join(_few(parts), "group")
     mine = F.pmod(F.xxhash64("root", "least"), F.col("parts")).cast("int")
     tasks = dealt.select(*boxes.columns, F.explode(_pairs(mine, F.col("parts"))).alias("pair")).withColumn("task", F.xxhash64("group", "pair.i", "pair.j"))
     across = tasks.drop("group", "pair").repartition("task").sortWithinPartitions("task", "most", "root").mapInArrow(compare_boxes, "a bigint, b bigint")
-    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across), run)
 
 
 def _pairs(mine, parts):
@@ -359,23 +357,25 @@ def _pairs(mine, parts):
     return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
 
 
-def _blocks(rows: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+def _blocks(run: Scratch, rows: DataFrame, nodes: DataFrame, n: int, percent: int, near: Near | None) -> DataFrame:
     """node, root: nodes that may be linked, with their block."""
-    groups = materialise(_groups(nodes), "groups")
-    blocks = materialise(_plausible(groups, nodes.select("node", "n_shingles", "sketch"), percent), "blocks")
+    groups = _groups(run, nodes)
+    sketches = nodes.select("node", "sketch")
+    shapes = nodes.select("node", "n_shingles", "shape") if near else nodes.select("node", "n_shingles", F.col("sketch").alias("shape"))
+    blocks = run.write(_plausible(run, groups, shapes, percent, near, sketches if near else None), "blocks")
     sized = blocks.join(nodes.select("node", "n_shingles", "key"), "node")
-    large = sized.groupBy("root").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("root")
-    again = sized.join(large, "root", "left_semi")
-    if again.isEmpty():
+    large = run.write(sized.groupBy("root").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("root"), "too-large")
+    again = sized.join(_few(large), "root", "left_semi")
+    if large.isEmpty():
         return blocks
 
     def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n_shingles"), pa.array([sketch(g, FINE_CLASSES) for g in gram_sets(texts, n)], pa.binary())], ["node", "n_shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n_shingles"), pa.array([sketch(g, FINE_CLASSES) for g in gram_sets(texts, n)], pa.binary())], ["node", "n_shingles", "shape"])
 
     texts = _texts(rows, again.select("key", "node", "n_shingles"))
-    sketches = materialise(texts.select("node", "n_shingles", "text").mapInArrow(fine, "node bigint, n_shingles bigint, sketch binary").dropDuplicates(["node"]), "sketches")
-    return blocks.join(large, "root", "left_anti").select("node", "root").unionByName(_plausible(groups, sketches, percent))
+    finer = run.write(texts.select("node", "n_shingles", "text").mapInArrow(fine, "node bigint, n_shingles bigint, shape binary").dropDuplicates(["node"]), "sketches")
+    return run.write(blocks.join(_few(large), "root", "left_anti").select("node", "root").unionByName(_plausible(run, groups, finer, percent)), "blocks")
 
 
 # --- trie -------------------------------------------------------------------------------------------------------------
@@ -490,9 +490,21 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows without the repeats of a doc_id and text, so that a row repeated very often is read, but not shuffled."""
+    seen: set[tuple[int | None, int]] = set()
+    for batch in batches:
+        keep = []
+        for key in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), strict=True):
+            keep.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _key(doc_id, text_hash):
-    """What tells documents apart, also those without or with the same doc_id."""
-    return F.struct(F.coalesce(doc_id.cast("bigint"), F.lit(NULL_ID)).alias("d"), text_hash.alias("h"))
+    """What tells documents apart, also those without or with the same doc_id; without one they come last."""
+    doc_id = doc_id.cast("bigint")
+    return F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("d"), text_hash.alias("h"))
 
 
 def _few(small: DataFrame) -> DataFrame:
@@ -506,25 +518,39 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and component_hash of each document.
+    """doc_id, text_hash, n_shingles, component_id and first of each document.
 
     The set of a document is that of its distinct n-word shingles, lower-cased in A-Z; with fewer words, the whole
     sequence as one; without words or with a null text it is empty and linked with nothing.  component_id is the smallest
     doc_id of the documents reachable by links (a document with an empty set has its own).  Rows with a null doc_id are
-    linked like others and get the smallest doc_id that isn't null, if there is one; component_hash is the smallest
-    text_hash of a component without any.  Repeated rows are linked with each other; columns other than doc_id and text
-    aren't read.
+    linked like others and get the smallest doc_id that isn't null, if there is one.  ``first`` is true for the component's
+    first document, that with the smallest doc_id (null last) and among those the smallest text_hash, and for empty sets.
+    Repeated rows are linked with each other; columns other than doc_id and text aren't read.  An empty table gives none.
     """
-    rows = _rows(docs)
-    all_ = materialise(_summaries(rows, n, percent), "summaries")
-    nodes = all_.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(_key(F.col("doc_id"), F.col("text_hash"))).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    nodes = materialise(nodes, "nodes")
-    blocks = materialise(_blocks(rows, nodes, n, percent), "blocks")
-    linked = _linked(rows, nodes, blocks, n, percent)
-    named = linked.join(nodes.select("node", "doc_id", F.col("key.h").alias("text_hash")), "node", "right").select("node", F.coalesce("root", "node").alias("root"), "doc_id", "text_hash")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("text_hash").alias("component_hash"))
-    found = named.join(smallest, "root").select("node", "component_id", "component_hash")
-    return all_.join(found, "node", "left").select("doc_id", "text_hash", "n_shingles", "component_hash", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    run, rows = Scratch(docs.sparkSession, "links"), _rows(docs)
+    return linked_documents(run, rows, run.write(_summaries(rows, n, percent), "summaries"), n, percent)
+
+
+def linked_documents(run: Scratch, rows: DataFrame, all_: DataFrame, n: int, percent: int, near: Near | None = None) -> DataFrame:
+    """``links`` from summaries: doc_id, text_hash, n_shingles, digest, keys, sketch, and shape where ``near`` compares it.
+
+    Linked sets must share a key.  Sets are verified as wholes, so keys and ``near`` decide only what is compared.
+    """
+    once = ["n_shingles", "keys", "sketch", *(["shape"] if near else [])]
+    if not all_.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        rows = rows.mapInArrow(_first_of_each, "doc_id bigint, text_hash bigint, text string")
+    nodes = all_.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("copies"), F.min(_key(F.col("doc_id"), F.col("text_hash"))).alias("key"), *(F.first(c).alias(c) for c in once))
+    nodes, copies = run.measured(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", total=F.sum("copies"), most=F.max("copies"))
+    blocks = _blocks(run, rows, nodes, n, percent, near)
+    linked = _linked(run, rows, nodes, blocks, n, percent)
+    named = run.write(nodes.join(linked, "node", "left").select("digest", "copies", "key", F.coalesce("root", "node").alias("root")), "named")
+    first, sizes = run.measured(named.groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("n")), "first", total=F.sum("n"), most=F.max("n"))
+    found = run.write(join_counted(named, first, "root", "n", **sizes).select("digest", "copies", "least"), "components")
+    joined = join_counted(all_.select("doc_id", "text_hash", "n_shingles", "digest"), found, "digest", "copies", "left", **copies)
+    own = F.col("least").isNull()
+    component = F.when(own, F.col("doc_id")).when(~F.col("least.none"), F.col("least.d"))
+    is_first = own | (F.col("least") == _key(F.col("doc_id"), F.col("text_hash")))
+    return run.finish(joined.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), is_first.alias("first")))
 
 
 def _tries(dealt: DataFrame, n: int, percent: int) -> DataFrame:
@@ -534,7 +560,7 @@ def _tries(dealt: DataFrame, n: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, "task"):
+        for table in runs(_new(batches, "task", "node"), "task"):
             node = table["node"].to_pylist()
             if len(node) > 1:
                 grams = [g for batch in table.to_batches() for _, texts in slices([batch]) for g in gram_sets(texts, n)]
@@ -556,26 +582,26 @@ def _chunk(chunks):
     return F.pmod(F.xxhash64("node"), chunks).cast("int")
 
 
-def _linked(rows: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percent: int) -> DataFrame:
+def _linked(run: Scratch, rows: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percent: int) -> DataFrame:
     """node, root for the nodes of all blocks, by tries over their texts."""
     sized = blocks.withColumnRenamed("root", "block").join(nodes.select("node", "key", "n_shingles"), "node")
-    split = materialise(sized.groupBy("block").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("block", _chunks(F.col("size")).alias("chunks")), "large-blocks")
+    split = run.write(sized.groupBy("block").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("block", _chunks(F.col("size")).alias("chunks")), "large-blocks")
     placed = sized.join(_few(split), "block", "left")
     texts = _texts(rows, placed.select("node", F.col("node").alias("root"), "key", F.xxhash64("block", _chunk(F.coalesce("chunks", F.lit(1)))).alias("task")))
-    found = materialise(_tries(texts, n, percent), "links")
+    found = run.write(_tries(texts, n, percent), "links")
     if split.isEmpty():
         return found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     # a few sets of each class, over the chunks of a block
     placed = placed.where("chunks IS NOT NULL").drop("chunks")
-    heads = materialise(placed.join(found.where("head").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "node"), "heads")
+    heads = run.write(placed.join(found.where("head").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "node"), "heads")
     dealt = heads.join(_few(heads.groupBy("block").agg(_chunks(F.sum("n_shingles")).alias("chunks"))), "block")
     texts = _texts(rows, dealt.select("node", "root", "key", F.xxhash64("block", _chunk(F.col("chunks"))).alias("task")))
-    joined = materialise(components(found.select("a", "b").unionByName(_tries(texts, n, percent).select("a", "b"))), "joined")
+    joined = run.write(components(found.select("a", "b").unionByName(_tries(texts, n, percent).select("a", "b")), run), "joined")
     # sets outside the largest class of a block meet all of it
     named = placed.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("block", "root").agg(F.sum("n_shingles").alias("size"))
     largest = classes.groupBy("block").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("size"), F.sum("size").alias("total"), F.count("*").alias("classes")).where("classes > 1")
-    largest = materialise(largest.select("block", "main", _chunks(F.col("size")).alias("chunks"), _chunks(F.col("total") - F.col("size")).alias("others")), "largest")
+    largest = run.write(largest.select("block", "main", _chunks(F.col("size")).alias("chunks"), _chunks(F.col("total") - F.col("size")).alias("others")), "largest")
     if largest.isEmpty():
         return joined
     open_ = named.join(_few(largest), "block")
@@ -587,25 +613,30 @@ def _linked(rows: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percen
     texts = _texts(rows, open_.select("node", "root", "key", "block", F.when(F.col("root") == F.col("main"), main).otherwise(other).alias("tasks")))
     dealt = texts.select("node", "root", "text", "block", F.explode("tasks").alias("at")).withColumn("task", F.xxhash64("block", "at.i", "at.j", "at.others"))
     edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(edges.unionByName(_tries(dealt, n, percent).select("a", "b")))
+    return components(edges.unionByName(_tries(dealt, n, percent).select("a", "b")), run)
 
 
 def kept(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of linked ones: that with the smallest doc_id.
+    """``docs`` with one document of each group of linked ones: that with the smallest doc_id, null last.
 
-    In a group in which no row has a doc_id it is that with the smallest hash of its text.  Documents with an empty set all
-    stay.  Of rows with one doc_id (or none) and one text, one stays.
+    Of documents with that same doc_id (or none) and unlike texts it is that with the smallest hash of its text.  Documents
+    with an empty set all stay.  Of rows with one doc_id (or none) and one text, one stays.
     """
-    found = materialise(links(docs, n, percent), "components").where("n_shingles > 0")
+    return first_documents(docs, links(docs, n, percent))
+
+
+def first_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (of ``links``) names first; of those with one doc_id and text, one."""
+    found = found.where("n_shingles > 0")
     name = free_name(docs.columns, "key")
     key = _key(F.col("doc_id"), F.col("text_hash")).alias(name)
-    gone = found.where("CASE WHEN component_id IS NULL THEN text_hash <> component_hash ELSE doc_id IS NULL OR doc_id <> component_id END").select(key).distinct()
+    gone = found.where("NOT first").select(key).distinct()
     again = found.groupBy(key).count().where("count > 1").select(name)
     mine = _key(docs["doc_id"], F.xxhash64(docs["text"].cast("string")))
     left = docs.join(_few(gone), mine == F.col(name), "left_anti")
     if again.isEmpty():
         return left
-    again = _few(materialise(again, "repeats"))
+    again = _few(again)
     once = left.join(again, mine == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(again, mine == F.col(name), "left_anti").unionByName(once)
 

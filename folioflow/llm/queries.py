@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe_pieces, clustering, compaction, decontaminate, jaccard, nearest, personal_data, resampling, substring_dedup, token_store, toxicity, url_filter
+from folioflow.llm import bpe_pieces, clustering, compaction, decontaminate, hyperminhash, jaccard, nearest, personal_data, resampling, substring_dedup, token_store, toxicity, url_filter
 from folioflow.llm.common import shared_dir
 
 
@@ -69,9 +69,14 @@ def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hyperminhash.links(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_personal_data, op2_compaction, op3_decontaminate, op4_url_filter, op5_substring_dedup, op6_toxicity, op7_jaccard_join, op8_token_store, op9_byte_bpe, op10_nearest, op11_resampling, op12_clustering)}
+    return {f.__name__: f for f in (op1_personal_data, op2_compaction, op3_decontaminate, op4_url_filter, op5_substring_dedup, op6_toxicity, op7_jaccard_join, op8_token_store, op9_byte_bpe, op10_nearest, op11_resampling, op12_clustering, op13_hyperminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_compaction": compaction.SQL, "op5_substring_dedup": substring_dedup.SQL, "op7_jaccard_join": jaccard.SQL, "op11_resampling": resampling.SQL, "op12_clustering": clustering.SQL}
+    return {"op2_compaction": compaction.SQL, "op5_substring_dedup": substring_dedup.SQL, "op7_jaccard_join": jaccard.SQL, "op11_resampling": resampling.SQL, "op12_clustering": clustering.SQL, "op13_hyperminhash": hyperminhash.SQL}

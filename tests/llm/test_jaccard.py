@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -98,22 +99,42 @@ def test_one_of_each_group_stays(spark, documents):
     docs = documents(rows)
     got = J.kept(docs)
     assert got.columns == docs.columns
-    want, seen = [], set()
-    for (d, n, c), t in sorted(((x, t) for x, t in zip(brute_in_order(rows), (t for _, t in rows))), key=str):
-        if not n or c is None or (d == c and (d, t) not in seen):
-            want.append((d, t))
-            seen.add((d, t))
-    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    found, want = brute([(i, t) for i, (_, t) in enumerate(rows)], 5, 80), []
+    group = {i: (n, c) for i, n, c in found}
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    for c in {c for n, c in group.values() if n}:
+        members = [rows[i] for i, (n, k) in group.items() if n and k == c]
+        first = min((d is None, d or 0) for d, _ in members)
+        mine = [x for x in got if x in members]
+        assert len(mine) == 1 and (mine[0][0] is None, mine[0][0] or 0) == first, members
+    assert len([x for x in got if not shingles(x[1], 5)]) == sum(not n for n, _ in group.values())
+
+
+def test_linked_rows_of_one_doc_id_leave_one(spark, documents):
+    """Repeated ids with unlike texts: near copies among them leave one row, others stay."""
+    text = [f"w{k}" for k in range(100)]
+    near = " ".join([*text[:-1], "x"])
+    rows = [(7, " ".join(text)), (7, near), (7, near), (7, "quite another text of nine words or so, here"), (8, near), (9, None), (9, "")]
+    got = sorted(((r.doc_id, r.text) for r in J.kept(documents(rows)).collect()), key=str)
+    assert len(got) == 4 and sum(t in (" ".join(text), near) for _, t in got) == 1 and (7, rows[3][1]) in got and {(9, None), (9, "")} < set(got)
+
+
+def test_n_grams_and_hubs_that_many_have(spark, documents, monkeypatch):
+    """Keys above a small bound take the broadcast way from the first step on; a star's hub as well."""
+    monkeypatch.setattr("folioflow.llm.common.HOT_ROWS", 3)
+    rows = corpus(6, 80)
+    assert answer(spark, documents, rows, 3, 90) == brute(rows, 3, 90)
+    edges = [(1, k) for k in range(2, 400)] + [(1000 + k, 399) for k in range(300)]
+    got = {x.node: x.root for x in J.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert len(got) == 699 and set(got.values()) == {1}
 
 
-def brute_in_order(rows):
-    pool = brute([(i, t) for i, (_, t) in enumerate(rows)], 5, 80)
-    by = {i: (n, c) for i, n, c in pool}
-    smallest = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            smallest[by[i][1]] = min(d, smallest.get(by[i][1], d))
-    return [(d, by[i][0], smallest.get(by[i][1]) if by[i][0] else d) for i, (d, _) in enumerate(rows)]
+def test_one_table_is_left(spark, documents):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir())
+    found = J.links(documents(corpus(9, 60)), 3, 90)
+    (mine,) = set(folder.iterdir()) - before
+    assert [x.name.split("-")[1] for x in mine.iterdir()] == ["result"] and found.count() == 65
 
 
 @settings(max_examples=150, deadline=None)

@@ -63,4 +63,4 @@ def test_stages_in_order(spark, folder):
 def test_stages_call_the_operators():
     assert [n for n, _ in C.STAGES] == ["toxicity", "near duplicates", "decontamination", "personal data", "encoding"] and C.ORACLE_SQL is None
     assert personal_data.LABELS[0] == "other"
-    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)} and set(oracle_sql()) <= set(queries())
+    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 14)} and set(oracle_sql()) <= set(queries())
