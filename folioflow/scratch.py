@@ -44,15 +44,15 @@ class Scratch:
     """The tables of one run, in one folder; ``finish`` leaves only the one that the result reads."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.count = spark, shared_dir(spark, name), 0
+        self.spark, self.path, self.paths = spark, shared_dir(spark, name), []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         return self.place(df, name)[0]
 
     def place(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         """``write`` and the table's folder, for ``remove_dir`` before the run ends."""
-        self.count += 1
-        path = f"{self.path}/{self.count}-{name}"
+        path = f"{self.path}/{len(self.paths) + 1}-{name}"
+        self.paths.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
