@@ -1,4 +1,4 @@
-"""A stemmer for English after the published Porter2 rules, for distinct words.
+"""A stemmer for English after the published Porter2 rules, for distinct words; those of other languages are in ``snowball``.
 
 Languages without rules here keep their words, which is also what an index without a stemmer does.
 """
@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from folioflow.functions.snowball import stem_french, stem_german, stem_spanish
+
 VOWELS = "aeiouy"
 _DOUBLE = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 _LI = "cdeghkmnrt"
@@ -101,4 +103,4 @@ def stem_english(word: str) -> str:
     return word.lower()
 
 
-STEMMERS = {"en": stem_english}
+STEMMERS = {"de": stem_german, "en": stem_english, "es": stem_spanish, "fr": stem_french}
