@@ -102,7 +102,10 @@ def replaced_section(content: str, heading: str, text: str) -> str | None:
 
 
 def raw_spans(block: str) -> dict[str, str] | None:
-    """The lines that each key at the margin owns; null if a key comes twice or the block doesn't begin with one."""
+    """The lines that each key at the margin owns, with comments and blank lines before the first key under ``""``.
+
+    Null if a key comes twice or something else stands before the first one.
+    """
     out: dict[str, list[str]] = {}
     key = None
     for line in block.split("\n"):
@@ -115,8 +118,8 @@ def raw_spans(block: str) -> dict[str, str] | None:
         elif key is None:
             if line.strip() and not line.startswith("#"):
                 return None
-            continue
-        out[key].append(line)
+            out.setdefault("", [])
+        out[key or ""].append(line)
     return {k: "\n".join(v) for k, v in out.items()}
 
 

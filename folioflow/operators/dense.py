@@ -63,12 +63,32 @@ def signs(vector: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), words - 1), word)
 
 
-def quantised_top_k(vectors: DataFrame, query: Sequence[float], k: int = 5, oversampling: float = OVERSAMPLING, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The ``oversampling * k`` nearest by differing sign bits (ties to the smaller id), rescored exactly."""
-    asked = F.transform(literal(query), lambda x: (x > 0).cast("int"))
-    distance = F.aggregate(F.zip_with(F.transform(F.col(vector), lambda x: (x > 0).cast("int")), asked, lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x)
-    near = vectors.select(id_, vector, distance.alias("_d")).orderBy("_d", id_).limit(int(oversampling * k))
-    return top_k(near, query, k, id_, vector)
+def query_signs(query: Sequence[float]) -> list[int]:
+    """``signs`` of a query."""
+    bits = [int(x > 0) for x in query]
+    return [int("".join(map(str, bits[i : i + 63])), 2) for i in range(0, len(bits), 63)]
+
+
+def with_signs(vectors: DataFrame, vector: str = "embedding", dims: int | None = None) -> DataFrame:
+    """``vectors`` with the packed sign bits of each vector in a column ``signs``, to be stored beside it.
+
+    Vectors that are null, or of another size than ``dims`` where that is given, have none and are not found by signs.
+    """
+    usable = F.col(vector).isNotNull() if dims is None else F.size(vector) == dims
+    return vectors.withColumn("signs", F.when(usable, signs(F.col(vector))))
+
+
+def quantised_top_k(indexed: DataFrame, query: Sequence[float], k: int = 5, oversampling: float = OVERSAMPLING, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The ``oversampling * k`` nearest by differing sign bits (ties to the smaller id), rescored exactly.
+
+    ``indexed`` is a stored table of ``with_signs``.  The search reads ids and sign words alone and counts differing bits
+    word by word; full vectors are read for the few rows that are rescored.  Signs of another size don't take part.
+    """
+    words = query_signs(query)
+    differ = sum((F.bit_count(F.col("signs")[i].bitwiseXOR(F.lit(w).cast("bigint"))) for i, w in enumerate(words)), F.lit(0))
+    few = indexed.where(F.size("signs") == len(words)).select(id_, differ.alias("_d")).orderBy("_d", id_).limit(int(oversampling * k))
+    few = few.groupBy(id_).agg(F.count("*").alias("_n"))  # of an id in several rows all are rescored
+    return top_k(indexed.join(F.broadcast(few), id_), query, k, id_, vector)
 
 
 def query_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", block: int = BLOCK_QUERIES) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.operators.numbering import numbered
 
 MAX_PAGE = 500
 
@@ -20,8 +21,8 @@ def live(df: DataFrame, user: object = None, vault: object = None) -> DataFrame:
 
 
 def with_seq(changes: DataFrame, order: Sequence[str], by: str = "vault_id") -> DataFrame:
-    """A sequence number for each change of a vault, in the order given."""
-    return changes.withColumn("seq", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("bigint"))
+    """A sequence number for each change of a vault, in the order given; a vault of any size is numbered by many tasks."""
+    return numbered(changes, [F.col(c) for c in order], "seq", [by])
 
 
 def after(seq: int, id_: object = None) -> Column:

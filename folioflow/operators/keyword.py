@@ -6,6 +6,7 @@ from the query's few terms, which are broadcast, so a query reads only their pos
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -13,9 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions import language
 from folioflow.functions.stemming import STEMMERS
 
 K1, B, EMPTY_AVERAGE = 1.2, 0.75, 100.0
+ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüýÿçñ", "aaaaaaeeeeiiiiooooouuuuyycn"
 WORD = r"[\p{L}\p{N}\p{M}_]+"
 CHANGED_BY_NFKC = "[\\u00A0\\u00A8\\u00AA\\u00AF\\u00B2-\\u00B5\\u00B8-\\u00BA\\u00BC-\\u00BE]|[^\\u0000-\\u00FF]"
 MARKS = "[^\\u0000-\\u02FF]"  #: no combining mark comes before
@@ -71,6 +74,14 @@ def stem(term: str, language: str | None) -> str | None:
     return None if made == term else made
 
 
+def query_language(query: str) -> str:
+    """The language whose stemmer a query takes: the detected one, English where there is none."""
+    seen = re.findall(r"[^\W\d_]+", query[: language.SAMPLE].lower())
+    hits = {k: sum(w in words for w in seen) for k, words in language.FUNCTION_WORDS.items()}
+    best = max(sorted(hits), key=hits.get)
+    return best if hits[best] >= language.LEAST and hits[best] >= language.FLOOR * sum(hits.values()) else "en"
+
+
 def stem_column(term: Column, language: Column) -> Column:
     """The stem of each term; Cyrillic, Greek and Arabic words take their script's language.  Null where there is none."""
 
@@ -149,18 +160,54 @@ def bm25(docs: DataFrame, query: str, doc: str = "doc_id", group: Sequence[str]
     return joined.select(*group, doc, score.alias("score"))
 
 
+def bm25_stems(docs: DataFrame, query: str, doc: str = "doc_id", group: Sequence[str] = (), text: str = "text", language: str = "lang", k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25`` over tokens and stems: ``group``, doc and score of each document with a token or stem of the query's.
+
+    The query's tokens and their stems in ``query_language`` weigh 1 each; a document's occurrence counts for its token and,
+    where that differs, for its stem in the document's language.  Lengths are those of the tokens.  Each row is tokenised
+    once; only tokens that share the first letter with something asked (accents aside, no stemmer changes it otherwise) are
+    looked at for their stems.
+    """
+    spark = docs.sparkSession
+    asked = asked_tokens(spark, query, query_language(query))
+    if not asked:
+        return docs.select(*group, doc, F.lit(0.0).alias("score")).limit(0)
+    held = [*dict.fromkeys([*group, doc, language])]
+    first = lambda term: F.translate(F.substring(term, 1, 1), ACCENTED, PLAIN)
+    heads = spark.range(1).select(F.explode(F.array(*map(F.lit, asked))).alias("t")).select(first(F.col("t")).alias("h")).distinct()
+    heads = [r["h"] for r in heads.collect()]  # one for each asked term at most
+    cut = docs.select(*held, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
+    near = F.filter("_t", lambda t: first(t).isin(heads))
+    cut = cut.select(*held, F.inline(F.array(F.struct(F.size("_t").cast("bigint").alias("length"), near.alias("near")))))
+    found = cut.where(F.size("near") > 0).select(*held, "length", F.explode("near").alias("term")).groupBy(*held, "length", "term").agg(F.count("*").alias("tf"))
+    both = F.array_compact(F.array("term", stem_column(F.col("term"), F.col(language))))
+    found = found.select(*group, doc, "length", F.explode(both).alias("term"), "tf").where(F.col("term").isin(asked)).groupBy(*group, doc, "length", "term").agg(F.sum("tf").alias("tf"))
+    sums = average_length(cut, group)
+    df = found.groupBy(*group, "term").agg(F.count("*").alias("df"))  # a row for each group and asked term
+    joined = found.join(df, [*group, "term"])
+    joined = joined.join(sums, list(group)) if group else joined.join(F.broadcast(sums))
+    weight = idf(F.col("n"), F.col("df")) * tf_weight(F.col("tf"), F.col("length"), F.col("average"), k1, b)
+    return joined.groupBy(*group, doc).agg(F.sum(weight).alias("score"))
+
+
 def sparse_vectors(docs: DataFrame, doc: str = "doc_id", text: str = "text", group: Sequence[str] = (), language: str | None = None) -> DataFrame:
     """group, doc, term, tf and weight: the stored part of BM25, against the exact average length.
 
+    A row is tokenised once: the average is the sum of the postings' tf over the number of texts that aren't null.
+
     With ``language`` stems are stored beside the tokens, as in ``postings``; a document's length is that of its tokens.
     """
     held = [*dict.fromkeys([*group, doc, *([language] if language else [])])]
-    cut = docs.select(*held, tokens(F.col(text)).alias("_t")).select(*held, "_t", F.size("_t").cast("bigint").alias("length"))
+    cut = docs.select(*held, F.explode(F.array(tokens(F.col(text)))).alias("_t"))  # a generator, so that tokens are made once
+    cut = cut.select(*held, F.inline(F.array(F.struct(F.col("_t"), F.size("_t").cast("bigint").alias("length")))))
     found = cut.select(*held, "length", F.explode("_t").alias("term")).groupBy(*held, "length", "term").agg(F.count("*").alias("tf"))
+    length = found.groupBy(*group).agg(F.sum("tf").alias("_sum"))
     if language:
         both = F.array_compact(F.array("term", stem_column(F.col("term"), F.col(language))))
         found = found.select(*group, doc, "length", F.explode(both).alias("term"), "tf").groupBy(*group, doc, "length", "term").agg(F.sum("tf").alias("tf"))
-    average = average_length(lengths(docs, [*group, doc], text), group)
+    rows = docs.groupBy(*group).agg(F.count(text).alias("_rows"))
+    both = length.join(rows, list(group)) if group else length.join(F.broadcast(rows))
+    average = both.select(*group, F.coalesce(F.nullif(F.col("_sum") / F.col("_rows"), F.lit(0.0)), F.lit(EMPTY_AVERAGE)).alias("average"))
     joined = found.join(average, list(group)) if group else found.join(F.broadcast(average))
     return joined.select(*group, doc, "term", "tf", tf_weight(F.col("tf"), F.col("length"), F.col("average")).alias("weight"))
 

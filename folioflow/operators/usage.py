@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.operators.numbering import numbered
+from folioflow.scratch import free_name
+
 
 def _micros(ts: Column | str) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
@@ -123,8 +126,9 @@ def hot_cold(rows: DataFrame, key: str, ts: str = "ts", within_ms: int = 2000, i
 
 
 def drain_slots(cold: DataFrame, topic: str, per_slot: int = 20, ts: str = "ts", id_: str = "event_id") -> DataFrame:
-    """Cold events in the order of arrival, ``per_slot`` for each slot of a topic."""
-    return cold.withColumn("slot", F.floor((F.row_number().over(Window.partitionBy(topic).orderBy(ts, id_)) - 1) / per_slot).cast("int"))
+    """Cold events in the order of arrival, ``per_slot`` for each slot of a topic; a topic of any size fills many tasks."""
+    place = free_name(cold.columns, "_place")
+    return numbered(cold, [F.col(ts), F.col(id_)], place, [topic]).withColumn("slot", F.expr(f"(`{place}` - 1) div {per_slot}").cast("int")).drop(place)
 
 
 def evicted(entries: DataFrame, cap: int, by: str, ts: str = "last_used", id_: str = "id") -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions import language_model
 from folioflow.operators import dense, keyword, search
 from folioflow.plans.registry import query
+from folioflow.scratch import materialise
 from folioflow.sources.tables import table
 
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')"
 ASK = "the and that whou"
+STEM_QUERY = "the houses and that whou"
 TERMS = "('the'), ('and'), ('that'), ('whou')"
 
 
@@ -67,8 +70,23 @@ def cjk_bigrams(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def stemmed_terms(spark: SparkSession, folder: str) -> DataFrame:
-    found = keyword.postings(table(spark, folder, "documents", ["doc_id", "lang", "text"]), ["lang", "doc_id"])
-    return keyword.stems(found.select("lang", "term").distinct()).where("stem is not null")
+    found = table(spark, folder, "documents", ["lang", "text"]).select("lang", F.explode(F.array_distinct(keyword.tokens(F.col("text")))).alias("term"))
+    return keyword.stems(found.distinct()).where("stem is not null")
+
+
+@query()
+def keyword_bm25_stems(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents by tokens and stems, in the documents' languages."""
+    found = keyword.bm25_stems(table(spark, folder, "documents"), STEM_QUERY)
+    return found.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@query()
+def language_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's language by trigrams, learnt from a bounded sample of the documents that name theirs."""
+    docs = table(spark, folder, "documents", ["doc_id", "lang", "text"])
+    guess = language_model.guessed(F.col("text"), language_model.learnt(docs))
+    return docs.select("doc_id", "lang", guess.alias("g")).select("doc_id", "lang", "g.language", F.round("g.confidence", 6).alias("confidence"))
 
 
 def _query_vector(spark: SparkSession, folder: str, id_: int = 0) -> list[float]:
@@ -93,7 +111,8 @@ def dense_filtered_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH q AS {_Q.replace("embedding FROM", "embedding AS q FROM")}, n AS (SELECT vec_id, embedding, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (embedding[i] > 0) <> (q[i] > 0) THEN 1 ELSE 0 END)) AS d FROM embeddings, q ORDER BY d, vec_id LIMIT 30)
 SELECT vec_id, round({_COS}, 6) AS score FROM n ORDER BY {_COS} DESC, vec_id LIMIT 10""")
 def dense_quantised_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return dense.quantised_top_k(table(spark, folder, "embeddings"), _query_vector(spark, folder), 10).select("vec_id", F.round("score", 6).alias("score"))
+    index = materialise(dense.with_signs(table(spark, folder, "embeddings")), "signs")
+    return dense.quantised_top_k(index, _query_vector(spark, folder), 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id < 5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions import frontmatter as M
 from folioflow.functions import language
 from folioflow.functions import python_text as P
 from folioflow.functions import text as T
@@ -44,6 +45,19 @@ def frontmatter_parse(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("note_id", F.element_at("f.keys", 1).alias("first_key"), F.col("f.reason").alias("reason"), F.element_at("f.values", "title").alias("title"))
 
 
+#: Frontmatter with comments, blank lines, quotes, a repeated key, broken YAML and CRLF around each document's text.
+_LOSSLESS = "concat('---\\r\\n# ', source, '\\n\\ntitle: \"', doc_id, ': x\" # why\\r\\n\\ntags:\\n-  ', lang, '\\n# between\\ntags: {broken\\n\\'a key\\' : |\\n  text: ', n_chars, '\\n---\\n', text)"
+_LOSSLESS_SQL = "'---' || chr(13) || chr(10) || '# ' || source || chr(10) || chr(10) || 'title: \"' || doc_id || ': x\" # why' || chr(13) || chr(10) || chr(10) || 'tags:' || chr(10) || '-  ' || lang || chr(10) || '# between' || chr(10) || 'tags: {broken' || chr(10) || chr(39) || 'a key' || chr(39) || ' : |' || chr(10) || '  text: ' || n_chars || chr(10) || '---' || chr(10) || text"
+
+
+@query(f"SELECT doc_id AS note_id, 'title|tags|tags|a key' AS keys, sha256({_LOSSLESS_SQL}) AS note_sha256, sha256(text) AS text_sha256 FROM documents")
+def frontmatter_lossless(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document as a note and as it is, tiled and put together again."""
+    rows = table(spark, folder, "documents").select("doc_id", "text", F.expr(_LOSSLESS).alias("content"))
+    rows = rows.select("doc_id", M.tiled(F.col("content")).alias("n"), M.tiled(F.col("text")).alias("plain"))
+    return rows.select(F.col("doc_id").alias("note_id"), F.array_join("n.keys", "|").alias("keys"), F.sha2(M.project(F.col("n")), 256).alias("note_sha256"), F.sha2(M.project(F.col("plain")), 256).alias("text_sha256"))
+
+
 @query("SELECT page_id, string_split(regexp_extract(url, '://([^/?#]*)', 1), '.')[1] AS label, list_aggregate(list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), 'string_agg', '/') AS path FROM pages")
 def url_paths(spark: SparkSession, folder: str) -> DataFrame:
     path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
