@@ -52,6 +52,11 @@ def _tail(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]+/[^/]+)$", 1)
 
 
+def _plain(uri: Column) -> Column:
+    """The path in a file's URI, as readers take it: blanks, ``%`` and ``#`` are themselves again."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 class ShardStore:
     """A store at ``root``, a path that driver and executors share."""
 
@@ -99,7 +104,7 @@ class ShardStore:
         """The shards in a data folder with their rows and bytes; empty files are no shards."""
         files = self.spark.read.parquet(folder)
         meta = files.metadataColumn("_metadata")
-        meta = files.select(meta["file_path"].alias("shard"), meta["file_size"].alias("n_bytes"))
+        meta = files.select(_plain(meta["file_path"]).alias("shard"), meta["file_size"].alias("n_bytes"))
         found = meta.groupBy("shard").agg(F.count("*").alias("n_rows"), F.max("n_bytes").alias("n_bytes"))
         found = found.withColumn("tier", tier(F.col("n_bytes"), self.fan_in)).withColumn("added", F.lit(version).cast("bigint"))
         return found.crossJoin(F.broadcast(found.agg(F.count("*").alias("siblings")))).select(*_COLUMNS)  # one row
@@ -153,7 +158,7 @@ class ShardStore:
         columns = rows.columns
         file, group = free_name(columns, "file"), free_name(columns, "group")
         pairs = self.spark.createDataFrame([(r["shard"], r["group"]) for r in listed], f"`{file}` string, `{group}` int")
-        rows = rows.withColumn(file, rows.metadataColumn("_metadata")["file_path"]).join(F.broadcast(pairs), file)
+        rows = rows.withColumn(file, _plain(rows.metadataColumn("_metadata")["file_path"])).join(F.broadcast(pairs), file)
         dealt = rows.repartitionById(max(r["group"] for r in listed) + 1, F.col(group)).select(*[F.col(f"`{c}`") for c in columns])
         dealt.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(folder)
         merged = self._listed(folder, version + 1)

@@ -86,3 +86,12 @@ def test_a_group_is_one_task_and_one_shard(spark, rows, tmp_path):
 def test_one_very_long_text(spark, documents, tmp_path):
     docs = documents([(i, "a") for i in range(20)] + [(99, "long " * 800_000)])
     assert key(compacted(docs, f"file://{tmp_path}/s")) == key(docs)
+
+
+@pytest.mark.parametrize("name", ["st ore", "50% + more", "a#b", "ü ñ"])
+def test_roots_with_odd_characters(spark, rows, tmp_path, name):
+    store = ShardStore(spark, f"file://{tmp_path}/{name}", target_bytes=60_000)
+    for k in range(4):
+        store.append(rows.where(F.col("doc_id") % 4 == k), shard_rows=200)
+    version = store.compact_fully()
+    assert version > 4 and key(store.read()) == key(rows) and store.vacuum() > 0 and key(store.read(version)) == key(rows)
