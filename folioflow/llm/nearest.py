@@ -121,8 +121,8 @@ def nearest(table: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     """query_id, rank (from 1), vec_id and score: the ``k`` rows found with the largest inner product with each query.
 
     ``is_query`` is a condition on the column ``id``.  A query's own row is no candidate, other rows of its id are.  Rows
-    that are equal in id and vector are one query; rows of one id with unlike vectors are queries of their own, each with
-    ranks from 1.  Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
+    that are equal in id and vector, or in id alone, are queries of their own, each with ranks from 1; equal ones are
+    searched once.  Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
     without an id; vectors of another length than the query's are not compared.  Ties go to the smaller id; of repeated
     rows each is a candidate.
     """
@@ -135,16 +135,17 @@ def nearest(table: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     shards = materialise(rows.repartition(max(1, -(-total // SHARD_ROWS)), F.xxhash64("id", "vector")), "vectors")
     blocks = -(-asked // QUERY_ROWS)
     deal = F.pmod(F.xxhash64("id", "vector"), F.lit(blocks))  # of rows, so that one id can't fill a block
-    queries = shards.where(is_query).distinct()
+    queries = shards.where(is_query).groupBy("id", "vector").agg(F.count("*").cast("int").alias("copies"))
     found = [materialise(_block(shards, queries.where(deal == b), b, k + 1, trees, steady), "nearest") for b in range(blocks)]
-    each = reduce(DataFrame.unionByName, found).select("query", "query_id", F.inline(F.arrays_zip("ids", "scores", "own")))
+    each = reduce(DataFrame.unionByName, found).select("query", "query_id", "copies", F.inline(F.arrays_zip("ids", "scores", "own")))
     # the own row is among the best k + 1 or it isn't among the best k: one such row goes
     order = Window.partitionBy("query").orderBy(F.desc("scores"), "ids", F.desc("own"))
     numbered = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     first = F.min(F.when(F.col("own"), F.col("place"))).over(Window.partitionBy("query"))
     numbered = numbered.withColumn("first", F.coalesce(first, F.lit(k + 1)))
     rank = F.col("place") - (F.col("place") > F.col("first")).cast("int")
-    return numbered.where("place <> first").select("query_id", rank.cast("int").alias("rank"), F.col("ids").alias("vec_id"), F.col("scores").alias("score"))
+    each_copy = numbered.where("place <> first").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return each_copy.select("query_id", rank.cast("int").alias("rank"), F.col("ids").alias("vec_id"), F.col("scores").alias("score"))
 
 
 def _block(shards: DataFrame, queries: DataFrame, block: int, k: int, trees: int, steady: int) -> DataFrame:
@@ -152,10 +153,11 @@ def _block(shards: DataFrame, queries: DataFrame, block: int, k: int, trees: int
     got = queries.orderBy("id", "vector").toArrow()
     keys, lists = got["id"].to_numpy(), got["vector"].combine_chunks()
     width = np.diff(lists.offsets.to_numpy())
-    parts = {}  # by the vectors' length: place in the block, id and vector
+    copies = got["copies"].to_numpy()
+    parts = {}  # by the vectors' length: place in the block, id, copies and vector
     for n in np.unique(width).tolist():
         at = np.flatnonzero(width == n)
-        parts[n] = (at + block * 2**40, keys[at], lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), n))
+        parts[n] = (at + block * 2**40, keys[at], copies[at], lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), n))
     asked = shards.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +181,11 @@ def _block(shards: DataFrame, queries: DataFrame, block: int, k: int, trees: int
         for n in np.unique(lengths).tolist():
             if n not in asked.value:
                 continue
-            number, own, vectors = asked.value[n]
+            number, own, copies, vectors = asked.value[n]
             at = np.flatnonzero(lengths == n)
             forest = Forest(ids[at], flat[first[at][:, None] + np.arange(n)], trees)
             out = list(forest.search(vectors, k, steady))
             itself = [(forest.ids[best] == i) & (forest.vectors[best] == v).all(1) for i, v, (best, _) in zip(own.tolist(), vectors, out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(own), pa.array([forest.ids[best] for best, _ in out], pa.list_(pa.int64())), pa.array([s for _, s in out], pa.list_(pa.float64())), pa.array(itself, pa.list_(pa.bool_()))], ["query", "query_id", "ids", "scores", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(own), pa.array(copies), pa.array([forest.ids[best] for best, _ in out], pa.list_(pa.int64())), pa.array([s for _, s in out], pa.list_(pa.float64())), pa.array(itself, pa.list_(pa.bool_()))], ["query", "query_id", "copies", "ids", "scores", "own"])
 
-    return shards.mapInArrow(run, "query bigint, query_id bigint, ids array<bigint>, scores array<double>, own array<boolean>")
+    return shards.mapInArrow(run, "query bigint, query_id bigint, copies int, ids array<bigint>, scores array<double>, own array<boolean>")
