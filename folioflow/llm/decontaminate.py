@@ -16,18 +16,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import NULL_ID, id_column, materialise, mix
+from folioflow.llm.common import NULL_ID, free_name, id_column, materialise, mix
 
 Q = 12
 SEGMENT = 80
 EDIT_SHARE = 0.05
-STRIDE = 40
+STRIDE = 20  #: an excerpt of SEGMENT + STRIDE - 1 characters (99) holds a whole segment
+PIECE = 2_000_000  #: places of shared q-grams that are counted at once
 BLOCK_CHARS = 4 << 20  #: characters of benchmark text in one block
 SLICE_CHARS = 1 << 20
 
@@ -63,7 +65,8 @@ class Queries:
     """Segments of benchmark items, ready to be looked up."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.length, self.budget, texts = [], [], [], []
+        self.length, self.budget, texts = [], [], []
+        known: dict[str, list[int]] = {}  # equal segments are one, with the items that hold it
         for item, text in items:
             value = normalise(text)
             if not value:
@@ -71,11 +74,18 @@ class Queries:
             starts = [0] if len(value) <= SEGMENT else sorted({*range(0, len(value) - SEGMENT, STRIDE), len(value) - SEGMENT})
             for s in starts:
                 part = value[s : s + SEGMENT]
+                if part in known:
+                    known[part].append(item)
+                    continue
+                known[part] = [item]
                 texts.append(codes(part))
-                self.item.append(item)
                 self.length.append(len(part))
                 self.budget.append(int(EDIT_SHARE * len(part)))
-        self.item, self.length, self.budget = (np.array(x, np.int64) for x in (self.item, self.length, self.budget))
+        self.length, self.budget = (np.array(x, np.int64) for x in (self.length, self.budget))
+        held = np.array([len(x) for x in known.values()], np.int64)
+        self.items = np.array([i for x in known.values() for i in x], np.int64)
+        self.items_from = np.cumsum(held) - held
+        self.n_items = held
         self.least = self.length - Q + 1 - self.budget * Q
         while (low := (self.least < 1) & (self.budget > 0)).any():  # short segments: as many edits as the lemma can tell
             self.budget[low] -= 1
@@ -110,13 +120,19 @@ class Queries:
         hit = (key < len(self.keys)) & (self.keys[np.minimum(key, len(self.keys) - 1)] == h[at]) if len(at) else np.zeros(0, bool)
         at, key = at[hit], key[hit]
         times = self.first[key + 1] - self.first[key]
-        entry = np.repeat(self.first[key] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        segment, diagonal = self.segment[entry], np.repeat(at, times) - self.place[entry]
-        width = self.budget[segment] + 1
+        counted: tuple[list, list] = ([], [])
+        ends = np.cumsum(times)
+        for begin, stop in _pieces(ends):
+            some = times[begin:stop]
+            entry = np.repeat(self.first[key[begin:stop]] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))
+            segment, diagonal = self.segment[entry], np.repeat(at[begin:stop], some) - self.place[entry]
+            width = self.budget[segment] + 1
+            for shift in (0, 1):  # bands of twice the width, each beginning where the one before is half over
+                counted[shift].append(np.unique(segment * (1 << 40) + (diagonal + shift * width) // (2 * width), return_counts=True))
         found = []
-        for shift in (0, 1):  # bands of twice the width, each beginning where the one before is half over
-            band = (diagonal + shift * width) // (2 * width)
-            pair, count = np.unique(segment * (1 << 40) + band, return_counts=True)
+        for shift, parts in enumerate(counted):
+            pair, of = np.unique(np.concatenate([p for p, _ in parts] or [np.zeros(0, np.int64)]), return_inverse=True)
+            count = np.bincount(of, np.concatenate([c for _, c in parts] or [np.zeros(0, np.int64)]), len(pair))
             s, b = pair >> 40, pair & ((1 << 40) - 1)
             keep = count >= self.least[s]
             s, b = s[keep], b[keep]
@@ -186,6 +202,15 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 SCHEMA = "doc_id bigint, item_id bigint, n_segments int, edits int, start bigint, end bigint"
 
 
+def _pieces(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of entries whose sums, of which ``ends`` are the running totals, are about PIECE."""
+    begin, done = 0, 0
+    while begin < len(ends):
+        stop = max(begin + 1, int(np.searchsorted(ends, done + PIECE, "right")))
+        yield begin, stop
+        begin, done = stop, int(ends[stop - 1])
+
+
 def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Runs of rows with about SLICE_CHARS characters."""
     begin = size = 0
@@ -203,6 +228,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the last of them in the normalised text (characters, end exclusive).  Null and blank texts match nothing; a null id
     stays null; each of several equal rows or items gives its own row; other columns are not read.  The blocks of the
     benchmark are taken one after the other.
+
+    An excerpt of an item is found for certain from SEGMENT + STRIDE - 1 characters on, verbatim in the normalised text;
+    shorter ones are found where they hold a segment, and items shorter than SEGMENT as wholes.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = [rows.sparkSession.createDataFrame([], SCHEMA)]
@@ -223,10 +251,13 @@ def _pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 text, segment, edits, a, b = queries.matches([t or "" for t in texts[begin:stop]])
                 if not len(text):
                     continue
-                pair, of = np.unique(np.stack((text, queries.item[segment])), axis=1, return_inverse=True)
+                times = queries.n_items[segment]
+                entry = np.repeat(queries.items_from[segment] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+                text, segment, edits, a, b = (np.repeat(x, times) for x in (text, segment, edits, a, b))
+                pair, of = np.unique(np.stack((text, queries.items[entry])), axis=1, return_inverse=True)
                 of = of.ravel()
                 n = pair.shape[1]
-                seen = np.bincount(np.unique(np.stack((of, segment)), axis=1)[0], minlength=n)
+                seen = np.bincount(np.unique(np.stack((of, entry)), axis=1)[0], minlength=n)
                 least, first, last = np.full(n, 1 << 30), np.full(n, 1 << 60), np.zeros(n, np.int64)
                 np.minimum.at(least, of, edits)
                 np.minimum.at(first, of, a)
@@ -240,19 +271,25 @@ def _pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark passage, whatever their doc_id; all columns stay as they are.
 
-    Rows are judged where they are read, so nothing is joined or shuffled.  After each block of the benchmark but the last
-    what is left is written to the shared folder.
+    With one block of the benchmark rows are judged where they are read, and nothing is joined or shuffled.  With more,
+    each block's pass writes only which rows it rejects (doc_id and a hash of the text), and those are taken out at the end.
     """
     blocks = _blocks(benchmark)
-    items = next(blocks, None)
-    while items is not None:
-        docs, items = _without(docs, items), next(blocks, None)
-        if items is not None:
-            docs = materialise(docs, "clean")
-    return docs
-
-
-def _without(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return _without(docs, first)
+    text = docs["text"].cast("string")
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    bad = reduce(DataFrame.unionByName, [materialise(_without(rows, items, False).select("doc_id", "h"), "rejected") for items in chain([first, second], blocks)]).distinct()
+    d, h = free_name(docs.columns, "d"), free_name(docs.columns, "h")
+    bad = bad.select(F.col("doc_id").alias(d), F.col("h").alias(h))
+    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left_anti")
+
+
+def _without(docs: DataFrame, items: list[tuple[int, str]], keep: bool = True) -> DataFrame:
+    """The rows without a passage of the items, or those with one."""
     shared = docs.sparkSession.sparkContext.broadcast([(n, t) for n, (_, t) in enumerate(items)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +299,6 @@ def _without(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
             clean = np.ones(len(texts), bool)
             for begin, stop in _runs(texts):
                 clean[begin + queries.matches([t or "" for t in texts[begin:stop]])[0]] = False
-            yield batch.filter(pa.array(clean))
+            yield batch.filter(pa.array(clean == keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from folioflow.llm import decontaminate as D
@@ -89,3 +91,30 @@ def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.find_passages(documents([(1, "a")]), none).count() == 0
     assert D.find_passages(documents([]), spark.createDataFrame([(1, "a b")], none.schema)).count() == 0
+
+
+def test_no_excerpt_of_the_stated_length_is_missed():
+    r = random.Random(2)
+    item = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 8))) for _ in range(90))
+    queries, n = D.Queries([(0, item)]), D.SEGMENT + D.STRIDE - 1
+    texts = [f"before it {item[i : i + n]} after it" for i in range(len(item) - n + 1)]
+    assert set(queries.matches(texts)[0].tolist()) == set(range(len(texts)))
+
+
+def test_many_items_that_share_a_sentence():
+    """10,000 items with one common sentence: its segments are looked up and aligned once."""
+    r = random.Random(3)
+    common = " ".join(f"common{k}" for k in range(40))
+    items = [(i, f"{common} {r.randrange(10**9)} {r.randrange(10**9)}") for i in range(10_000)]
+    began = time.time()
+    queries = D.Queries(items)
+    assert len(queries.length) < 5 * 10_000
+    text, segment, *_ = queries.matches([f"a text with {common} in it"] * 2)
+    assert set(text.tolist()) == {0, 1} and len(text) < 2 * 40
+    assert queries.n_items[segment].max() == 10_000 and time.time() - began < 30
+
+
+def test_pieces_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(D, "PIECE", 10)
+    ends = np.cumsum([3, 3, 3, 3, 25, 1, 9, 1])
+    assert list(D._pieces(ends)) == [(0, 3), (3, 4), (4, 5), (5, 7), (7, 8)] and list(D._pieces(ends[:0])) == []
