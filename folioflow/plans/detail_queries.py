@@ -62,22 +62,28 @@ def note_rendering(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("note_id"), F.sha2(T.rendered(F.col("text"), F.concat(F.lit("Doc "), "doc_id"), F.array("lang", F.lit("x"))), 256).alias("rendered_sha256"))
 
 
-_DIRTY = [("a%2F..%2Fb", "a/b"), ("/etc//passwd", "etc/passwd"), ("a/./b/. ./c", "a/b/c"), ("%ZZ+", "%ZZ+"), ("a/ .. /b", "a/b"), ("x   y/z:?.md", "x y/z.md")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _DIRTY) + ") v(dirty, path)")
+@query("""SELECT page_id, array_to_string(list_filter(list_transform(string_split(ltrim(regexp_replace(url_decode('/../' || url || '/ ..%2F%2e/x   y:z/.'), '[\\\\:*?<>"|]', '', 'g'), '/'), '/'),
+lambda x: regexp_replace(replace(trim(x), '..', ''), ' {2,}', ' ', 'g')), lambda x: x NOT IN ('', '.', '..', '. .')), '/') AS path FROM pages""")
 def path_sanitise(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in _DIRTY], "dirty string").select("dirty", P.clean_path(F.col("dirty")).alias("path"))
+    """Each page's url as a path, with segments that have to go around it."""
+    dirty = F.concat(F.lit("/../"), F.col("url"), F.lit("/ ..%2F%2e/x   y:z/."))
+    return table(spark, folder, "pages").select("page_id", P.clean_path(dirty).alias("path"))
 
 
-@query("SELECT * FROM (VALUES ('ﬁLE', 'file'), ('Note', 'note'), ('ＡＢＣ', 'abc')) v(given, type)")
+@query("SELECT doc_id, 'fi' || lower(source) || lang AS type FROM documents")
 def type_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([("ﬁLE",), ("Note",), ("ＡＢＣ",)], "given string").select("given", P.type_key(F.col("given")).alias("type"))
+    """Types made of each document's source and language, with a ligature, capitals and full-width letters."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    wide = "".join(chr(ord(c) - ord("a") + 0xFF41) for c in letters)
+    given = F.concat(F.lit("\ufb01"), F.upper("source"), F.translate(F.col("lang"), letters, wide))
+    return table(spark, folder, "documents").select("doc_id", P.type_key(given).alias("type"))
 
 
-@query("SELECT * FROM (VALUES ('61c362', 'a�b'), ('e28061', '��a'), ('c3a9', 'é')) v(raw, text)")
+@query("SELECT doc_id, sha256(text || chr(65533) || lang || chr(65533) || chr(65533)) AS text_sha256 FROM documents")
 def utf8_scrub(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([("61c362",), ("e28061",), ("c3a9",)], "raw string").select("raw", P.scrubbed(F.unhex("raw")).alias("text"))
+    """Each document's bytes with a lead byte and a cut sequence that no character has."""
+    raw = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("C3")), F.encode("lang", "UTF-8"), F.unhex(F.lit("E280")))
+    return table(spark, folder, "documents").select("doc_id", F.sha2(P.scrubbed(raw), 256).alias("text_sha256"))
 
 
 @query("""SELECT event_id, ts + to_seconds(CASE event_type WHEN 'click' THEN 300 WHEN 'view' THEN 21600 ELSE 1800 END) AS retry_at,

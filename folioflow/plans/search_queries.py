@@ -62,10 +62,17 @@ def sparse_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return keyword.sparse_vectors(table(spark, folder, "documents")).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("SELECT * FROM (VALUES ('数据库x引擎', '数据|据库|x|引擎'), ('한', '한'), ('plain', 'plain'), ('カタカナ', 'カタ|タカ|カナ')) v(word, tokens)")
+_HAN = "translate(text, 'aeiouAEIOU', '数据库引擎数据库引擎')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {WORDS.replace("text", _HAN)} AS ws FROM documents),
+r AS (SELECT doc_id, flatten(list_transform(ws, lambda w: flatten(list_transform(regexp_extract_all(w, '[数据库引擎]+|[^数据库引擎]+'),
+  lambda r: CASE WHEN len(r) > 1 AND contains('数据库引擎', r[1]) THEN list_transform(range(1, len(r)), lambda i: r[i:i + 1]) ELSE [r] END)))) AS ts FROM t)
+SELECT doc_id, len(ts)::BIGINT AS n, sha256(array_to_string(ts, '|')) AS tokens_sha256 FROM r""")
 def cjk_bigrams(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame([("数据库x引擎",), ("한",), ("plain",), ("カタカナ",)], "word string")
-    return rows.select("word", F.array_join(keyword.tokens(F.col("word")), "|").alias("tokens"))
+    """The tokens of each document with its vowels written in Han characters."""
+    found = table(spark, folder, "documents").select("doc_id", F.explode(F.array(keyword.tokens(F.expr(_HAN)))).alias("t"))
+    return found.select("doc_id", F.size("t").cast("bigint").alias("n"), F.sha2(F.array_join("t", "|"), 256).alias("tokens_sha256"))
 
 
 @query()

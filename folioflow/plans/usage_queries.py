@@ -114,10 +114,10 @@ def lru_eviction(spark: SparkSession, folder: str) -> DataFrame:
     return usage.evicted(table(spark, folder, "events"), 100, "event_type", "ts", "event_id").select("event_type", "event_id")
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-03' ORDER BY ts DESC LIMIT 200")
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-03' ORDER BY ts DESC, event_id LIMIT 200")
 def log_tail_filtered(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events", where=(F.col("event_type") == "click") & (F.col("ts") > F.lit("2024-01-03").cast("timestamp")))
-    return rows.orderBy(F.desc("ts")).limit(200).select("event_id", "event_type")
+    return rows.orderBy(F.desc("ts"), "event_id").limit(200).select("event_id", "event_type")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events UNION SELECT DISTINCT user_id, 'any' FROM events")
@@ -131,11 +131,11 @@ def tail_watermarks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("tail"), F.max("ts").alias("last"), F.greatest(F.lit(0), 60 - F.count("*")).alias("remaining"))
 
 
-@query("SELECT event_id, left(props, 8) AS message, coalesce(NULLIF(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END, ''), 'info') AS level FROM events")
+@query("SELECT event_id, sha256(left(repeat(props, 500), 8000)) AS message_sha256, coalesce(NULLIF(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END, ''), 'info') AS level FROM events")
 def log_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "events").select("event_id", F.col("ts").cast("string").alias("ts"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("level"), F.col("props").alias("message"), F.lit(None).cast("string").alias("stack"), F.col("event_id").cast("string").alias("category"))
-    out = usage.ingested_logs(rows, F.lit("2024-01-01").cast("timestamp"), message=8, columns=("category",))
-    return out.select(F.col("category").cast("bigint").alias("event_id"), "message", "level")
+    rows = table(spark, folder, "events").select("event_id", F.col("ts").cast("string").alias("ts"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("level"), F.repeat("props", F.lit(500)).alias("message"), F.lit(None).cast("string").alias("stack"), F.col("event_id").cast("string").alias("category"))
+    out = usage.ingested_logs(rows, F.lit("2024-01-01").cast("timestamp"), columns=("category",))
+    return out.select(F.col("category").cast("bigint").alias("event_id"), F.sha2("message", 256).alias("message_sha256"), "level")
 
 
 @query("SELECT c_custkey AS user_id, (c_custkey % 20)::INT AS notes_count, coalesce(n, 0) AS real, greatest(0, c_custkey % 20 - 5)::INT AS lowered FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) ON o_custkey = c_custkey WHERE c_custkey % 20 <> coalesce(n, 0)")
