@@ -10,7 +10,9 @@ from folioflow.functions import text as T
 from folioflow.operators import feed, links, search
 from folioflow.plans.notes import NOTES_SQL, PATH, notes
 from folioflow.plans.registry import query
+from folioflow.scratch import shared_dir
 from folioflow.sources.tables import table
+from folioflow.sources.upsert import UpsertTable
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE label IN (1, 3) AND vec_id > 100 ORDER BY vec_id LIMIT 256")
@@ -125,3 +127,18 @@ def okf_fields(spark: SparkSession, folder: str) -> DataFrame:
     found = rows.select("note_id", *T.okf_fields(F.col("f.values")))
     show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return found.select("note_id", "type", "description", "resource", show("fm_timestamp"), show("fm_created"))
+
+
+@query("""SELECT vec_id, label, CASE WHEN vec_id % 3 = 0 THEN -embedding[1]::DOUBLE ELSE embedding[1]::DOUBLE END AS first FROM embeddings WHERE vec_id % 7 <> 0
+UNION ALL SELECT vec_id + 1000000000, label, embedding[1]::DOUBLE FROM embeddings WHERE vec_id % 5 = 0""")
+def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors in one batch, new values for a third and new rows in a second, which comes twice, deletions in a third."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("label").alias("vault_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    store = UpsertTable(spark, shared_dir(spark, "upserts"), rows.schema, bucket_on="vec_id", buckets=8)
+    store.upsert(rows, 1)
+    changed = rows.where("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    changed = changed.unionByName(rows.where("vec_id % 5 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000_000))
+    for _ in range(2):
+        store.upsert(changed, 2)
+    store.delete(rows.where("vec_id % 7 = 0").select("vault_id", "vec_id"), 3)
+    return store.read().select("vec_id", F.col("vault_id").alias("label"), F.col("embedding")[0].alias("first"))
