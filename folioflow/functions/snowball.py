@@ -34,14 +34,41 @@ _ES_VERBS = (
 _ES_ACUTE = str.maketrans("áéíóú", "aeiou")
 
 
+_SYLLABLE = {v: re.compile(f"[{v}][^{v}]") for v in (_DE_VOWELS, _FR_VOWELS, _ES_VOWELS)}
+
+
 def _after_syllable(word: str, vowels: str, start: int = 0) -> int:
-    m = re.compile(f"[{vowels}][^{vowels}]").search(word, start)
+    m = _SYLLABLE[vowels].search(word, start)
     return m.end() if m else len(word)
 
 
+class Endings:
+    """Endings, to be looked up by length."""
+
+    def __init__(self, words):
+        self.words, self.most = frozenset(words), max(map(len, words))
+
+    def longest(self, word: str, start: int = 0) -> str | None:
+        """The longest of them that the word has from ``start`` on."""
+        for n in range(min(self.most, len(word) - start), 0, -1):
+            if word[-n:] in self.words:
+                return word[-n:]
+        return None
+
+
 def _longest(word: str, endings, start: int = 0) -> str | None:
-    """The longest of the endings that the word has from ``start`` on."""
-    return max((e for e in endings if word.endswith(e) and len(word) - len(e) >= start), key=len, default=None)
+    return next((e for e in sorted(endings, key=len, reverse=True) if word.endswith(e) and len(word) - len(e) >= start), None)
+
+
+_FR_SUFFIXES = Endings(
+    (
+        *_FR_PLAIN, *_FR_ATION, "logie", "logies", "usion", "ution", "usions", "utions", "ence", "ences", "ement", "ements", "ité", "ités", "if", "ive", "ifs", "ives",
+        "eaux", "aux", "euse", "euses", "issement", "issements", "amment", "emment", "ment", "ments",
+    )
+)
+_FR_I, _FR_OTHER = Endings(_FR_I_VERBS), Endings(("ions", *_FR_E_VERBS, *_FR_A_VERBS))
+_ES_SUFFIXES = Endings((*_ES_PLAIN, *_ES_ADOR, "logía", "logías", "ución", "uciones", "encia", "encias", "amente", "mente", "idad", "idades", "iva", "ivo", "ivas", "ivos"))
+_ES_PRONOUN, _ES_Y, _ES_OTHER = Endings(_ES_PRONOUNS), Endings(_ES_Y_VERBS), Endings((*_ES_E_VERBS, *_ES_VERBS))
 
 
 def stem_german(word: str) -> str:
@@ -90,11 +117,7 @@ def _french_rv(word: str) -> int:
 def _french_suffix(word: str, rv: int, r1: int, r2: int) -> tuple[str, bool]:
     """The word without its standard suffix, and whether verb endings are to be tried still."""
     v = _FR_VOWELS
-    endings = (
-        *_FR_PLAIN, *_FR_ATION, "logie", "logies", "usion", "ution", "usions", "utions", "ence", "ences", "ement", "ements", "ité", "ités", "if", "ive", "ifs", "ives",
-        "eaux", "aux", "euse", "euses", "issement", "issements", "amment", "emment", "ment", "ments",
-    )
-    end = _longest(word, endings)
+    end = _FR_SUFFIXES.longest(word)
     if not end:
         return word, True
     at = len(word) - len(end)
@@ -166,12 +189,12 @@ def stem_french(word: str) -> str:
     word, verbs = _french_suffix(word, rv, r1, r2)
     if verbs:
         before = word
-        end = _longest(word, _FR_I_VERBS, rv)
+        end = _FR_I.longest(word, rv)
         at = len(word) - len(end or "")
         if end and at - 1 >= rv and word[at - 1] not in v:
             word = word[:at]
         else:
-            end = _longest(word, ("ions", *_FR_E_VERBS, *_FR_A_VERBS), rv)
+            end = _FR_OTHER.longest(word, rv)
             at = len(word) - len(end or "")
             if end in _FR_E_VERBS or end == "ions" and at >= r2:
                 word = word[:at]
@@ -214,8 +237,7 @@ def _spanish_rv(word: str) -> int:
 
 
 def _spanish_suffix(word: str, r1: int, r2: int) -> str:
-    endings = (*_ES_PLAIN, *_ES_ADOR, "logía", "logías", "ución", "uciones", "encia", "encias", "amente", "mente", "idad", "idades", "iva", "ivo", "ivas", "ivos")
-    end = _longest(word, endings)
+    end = _ES_SUFFIXES.longest(word)
     if not end:
         return word
     at = len(word) - len(end)
@@ -252,7 +274,7 @@ def stem_spanish(word: str) -> str:
     v = _ES_VOWELS
     rv, r1 = _spanish_rv(word), _after_syllable(word, v)
     r2 = _after_syllable(word, v, r1)
-    pronoun = _longest(word, _ES_PRONOUNS, rv)
+    pronoun = _ES_PRONOUN.longest(word, rv)
     if pronoun:
         rest = word[: -len(pronoun)]
         if _longest(rest, ("iéndo", "ándo", "ár", "ér", "ír"), rv):
@@ -262,11 +284,11 @@ def stem_spanish(word: str) -> str:
     begun = word
     word = _spanish_suffix(word, r1, r2)
     if word == begun:
-        end = _longest(word, _ES_Y_VERBS, rv)
+        end = _ES_Y.longest(word, rv)
         if end and word[: -len(end)].endswith("u"):
             word = word[: -len(end)]
         else:
-            end = _longest(word, (*_ES_E_VERBS, *_ES_VERBS), rv)
+            end = _ES_OTHER.longest(word, rv)
             if end:
                 word = word[: -len(end)]
                 if end in _ES_E_VERBS and word.endswith("gu"):
