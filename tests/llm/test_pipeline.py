@@ -7,9 +7,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from folioflow.llm import bpe_pieces, personal_data
+from folioflow.llm import bpe_pieces, hyperminhash, jaccard, personal_data, toxicity
 from folioflow.llm.queries import oracle_sql, queries
 
 ENC = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_pieces.read_ranks(bpe_pieces.RANKS), special_tokens={})
@@ -64,3 +65,18 @@ def test_stages_call_the_operators():
     assert [n for n, _ in C.STAGES] == ["toxicity", "near duplicates", "decontamination", "personal data", "encoding"] and C.ORACLE_SQL is None
     assert personal_data.LABELS[0] == "other"
     assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 14)} and set(oracle_sql()) <= set(queries())
+
+
+def test_stages_take_empty_tables_and_clashing_names(spark, documents):
+    """The stages that judge or change texts keep extra columns, whatever they are called, and take tables without rows."""
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    rows = [(i, f"{'idiot clown' if i % 2 else 'fine day'} number {i}") for i in range(40)] + [(50, None), (51, "")]
+    names = ["score", "predicted", "held_out", "toxic", "text_hash", "kind"]
+    docs = documents(rows)
+    for name in names:
+        docs = docs.withColumn(name, F.lit(name))
+    for stage in (lambda d: toxicity.reject(d, labels), personal_data.redact, jaccard.kept, hyperminhash.kept):
+        got = stage(docs)
+        assert got.columns == docs.columns and got.where(F.col("score") != "score").isEmpty() and got.count() > 0
+        assert stage(docs.where("doc_id < 0")).count() == 0
+    assert toxicity.reject(docs, labels.where("doc_id < 0")).count() == docs.count()
