@@ -103,13 +103,13 @@ def unexpired_keys(spark: SparkSession, folder: str) -> DataFrame:
     return usage.unexpired(rows.withColumn("expires_at", expires), F.lit("2024-01-15").cast("timestamp")).select("event_id")
 
 
-@query(f"WITH {_LINKS} SELECT DISTINCT l.source_note_id FROM links l JOIN documents d ON d.source = l.vault_id AND 'doc-' || d.doc_id = l.target WHERE d.doc_id < 10")
+@query(f"WITH {_LINKS} SELECT DISTINCT l.source_note_id FROM links l JOIN documents d ON d.source = l.vault_id AND 'doc-' || d.doc_id = l.target WHERE d.doc_id % 3 = 1")
 def affected_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return links.affected_sources(_resolved(spark, folder), notes(spark, folder).where("note_id < 10").select("note_id"))
+    return links.affected_sources(_resolved(spark, folder), notes(spark, folder).where("note_id % 3 = 1").select("note_id"))
 
 
 @query(f"""WITH {_LINKS}, d AS (SELECT DISTINCT l.vault_id, l.target AS basename_key FROM links l LEFT JOIN documents d ON d.source = l.vault_id AND 'doc-' || d.doc_id = l.target WHERE d.doc_id IS NULL)
-SELECT * FROM d WHERE (vault_id, basename_key) IN (SELECT source, 'doc-' || ((doc_id + 1) % 50) FROM documents WHERE doc_id < 100)""")
+SELECT * FROM d WHERE (vault_id, basename_key) IN (SELECT source, 'doc-' || ((doc_id + 1) % 50) FROM documents WHERE doc_id % 3 = 0)""")
 def link_repairs(spark: SparkSession, folder: str) -> DataFrame:
-    renames = notes(spark, folder).where("note_id < 100").select("vault_id", F.expr("concat('old/Doc-', (note_id + 1) % 50, '.md')").alias("old_path"))
+    renames = notes(spark, folder).where("note_id % 3 = 0").select("vault_id", F.expr("concat('old/Doc-', (note_id + 1) % 50, '.md')").alias("old_path"))
     return links.repairs(_resolved(spark, folder), renames)

@@ -62,15 +62,19 @@ def batch_move(spark: SparkSession, folder: str) -> DataFrame:
 
 #: Three links behind each whole text: by name, by path in markdown form, and one in code, which is none.
 _TAIL = "concat('\\n\\nA [[doc-', doc_id % 50, '|one]], B [two](<', replace(lang, ' ', ''), '/p', doc_id % 5, '/Doc-', doc_id, '.md>), `[[doc-1|code]]`\\n')"
-_FLAT = "regexp_replace(text, '[\\\\[\\\\]()`~<>#!\\\\\\\\]', ' ')"
+
+
+def _linked(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("note_id"), F.col("source").alias("vault_id"), F.concat("text", F.expr(_TAIL)).alias("content"))
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return notes(spark, folder).select("vault_id", "id", "path", F.lit("note").alias("kind"))
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    """All links of texts with other link signs blanked out, resolved."""
-    content = F.concat(F.expr(_FLAT), F.expr(_TAIL))
-    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("note_id"), F.col("source").alias("vault_id"), content.alias("content"))
-    files = notes(spark, folder).select("vault_id", "id", "path", F.lit("note").alias("kind"))
-    return links.resolve(links.extract_links(rows), files)
+    """All links of the whole texts and of what stands behind them, resolved."""
+    return links.resolve(links.extract_links(_linked(spark, folder)), _files(spark, folder))
 
 
 _EDGES = f"""e AS (SELECT doc_id AS source_note_id, source AS vault_id, 'one' AS alias, 'doc-' || (doc_id % 50) AS goal, NULL AS whole FROM documents
@@ -142,3 +146,16 @@ def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
         store.upsert(changed, 2)
     store.delete(rows.where("vec_id % 7 = 0").select("vault_id", "vec_id"), 3)
     return store.read().select("vec_id", F.col("vault_id").alias("label"), F.col("embedding")[0].alias("first"))
+
+
+@query(f"""WITH {_EDGES}, w AS (SELECT source_note_id, bool_or(alias = 'one') AS one, bool_or(alias = 'two') AS two FROM r WHERE target_note_id % 7 = 0 GROUP BY ALL)
+SELECT doc_id AS note_id, sha256(text || chr(10) || chr(10) || 'A [[' || CASE WHEN one THEN 'Renamed ' ELSE 'doc-' END || (doc_id % 50) || '|one]], B [two](<'
+|| CASE WHEN two THEN 'moved/Renamed%20' || doc_id || '.md' ELSE {PATH} END || '>), `[[doc-1|code]]`' || chr(10)) AS content_sha256
+FROM w JOIN documents ON doc_id = source_note_id""")
+def link_rewrite(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh note is renamed; all notes with links to those are written anew."""
+    stays = F.col("id") % 7 != 0
+    renames = _files(spark, folder).where(~stays).select(F.col("id").alias("note_id"), F.concat(F.lit("moved/Renamed "), "id", F.lit(".md")).alias("new_path"))
+    after = _files(spark, folder).withColumn("path", F.when(stays, F.col("path")).otherwise(F.concat(F.lit("moved/Renamed "), "id", F.lit(".md"))))
+    out = links.rewrite_notes(_linked(spark, folder), _edges(spark, folder), renames, after)
+    return out.select("note_id", F.sha2("content", 256).alias("content_sha256"))

@@ -117,11 +117,11 @@ _LINKS = """links AS (SELECT doc_id AS source_note_id, source AS vault_id, 'doc-
 
 @query(f"WITH {_LINKS} SELECT source_note_id, target, alias, 'wikilink' AS link_type, 'wiki' AS form FROM links")
 def link_extract(spark: SparkSession, folder: str) -> DataFrame:
-    return links.extract_links(markdown(spark, folder)).where("alias = 'alias'").select("source_note_id", "target", "alias", "link_type", "form")
+    return links.extract_links(markdown(spark, folder)).select("source_note_id", "target", "alias", "link_type", "form")
 
 
 def _resolved(spark: SparkSession, folder: str) -> DataFrame:
-    edges = links.extract_links(markdown(spark, folder)).where("alias = 'alias'")
+    edges = links.extract_links(markdown(spark, folder))
     files = notes(spark, folder).select("vault_id", "id", "path", F.lit("note").alias("kind"))
     return links.resolve(edges, files)
 
@@ -147,12 +147,12 @@ def basename_collisions(spark: SparkSession, folder: str) -> DataFrame:
     return links.basename_collisions(notes(spark, folder).select("vault_id", F.concat(F.lit("x/"), F.upper("lang"), F.lit(".md")).alias("path")))
 
 
-@query(f"WITH {_LINKS} SELECT l.source_note_id, d.doc_id AS target_note_id FROM links l JOIN documents d ON d.source = l.vault_id AND 'doc-' || d.doc_id = l.target WHERE d.doc_id < 20")
+@query(f"WITH {_LINKS} SELECT l.source_note_id, d.doc_id AS target_note_id FROM links l JOIN documents d ON d.source = l.vault_id AND 'doc-' || d.doc_id = l.target WHERE d.doc_id % 7 = 0")
 def pre_rename_winners(spark: SparkSession, folder: str) -> DataFrame:
-    edges = links.extract_links(markdown(spark, folder)).where("alias = 'alias'")
+    edges = links.extract_links(markdown(spark, folder))
     all_ = notes(spark, folder)
-    files = all_.select("vault_id", "id", F.when(F.col("id") < 20, F.concat(F.lit("new/x"), "id", F.lit(".md"))).otherwise(F.col("path")).alias("path"), F.lit("note").alias("kind"))
-    return links.pre_rename_winners(edges, files, all_.where("id < 20").select("note_id", F.col("path").alias("old_path"))).select("source_note_id", "target_note_id")
+    files = all_.select("vault_id", "id", F.when(F.col("id") % 7 == 0, F.concat(F.lit("new/x"), "id", F.lit(".md"))).otherwise(F.col("path")).alias("path"), F.lit("note").alias("kind"))
+    return links.pre_rename_winners(edges, files, all_.where("id % 7 = 0").select("note_id", F.col("path").alias("old_path"))).select("source_note_id", "target_note_id")
 
 
 @query(f"WITH {_LINKS} SELECT l.source_note_id, CASE WHEN d.doc_id % 2 = 1 THEN d.doc_id END AS target_note_id, coalesce(d.doc_id % 2 = 0, true) AS dangling FROM links l LEFT JOIN documents d ON d.source = l.vault_id AND 'doc-' || d.doc_id = l.target WHERE l.source_note_id % 2 = 1")
@@ -161,14 +161,6 @@ def soft_delete_links(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("source_note_id", "target_note_id", "dangling")
 
 
-@query()
-def link_rewrite(spark: SparkSession, folder: str) -> DataFrame:
-    renames = notes(spark, folder).where("note_id < 5").select("note_id", F.concat(F.lit("moved/Renamed "), "note_id", F.lit(".md")).alias("new_path"))
-    files = notes(spark, folder).select("vault_id", "id", "path", F.lit("note").alias("kind"))
-    out = links.rewrite_notes(markdown(spark, folder), _resolved(spark, folder), renames, files)
-    return out.select("note_id", F.sha2("content", 256).alias("content_sha256"))
-
-
 @query("""WITH m(old, new) AS (VALUES ('en', 'english'), ('fr', 'f'), ('en/1', 'one'))
 SELECT page_id, path, (SELECT new || substr(path, length(old) + 1) FROM m WHERE path = old OR starts_with(path, old || '/') ORDER BY length(old) DESC LIMIT 1) AS new_path
 FROM (SELECT page_id, list_aggregate(list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), 'string_agg', '/') AS path FROM pages)""")
