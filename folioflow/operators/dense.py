@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.scratch import Scratch
+
 OVERSAMPLING = 3.0
-BLOCK_QUERIES = 4096  #: queries that are broadcast at once
+BLOCK_QUERIES = 16384  #: queries that meet a block of vectors in one task
+BLOCK_ROWS = 65536  #: vectors of a block
 CHUNK = 1024  #: rows and queries of one matrix product
 MARGIN = 1e-9  #: more than a matrix product's rounding of a cosine
 
@@ -91,25 +93,29 @@ def quantised_top_k(indexed: DataFrame, query: Sequence[float], k: int = 5, over
     return top_k(indexed.join(F.broadcast(few), id_), query, k, id_, vector)
 
 
-def query_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", block: int = BLOCK_QUERIES) -> DataFrame:
+def query_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", block: int = BLOCK_QUERIES, rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, id and score of the k nearest of each query in a table of queries (query_id, query), ties to the smaller id.
 
-    The queries are dealt by hash into blocks of about ``block``, each broadcast against one scan.  A task keeps the exact
-    k best of its rows for each query; only those are shuffled and ranked.  Scores are those of ``cosine``, to the bit.
+    Both sides are written once, with a number for each row that deals them evenly into blocks of about ``block`` queries
+    and ``rows`` vectors, whatever ids repeat; only the two counts come to the driver.  Each block of vectors meets each
+    block of queries in one task of a shuffle, so a task holds one block of each, and keeps the exact k best of its rows for
+    each query.  Those are shuffled by query, ranked, and written; the blocks are removed.  Scores are those of ``cosine``,
+    to the bit.  Rows of an id that several rows share count one by one; without queries or vectors there are no rows.
     """
-    from pyspark.sql import Window
-
     spark, kinds = vectors.sparkSession, {**dict(vectors.dtypes), **dict(queries.dtypes)}
-    queries = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
-    blocks = max(1, -(-queries.count() // block))
-    rows = vectors.select(id_, F.col(vector).cast("array<double>").alias("_v"))
+    run = Scratch(spark, "nearest")
+    dealt = F.xxhash64(F.monotonically_increasing_id())
+    asked, q = run.measured(queries.select("query_id", F.col("query").cast("array<double>").alias("query"), dealt.alias("_n")), "queries", n=F.count(F.lit(1)))
+    held, v = run.measured(vectors.select(id_, F.col(vector).cast("array<double>").alias("_v"), dealt.alias("_n")), "vectors", n=F.count(F.lit(1)))
+    columns, across = max(1, -(-(q["n"] or 0) // block)), max(1, -(-(v["n"] or 0) // rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.col("_n"), F.lit(n)).cast("int")
+    left = asked.select("query_id", "query", place(columns).alias("_q"), every(across).alias("_b"))
+    right = held.select(id_, "_v", every(columns).alias("_q"), place(across).alias("_b"))
     schema = f"query_id {kinds['query_id']}, {id_} {kinds[id_]}, score double"
-    found = None
-    for b in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
-        part = rows.mapInArrow(_nearest_of_task(spark.sparkContext.broadcast(asked), k, id_), schema)
-        found = part if found is None else found.unionByName(part)
-    return found.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_))).where(F.col("_r") <= k).drop("_r")
+    met = left.groupBy("_q", "_b").cogroup(right.groupBy("_q", "_b")).applyInArrow(_nearest_of_blocks(k, id_), schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_)
+    return run.finish(met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r"))
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,33 +141,29 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return out, size, np.sqrt(norm)
 
 
-def _nearest_of_task(asked: Broadcast, k: int, id_: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = asked.value.combine_chunks()
-        query = table.column("query").combine_chunks()
-        width = max((n or 0 for n in pc.list_value_length(query).to_pylist()), default=0)
+def _nearest_of_blocks(k: int, id_: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(asked: pa.Table, vectors: pa.Table) -> pa.Table:
+        query = asked.column("query").combine_chunks()
+        width = max(pc.max(pc.list_value_length(query)).as_py() or 0, 0) if len(query) else 0
         q, q_size, q_norm = _matrix(query, width)
         best: list[list[tuple[float, bool, object, float]]] = [[] for _ in q]  # order: score down, null ids first, id
         floor = np.full(len(q), -np.inf)  # k-th best so far
-        kind = None
-        for batch in batches:
-            kind = batch.schema.field(id_).type
-            batch = batch.take(pc.sort_indices(batch.column(id_), null_placement="at_start"))
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                keys = part.column(id_).to_pylist()
-                v, v_size, v_norm = _matrix(part.column("_v"), width)
-                for begin in range(0, len(q), CHUNK):
-                    stop = min(begin + CHUNK, len(q))
-                    for i, rows, scores in _candidates(q[begin:stop], q_size[begin:stop], q_norm[begin:stop], v, v_size, v_norm, floor[begin:stop], k):
-                        more = [(-_rank(s), keys[r] is not None, keys[r], s) for r, s in zip(rows, scores, strict=True)]
-                        held = best[begin + i] = sorted(best[begin + i] + more, key=lambda x: x[:3] if x[1] else x[:2])[:k]
-                        if len(held) == k:
-                            floor[begin + i] = -held[-1][0]
-        if kind is not None:
-            number = np.repeat(np.arange(len(q)), [len(x) for x in best])
-            flat = [x for held in best for x in held]
-            yield pa.RecordBatch.from_arrays([table.column("query_id").combine_chunks().take(pa.array(number)), pa.array([x[2] for x in flat], kind), pa.array([x[3] for x in flat], pa.float64())], ["query_id", id_, "score"])
+        vectors = vectors.take(pc.sort_indices(vectors.column(id_), null_placement="at_start"))
+        for at in range(0, vectors.num_rows if len(q) else 0, CHUNK):
+            part = vectors.slice(at, CHUNK)
+            keys = part.column(id_).to_pylist()
+            v, v_size, v_norm = _matrix(part.column("_v").combine_chunks(), width)
+            for begin in range(0, len(q), CHUNK):
+                stop = min(begin + CHUNK, len(q))
+                for i, rows, scores in _candidates(q[begin:stop], q_size[begin:stop], q_norm[begin:stop], v, v_size, v_norm, floor[begin:stop], k):
+                    more = [(-_rank(s), keys[r] is not None, keys[r], s) for r, s in zip(rows, scores, strict=True)]
+                    held = best[begin + i] = sorted(best[begin + i] + more, key=lambda x: x[:3] if x[1] else x[:2])[:k]
+                    if len(held) == k:
+                        floor[begin + i] = -held[-1][0]
+        number = np.repeat(np.arange(len(q)), [len(x) for x in best])
+        flat = [x for held in best for x in held]
+        kinds = asked.schema.field("query_id").type, vectors.schema.field(id_).type
+        return pa.table({"query_id": asked.column("query_id").combine_chunks().take(pa.array(number, pa.int64())).cast(kinds[0]), id_: pa.array([x[2] for x in flat], kinds[1]), "score": pa.array([x[3] for x in flat], pa.float64())})
 
     return run
 

@@ -78,13 +78,23 @@ def test_block_search_is_brute_force(spark, monkeypatch):
     best = {}
     for r in sorted(want, key=lambda r: (r.query_id, -r.score, r.vec_id)):
         best.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    for block in (7, 4096):  # many blocks, and one
+    for block, high in ((50, 40), (4096, 4096)):  # many blocks, and one
         got = {}
-        for r in sorted(dense.query_top_k(rows, asked, 5, block=block).collect(), key=lambda r: (r.query_id, -r.score, r.vec_id)):
+        for r in sorted(dense.query_top_k(rows, asked, 5, block=block, rows=high).collect(), key=lambda r: (r.query_id, -r.score, r.vec_id)):
             got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert got == {q: b[:5] for q, b in best.items()}
 
 
+def test_block_search_of_odd_tables(spark):
+    """Rows of one id fill several blocks; equal query ids are one query; clashing names; empty tables."""
+    rows = spark.createDataFrame([(7, [1.0, float(i)], "x") for i in range(40)] + [(8, [0.0, 1.0], "y")], "vec_id int, embedding array<double>, query string")
+    asked = spark.createDataFrame([("a", [0.0, 1.0], 1), ("b", None, 2), ("c", [], 3)], "query_id string, query array<double>, _v int")
+    got = sorted((r.query_id, -r.score, r.vec_id) for r in dense.query_top_k(rows, asked, 2, rows=10).collect())
+    assert [g[0] for g in got] == ["a", "a", "b", "b", "c", "c"] and got[0] == ("a", -1.0, 8) and got[2:] == [("b", 0.0, 7), ("b", 0.0, 7), ("c", 0.0, 7), ("c", 0.0, 7)]
+    assert dense.query_top_k(rows.limit(0), asked).count() == 0
+    assert dense.query_top_k(rows, asked.limit(0)).count() == 0
+
+
 def test_block_search_takes_more_than_ten_thousand_queries(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id int, embedding array<float>")
     asked = spark.range(10_002).selectExpr("id AS query_id", "array(1.0f, float(id)) AS query")
