@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import language_model
-from folioflow.operators import dense, keyword, search
+from folioflow.operators import dense, inverted, keyword, search
 from folioflow.plans.registry import query
-from folioflow.scratch import materialise
+from folioflow.scratch import materialise, shared_dir
 from folioflow.sources.tables import table
 
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')"
@@ -33,6 +33,14 @@ def keyword_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+@query(f"WITH {_bm25_sql()} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY score DESC, doc_id LIMIT 10")
+def index_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The same ten from an index by term, of which only the blocks whose bound reaches the tenth score are read."""
+    docs = table(spark, folder, "documents", ["doc_id", "lang", "text"])
+    index = inverted.build(docs, shared_dir(spark, "index"), near=["lang"], block=64)
+    return index.top_k(ASK, 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_bm25_sql('source')} SELECT source, doc_id, round(score, 6) AS score FROM b")
 def keyword_bm25_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return keyword.bm25(table(spark, folder, "documents"), ASK, group=["source"]).select("source", "doc_id", F.round("score", 6).alias("score"))
