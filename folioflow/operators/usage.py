@@ -201,6 +201,11 @@ class Meter:
         s["asked"] += 1
         return s["opened"], s["in"], "allowed"
 
+    def until(self) -> int | None:
+        """From this microsecond on the state tells no more than none: the day and the conversation's window are over."""
+        s = self.state
+        return None if s["start"] is None else max((s["day"] + 1) * 86_400_000_000, s["start"] + self.window * 60_000_000 + 1)
+
 
 @dataclass
 class Bucket:
@@ -218,6 +223,13 @@ class Bucket:
         s.update(tokens=now - 1, at=us)
         return now - 1, "allowed"
 
+    def until(self) -> int | None:
+        """From this microsecond on the bucket is full again, as without a state; None where that never comes."""
+        s = self.state
+        if s["tokens"] is None or self.per_second <= 0:
+            return None
+        return s["at"] + int((self.capacity - s["tokens"]) / self.per_second * 1e6) + 1_000_000  # a second for rounding
+
 
 def debounced(times: Sequence[int], quiet: int, ceiling: int, eager: int | None = None, idle: int | None = None) -> list[tuple[int, int, int]]:
     """(first, run at, events) of each run: ``quiet`` after the last event of a burst, at most ``ceiling`` after its first.
