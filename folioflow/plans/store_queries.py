@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import python_text as P
 from folioflow.functions import text as T
 from folioflow.operators import feed, links, search
+from folioflow.operators.link_graph import LinkGraph
 from folioflow.plans.notes import NOTES_SQL, PATH, notes
 from folioflow.plans.registry import query
 from folioflow.scratch import shared_dir
@@ -159,3 +160,20 @@ def link_rewrite(spark: SparkSession, folder: str) -> DataFrame:
     after = _files(spark, folder).withColumn("path", F.when(stays, F.col("path")).otherwise(F.concat(F.lit("moved/Renamed "), "id", F.lit(".md"))))
     out = links.rewrite_notes(_linked(spark, folder), _edges(spark, folder), renames, after)
     return out.select("note_id", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("""WITH e AS (SELECT doc_id AS source_note_id, source, 1 AS place, doc_id % 50 AS goal FROM documents UNION ALL SELECT doc_id, source, 2, doc_id FROM documents)
+SELECT source_note_id, place, d.doc_id AS target_note_id, d.doc_id IS NULL AS dangling FROM e
+LEFT JOIN documents d ON d.source = e.source AND d.doc_id = e.goal AND d.doc_id % 7 <> 0 AND d.doc_id % 11 <> 3 WHERE source_note_id % 11 <> 3 OR source_note_id % 7 = 0""")
+def link_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """All files in one batch; then every seventh moves and every eleventh of the others goes, in a batch that comes twice."""
+    graph = LinkGraph(spark, shared_dir(spark, "links"), buckets=8)
+    all_ = _files(spark, folder).withColumnRenamed("path", "at")
+    first = all_.select("vault_id", "id", "kind", F.lit(None).cast("string").alias("old_path"), F.col("at").alias("path"))
+    graph.apply(first, _linked(spark, folder), 1)
+    path = F.when(F.col("id") % 7 == 0, F.concat(F.lit("moved/Renamed "), "id", F.lit(".md")))
+    second = all_.where("id % 7 = 0 OR id % 11 = 3").select("vault_id", "id", "kind", F.col("at").alias("old_path"), path.alias("path"))
+    for _ in range(2):
+        graph.apply(second, _linked(spark, folder).limit(0), 2)
+    place = F.row_number().over(Window.partitionBy("source_note_id").orderBy("position"))
+    return graph.edges.read().select("source_note_id", place.cast("int").alias("place"), "target_note_id", "dangling")

@@ -72,6 +72,15 @@ class UpsertTable:
             new = new.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(F.max(F.struct(*new.columns)).alias("r")).select("r.*")
         return self._apply(new.select(*keys).distinct(), keys, new, batch)
 
+    def rows_of(self, keys: DataFrame) -> DataFrame:
+        """The current rows of the buckets that ``keys`` (with ``bucket_on``) fall into; other folders aren't read."""
+        touched = sorted(r["_bucket"] for r in self._bucketed(keys.select(self.bucket_on)).select("_bucket").distinct().collect())  # at most ``buckets``
+        return self._current(self.manifest().where(F.col("_bucket").isin(touched))).where(F.col("_bucket").isin(touched)).select(*self.schema.names)
+
+    def replace(self, gone: DataFrame, rows: DataFrame, batch: int) -> int:
+        """Puts ``rows`` in place of all those with the values of ``gone``, which names every key that ``rows`` has."""
+        return self._apply(gone.distinct(), gone.columns, self._bucketed(rows.select(*self.schema.names)), batch)
+
     def delete(self, keys: DataFrame, batch: int) -> int:
         """Takes the rows with these values (the columns of ``keys``: vault and ``bucket_on``, or more) away."""
         return self._apply(keys.distinct(), keys.columns, None, batch)
@@ -87,7 +96,7 @@ class UpsertTable:
         held = self._current(before.join(touched, both(same(before, touched, self.parts)), "left_semi"))
         left = held.join(gone, both(same(held, gone, keys)), "left_anti").drop("_batch")
         after = left if new is None else left.unionByName(new.select(*left.columns))
-        dealt = after.withColumn("_batch", F.lit(batch).cast("bigint")).repartition(*self.parts)
+        dealt = after.withColumn("_batch", F.lit(batch).cast("bigint")).hint("rebalance", *self.parts)  # a bucket of very many rows fills several tasks and files
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.parts, "_batch").parquet(f"{self.root}/data")
         manifest = before.join(touched, both(same(before, touched, self.parts)), "left_anti").unionByName(touched.withColumn("_batch", F.lit(batch).cast("bigint")))
         files, path = self._files()
