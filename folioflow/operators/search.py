@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import python_text as P
 from folioflow.operators import dense, keyword
 
 RRF_K = 60
@@ -73,6 +74,20 @@ def blended(pool: DataFrame, n: int, score: str = "score", rerank: str = "rerank
     return pool.withColumn("blend", 0.4 * F.col(score) + 0.6 * scaled).orderBy(F.desc("blend"), id_).limit(n)
 
 
+def passthrough(pool: DataFrame, n: int, id_: str = "doc_id") -> DataFrame:
+    """The stage without a reranker: the first ``n`` by the score that they have, ties to the smaller id."""
+    return pool.orderBy(F.desc("score"), id_).limit(n)
+
+
+def scrubbed(hits: DataFrame) -> DataFrame:
+    """``hits`` with valid UTF-8 in all their texts: each invalid byte is one replacement character.
+
+    Valid texts, which are nearly all, stay in the JVM; only others are sent to Python.
+    """
+    clean = lambda c: F.coalesce(P.scrubbed(F.when(~F.is_valid_utf8(c), F.col(c).cast("binary"))), F.col(c)).alias(c)
+    return hits.select(*[clean(c) if t == "string" else F.col(c) for c, t in hits.dtypes])
+
+
 def mmr_order(scores: np.ndarray, vectors: list, diversity: float, n: int) -> list[int]:
     """Indices in the order of picking: relevance (scaled over the pool) against the largest cosine to what is picked."""
     low, high = (scores.min(), scores.max()) if len(scores) else (0, 0)
@@ -140,7 +155,9 @@ def search(chunks: DataFrame, query: str, vector: Sequence[float] | None, mode:
     """The whole search over chunks (id, text, vector, vault_id, source_path and what the filters need).
 
     ``mode`` is vector, keyword or hybrid; a hybrid search without a vector (the embedder failed) is a keyword search.
-    ``rerank`` adds a rerank_score to the pool.
+    ``rerank`` adds a rerank_score to the pool, which is blended with the score; without it, or where the profile doesn't ask
+    for it, the pool passes by its score.  The stage keeps the whole pool where diversity or grouping follow, otherwise
+    ``limit``.  The texts of the results are ``scrubbed``.
     """
     if mode not in ("vector", "keyword", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -155,11 +172,14 @@ def search(chunks: DataFrame, query: str, vector: Sequence[float] | None, mode:
         raise ValueError("a vector search needs a vector")
     found = rrf(legs, pool, pool, id_) if len(legs) > 1 else legs[0]
     hits = live.join(F.broadcast(found), id_)
+    keep = pool if profile.group or profile.diversity > 0 else profile.limit
     if profile.rerank and rerank is not None:
-        hits = blended(rerank(hits, query), pool, id_=id_).drop("score").withColumnRenamed("blend", "score")
+        hits = blended(rerank(hits, query), keep, id_=id_).drop("score").withColumnRenamed("blend", "score")
+    else:
+        hits = passthrough(hits, keep, id_)
     if profile.diversity > 0:
         picked = mmr(hits.withColumn("_q", F.lit(0)), pool if profile.group else profile.limit, profile.diversity, "_q", id_, "vector")
         hits = hits.drop("score").join(F.broadcast(picked.select(id_, "score", "pick")), id_)
     if profile.group:
-        return collapse(hits, id_=id_, others=("text",)).limit(profile.limit)
-    return hits.orderBy(*(["pick"] if profile.diversity > 0 else [F.desc("score"), id_])).limit(profile.limit)
+        return scrubbed(collapse(hits, id_=id_, others=("text",)).limit(profile.limit))
+    return scrubbed(hits.orderBy(*(["pick"] if profile.diversity > 0 else [F.desc("score"), id_])).limit(profile.limit))
