@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from folioflow.operators import feed
 from folioflow.plans.notes import NOTES_SQL, notes
 from folioflow.plans.registry import query
+from folioflow.scratch import remove_dir, shared_dir
+from folioflow.sources.change_log import ChangeLog
 from folioflow.sources.tables import table
 
 _EVENTS = "e AS (SELECT event_id // 3 AS seq, event_id AS id, length(props) * 100 AS content_bytes FROM events)"
@@ -127,3 +130,20 @@ def log_replay(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = table(spark, folder, "events").select("user_id", "event_type", "ts", "value")
     return usage.replayed(rows.where("ts < '2024-01-10'"), rows, ["user_id", "event_type"], "value", ["ts"])
+
+
+@query(f"WITH {_EVENTS} SELECT seq, id, content_bytes::BIGINT AS content_bytes, least(seq * 3 // ((SELECT max(seq) FROM e) + 1), 2)::INTEGER AS run FROM e")
+def change_log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes appended in three parts, and after each a run of one stream that goes on from its checkpoint."""
+    rows = _events(spark, folder)
+    top = rows.agg(F.max("seq")).first()[0] or 0
+    rows = rows.withColumn("_run", F.least(F.expr(f"(seq * 3) div {top + 1}"), F.lit(2)).cast("int"))
+    root = shared_dir(spark, "change-log")
+    log = ChangeLog(spark, f"{root}/log", rows.drop("_run").schema)
+    rows.where("false").withColumnRenamed("_run", "run").write.parquet(f"{root}/read/none")  # no changes are no batches
+    for run in range(3):
+        log.append(rows.where(F.col("_run") == run), run)
+        write = lambda batch, number, run=run: batch.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{root}/read/{number}")
+        log.stream().writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    remove_dir(spark, f"{root}/log")
+    return spark.read.schema(StructType([*log.schema.fields, StructField("run", IntegerType())])).parquet(f"{root}/read/*")
