@@ -171,10 +171,10 @@ HOT_SHARE = 4
 HOT_ROWS = 100
 
 
-def join_counted(many: DataFrame, one: DataFrame, on: str, count: str, how: str = "inner", total: int | None = None, most: int | None = None) -> DataFrame:
+def join_counted(many: DataFrame, one: DataFrame, on: str | list[str], count: str, how: str = "inner", total: int | None = None, most: int | None = None) -> DataFrame:
     """``many`` joined with ``one``, which has each value of ``on`` once and in ``count`` how many rows of ``many`` have it.
 
-    ``total`` and ``most`` are the sum and the largest of the counts.  Rows of hot keys stay where they are and get a
+    ``total`` and ``most`` are the sum and the largest of the counts, or a bound of it.  Rows of hot keys stay where they are and get a
     broadcast of ``one``'s hot rows, of which there are at most HOT_SHARE for each shuffle partition, whatever the size of
     the data; the rest is joined by a shuffle or as Spark chooses.  Both are read twice if there are hot keys, so they
     should be stored tables.  ``how`` is inner or left; ``count`` is dropped.
@@ -184,4 +184,4 @@ def join_counted(many: DataFrame, one: DataFrame, on: str, count: str, how: str
     if (most or 0) <= bound:
         return many.join(one.drop(count), on, how)
     hot = F.broadcast(one.where(F.col(count) > bound).drop(count))
-    return many.join(hot, on).unionByName(many.join(F.broadcast(hot.select(on)), on, "left_anti").join(one.drop(count), on, how))
+    return many.join(hot, on).unionByName(many.join(F.broadcast(hot.select(*([on] if isinstance(on, str) else on))), on, "left_anti").join(one.drop(count), on, how))

@@ -11,7 +11,8 @@ The leaf templates get a smoothed purity, ``(bad + PRIOR_WEIGHT * base rate) / (
 of purity PURITY or more are rejected.
 
 URLs are counted by host and path before anything else, so a host with a third of all pages is as many rows as it has
-paths; where statistics of a node go back to its segments, the join's key is salted.
+paths.  Where statistics go back to what they were counted on, the count tells hot keys: rows of those stay where they are
+and get their one row by a broadcast (``common.join_counted``), so nothing is copied and no key fills a task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialise, remove_dir, stored
+from folioflow.llm.common import Scratch, join_counted, remove_dir
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -31,7 +32,6 @@ SHARE = 0.2  #: of its node's pages, below which a segment is variable
 CHANCE = 2.0  #: standard errors within which branches count as similar
 PRIOR_WEIGHT = 8.0
 PURITY = 0.5
-SALT = 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,46 +61,44 @@ def segments(path_: Column) -> Column:
     return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(rest))).otherwise(parts)
 
 
-def templates(counted: DataFrame) -> DataFrame:
-    """``counted`` has host, path, segs, pages, labelled and bad; the column template is added.
+def templates(counted: DataFrame, run: Scratch) -> DataFrame:
+    """``counted``, a stored table, has host, path, segs, pages, labelled and bad; the column template is added.
 
-    Level by level; each level is written to the shared folder.
+    Level by level; each level is written to the shared folder and the one before is removed.
     """
-    rows = counted.withColumn("template", F.lit(""))
-    last = None
+    total = counted.count()
+    rows, begin = counted.withColumn("template", F.lit("")), len(run.paths)
     for level in range(DEPTH + 1):
-        rows, folder = stored(_level(rows, level), "templates")
-        if last:
-            remove_dir(rows.sparkSession, last)
-        last = folder
+        found = _level(rows, level, total, run)
+        if found is None:  # no path is that deep
+            break
+        rows = run.write(found, "templates")
+        for path in run.paths[begin:-1]:
+            remove_dir(rows.sparkSession, path)
+        begin = len(run.paths) - 1
     return rows
 
 
-def _level(rows: DataFrame, level: int) -> DataFrame:
-    seg = F.try_element_at("segs", F.lit(level + 1))
-    rows = rows.withColumn("seg", seg)
+def _level(rows: DataFrame, level: int, total: int, run: Scratch) -> DataFrame | None:
+    rows = rows.withColumn("seg", F.try_element_at("segs", F.lit(level + 1)))
     node = ["host", "template"]
     sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
-    children = rows.where("seg is not null").groupBy(*node, "seg").agg(*sums)
-    below = children.groupBy(*node).agg(F.count("*").alias("kinds"), F.sum("pages").alias("all_pages"))
-    marked = _salted(children, below, node).withColumn("variable", (F.col("kinds") >= MANY) & (F.col("pages") < SHARE * F.col("all_pages")))
+    children = run.write(rows.where("seg is not null").groupBy(*node, "seg").agg(*sums, F.count("*").alias("urls")), "children")
+    segs = children.count()
+    if not segs:
+        return None
+    below = children.groupBy(*node).agg(F.count("*").alias("kinds"), F.sum("pages").alias("all_pages"), F.count("*").alias("_rows"))
+    variable = (F.col("kinds") >= MANY) & (F.col("pages") < SHARE * F.col("all_pages"))
+    marked = run.write(join_counted(children, below, node, "_rows", total=segs, most=segs).withColumn("variable", variable), "marked")
     named = marked.where("not variable")
-    pooled = named.groupBy(*node).agg(F.count("*").alias("named"), F.sum("labelled").alias("n"), F.sum("bad").alias("k"))
+    pooled = named.groupBy(*node).agg(F.count("*").alias("named"), F.sum("labelled").alias("n"), F.sum("bad").alias("k"), F.count("*").alias("_rows"))
     p = F.try_divide("k", "n")
     gap = F.abs(F.try_divide("bad", "labelled") - p)
     similar = (F.col("labelled") == 0) | (F.col("n") == 0) | (gap <= CHANCE * F.sqrt(F.try_divide(p * (1 - p), F.col("labelled"))))
-    merged = _salted(named, pooled, node).select(*node, "seg", F.when((F.col("named") > 1) & similar, "~").otherwise(F.col("seg")).alias("name"))
-    names = marked.where("variable").select(*node, "seg", F.lit("*").alias("name")).unionByName(merged)
-    # one segment of a host can hold a third of all urls: its one name is met by SALT tasks
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int"))
-    out = dealt.join(names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*node, "seg", "_salt"], "left")
-    return out.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("seg", "name", "_salt")
-
-
-def _salted(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
-    """An inner join by ``keys``, of which ``one`` has each once; the rows of a key are dealt over SALT tasks."""
-    salt = F.pmod(F.xxhash64("seg"), F.lit(SALT)).cast("int")
-    return many.withColumn("_salt", salt).join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*keys, "_salt"]).drop("_salt")
+    merged = join_counted(named, pooled, node, "_rows", total=segs, most=segs).select(*node, "seg", "urls", F.when((F.col("named") > 1) & similar, "~").otherwise(F.col("seg")).alias("name"))
+    names = run.write(marked.where("variable").select(*node, "seg", "urls", F.lit("*").alias("name")).unionByName(merged), "names")
+    out = join_counted(rows, names, [*node, "seg"], "urls", "left", total=total, most=total)
+    return out.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("seg", "name")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -114,15 +112,14 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     urls = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     known = labels.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("bad").cast("int").alias("bad")).where("bad in (0, 1)").groupBy("page_id").agg(F.max("bad").alias("bad"))
     counted = urls.join(known, "page_id", "left").groupBy("host", "path").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    counted = materialise(counted.withColumn("segs", segments(F.col("path"))), "urls")
-    base = counted.agg(F.sum("bad") / F.nullif(F.sum("labelled"), F.lit(0))).first()[0] or 0.0
-    leaves = templates(counted)
-    score = leaves.groupBy("host", "template").agg(((F.sum("bad") + PRIOR_WEIGHT * base) / (F.sum("labelled") + PRIOR_WEIGHT)).alias("purity"))
-    salt = F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int")
-    named = leaves.select("host", "path", "template", salt.alias("_salt")).join(score.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["host", "template", "_salt"]).drop("_salt")
-    # a single url can hold a third of all pages: its one row is met by as many tasks as its pages are dealt over
-    dealt = urls.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
-    all_ = dealt.join(named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["host", "path", "_salt"])
+    run = Scratch(pages.sparkSession, "url-filter")
+    counted = run.write(counted.withColumn("segs", segments(F.col("path"))), "urls")
+    bad, labelled, total, most, rows = counted.agg(F.sum("bad"), F.sum("labelled"), F.sum("pages"), F.max("pages"), F.count("*")).first()
+    base = bad / labelled if labelled else 0.0
+    leaves = templates(counted, run)
+    score = leaves.groupBy("host", "template").agg(((F.sum("bad") + PRIOR_WEIGHT * base) / (F.sum("labelled") + PRIOR_WEIGHT)).alias("purity"), F.count("*").alias("urls"))
+    named = run.finish(join_counted(leaves.select("host", "path", "template", "pages"), score, ["host", "template"], "urls", total=rows, most=rows))
+    all_ = join_counted(urls, named, ["host", "path"], "pages", total=total, most=most)
     found = all_.withColumn("r", rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
     return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")

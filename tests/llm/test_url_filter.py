@@ -3,6 +3,9 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
+from folioflow.llm import common
 from folioflow.llm import url_filter as U
 
 
@@ -72,7 +75,11 @@ def answer(spark, rows, labels):
     return sorted(((*r[:6], round(r[6], 9)) for r in U.judge(pages, marks).collect()), key=str)
 
 
-def test_same_as_brute_force(spark):
+@pytest.mark.parametrize("hot", [1, 100])
+def test_same_as_brute_force(spark, monkeypatch, hot):
+    """With ``hot`` 1, keys of more than a row are joined as hot ones."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_SHARE", 10_000 if hot == 1 else 4)
     r = random.Random(3)
     rows, labels = [], []
     for i in range(600):
@@ -92,3 +99,9 @@ def test_same_as_brute_force(spark):
 def test_empty_tables(spark):
     assert answer(spark, [], []) == []
     assert answer(spark, [(1, "http://a.com/b")], [])[0][4] == "allow"
+
+
+def test_one_url_on_most_pages(spark):
+    rows = [(i, "http://one.test/a/b") for i in range(900)] + [(None, "http://one.test/a/b")] * 300 + [(i, f"http://one.test/a/{i}") for i in range(900, 1000)]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 1000, 2)]
+    assert answer(spark, rows, labels) == brute(rows, labels)
