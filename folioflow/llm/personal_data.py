@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -457,7 +458,9 @@ def find(texts: list[bytes], tables: Tables) -> Iterator[tuple[list[tuple[int, i
         yield base, sorted(spans, key=lambda s: (order[s[0]], s[1]))
 
 
+@cache
 def model(seed: int = 11) -> Field:
+    """The field trained from the labelled table; trained once in a process, as it is the same each time."""
     return train(labelled_table(seed=seed))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+from dataclasses import fields
 
 import numpy as np
 import pytest
@@ -116,3 +117,10 @@ def test_redaction_keeps_rows_and_columns(spark, documents, field):
     got = P.redact(docs, field)
     assert got.schema == docs.schema
     assert {r.doc_id: r.text for r in got.collect()} == {1: "mail <email> now", 2: None, 3: "clean"}
+
+
+def test_training_gives_the_same_field_again():
+    field = P.model()
+    assert P.model() is field
+    again = P.train(P.labelled_table(seed=11))
+    assert all(np.array_equal(getattr(field, n.name), getattr(again, n.name)) for n in fields(field))
