@@ -20,29 +20,40 @@ from folioflow.functions.stemming import STEMMERS
 K1, B, EMPTY_AVERAGE = 1.2, 0.75, 100.0
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüýÿçñ", "aaaaaaeeeeiiiiooooouuuuyycn"
 WORD = r"[\p{L}\p{N}\p{M}_]+"
-CHANGED_BY_NFKC = "[\\u00A0\\u00A8\\u00AA\\u00AF\\u00B2-\\u00B5\\u00B8-\\u00BA\\u00BC-\\u00BE]|[^\\u0000-\\u00FF]"
+#: Characters beyond U+009F that NFKC keeps, whatever stands beside them: no decomposition, no mark, nothing that composes
+#: with what comes before.
+STABLE = (
+    "\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u0180-\\u01C3"
+    "\\u0400-\\u0482\\u048A-\\u052F\\u2010\\u2012-\\u2016\\u2018-\\u2023\\u3041-\\u3096\\u30A1-\\u30FE\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7A3"
+)
+CHANGED_BY_NFKC = f"(?![\\u0000-\\u009F])[^{STABLE}]"  #: the cheap class first, which most characters fail
 MARKS = "[^\\u0000-\\u02FF]"  #: no combining mark comes before
 MAY_HOLD_CJK = "[^\\u0000-\\u10FF\\u2000-\\u206F]"  #: also what becomes CJK in NFKC
 CJK = "\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uFAFF"
 
 
 def nfkc(text: Column) -> Column:
+def _beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) > F.length(text)
+
+
     """``text`` in NFKC, the one step that Spark has no function for.
 
-    Only texts with a character that the form may change are sent to Python; for all others a null goes.
+    Only texts with a character that the form may change are sent to Python; for all others a null goes.  Texts of ASCII
+    alone are told by their sizes, without a look at their characters.
     """
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    return F.coalesce(run(F.when(text.rlike(CHANGED_BY_NFKC), text)), text)
+    return F.coalesce(run(F.when(_beyond_ascii(text) & text.rlike(CHANGED_BY_NFKC), text)), text)
 
 
 def words(text: Column, normalise: bool = True) -> Column:
     """Lower-cased runs of letters, digits, marks and ``_``, in NFKC; marks right after a Latin letter go."""
     base = F.lower(nfkc(text) if normalise else text)
-    base = F.when(base.rlike(MARKS), F.regexp_replace(base, r"(?<=\p{IsLatin})\p{Mn}+", "")).otherwise(base)
+    base = F.when(_beyond_ascii(base) & base.rlike(MARKS), F.regexp_replace(base, r"(?<=\p{IsLatin})\p{Mn}+", "")).otherwise(base)
     return F.regexp_extract_all(base, F.lit(f"({WORD})"), 1)
 
 
@@ -57,7 +68,7 @@ def tokens(text: Column, normalise: bool = True) -> Column:
     """All raw tokens; their number is the document's length.  Texts without CJK characters are taken word by word."""
     found = words(text, normalise)
     split = F.flatten(F.transform(found, lambda w: F.when(w.rlike(f"[{CJK}]"), cjk_split(w)).otherwise(F.array(w))))
-    return F.when(text.rlike(MAY_HOLD_CJK), split).otherwise(found)
+    return F.when(_beyond_ascii(text) & text.rlike(MAY_HOLD_CJK), split).otherwise(found)
 
 
 def asked_tokens(spark: SparkSession, query: str, language: str | None = None) -> list[str]:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -76,3 +77,17 @@ def test_registered_queries(spark, folder):
     assert [(r.doc_id, r.score) for r in ranked] == want[:10]
     weights = keyword.sparse_vectors(spark.read.parquet(f"{folder}/documents.parquet"), language="lang").collect()
     assert {r.term for r in weights if r.doc_id == 2} == {x for t in tokens(ROWS[2][3]) for x in stem(t, "de")}
+
+
+def test_han_texts_stay_in_spark(spark):
+    """What NFKC keeps isn't sent to Python, and what is kept is kept in any company."""
+    keeps = re.compile(f"[{keyword.STABLE}]")
+    second = {int(d.split()[1], 16) for d in map(unicodedata.decomposition, map(chr, range(0x110000))) if d and d[0] != "<" and len(d.split()) == 2}
+    jamo = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for c in filter(keeps.match, map(chr, range(0x110000))):
+        assert unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) and ord(c) not in second | jamo
+    texts = ["plain", "für 数据库", "ﬁn", "é", "ガ", "ｶ", "각", "ß ", "x²", "", None, "Москва", "“q” – …", "\U0001d400"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = docs.selectExpr("i", "t", "1 AS one").select("i", "t", docs["t"].rlike(keyword.CHANGED_BY_NFKC).alias("sent"), keyword.nfkc(docs["t"]).alias("n")).orderBy("i").collect()
+    assert [r.n for r in rows] == [t and unicodedata.normalize("NFKC", t) for t in texts]
+    assert not any(r.sent for r in rows if r.t and r.n == r.t and not re.search("[“…]", r.t))
