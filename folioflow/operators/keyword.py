@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import language
 from folioflow.functions.stemming import STEMMERS
+from folioflow.scratch import materialise
 
 K1, B, EMPTY_AVERAGE = 1.2, 0.75, 100.0
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüýÿçñ", "aaaaaaeeeeiiiiooooouuuuyycn"
@@ -150,23 +151,25 @@ def _occurrences(term: str) -> Column:
     return F.size("_t") - F.size(F.array_remove("_t", F.lit(term)))
 
 
-def bm25(docs: DataFrame, query: str, doc: str = "doc_id", group: Sequence[str] = (), text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, query: str, doc: str = "doc_id", group: Sequence[str] = (), text: str = "text", k1: float = K1, b: float = B, stored: bool = False) -> DataFrame:
     """``group``, doc and score of every document that has a term of the query.
 
     Each of the query's distinct tokens weighs 1.  The average length, N and the document frequencies are those of the
     group.  Each row is tokenised once for the hits and once for the sums: the tokens and the counts stand behind
-    generators, below which no filter is pushed.  What is shuffled are the few matching rows and the group's sums.
+    generators, below which no filter is pushed.  What is shuffled are the few matching rows and the group's sums.  With
+    ``stored`` a row is tokenised once in all: its length and its counts of the query's terms are written to the shared folder.
     """
     asked = asked_tokens(docs.sparkSession, query)
     if not asked:
         return docs.select(*group, doc, F.lit(0.0).alias("score")).limit(0)
     cut = docs.select(*group, doc, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
     numbers = F.struct(F.size("_t").cast("bigint").alias("length"), *[_occurrences(q).alias(f"_{i}") for i, q in enumerate(asked)])
-    counted = cut.select(*group, doc, F.inline(F.array(numbers)))
+    seen = cut.select(*group, doc, F.inline(F.array(numbers)))
+    seen = materialise(seen, "bm25") if stored else seen
     stats = [F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(EMPTY_AVERAGE)).alias("average"), F.count("*").alias("n"), *[F.count_if(F.col(f"_{i}") > 0).alias(f"_d{i}") for i in range(len(asked))]]
     score = sum((F.when(F.col(f"_{i}") > 0, idf(F.col("n"), F.col(f"_d{i}")) * tf_weight(F.col(f"_{i}"), F.col("length"), F.col("average"), k1, b)).otherwise(0.0) for i in range(len(asked))), F.lit(0.0))
-    hit = counted.where(" OR ".join(f"_{i} > 0" for i in range(len(asked))))
-    sums = counted.groupBy(*group).agg(*stats)
+    hit = seen.where(" OR ".join(f"_{i} > 0" for i in range(len(asked))))
+    sums = seen.groupBy(*group).agg(*stats)
     joined = hit.join(sums, list(group)) if group else hit.join(F.broadcast(sums))
     return joined.select(*group, doc, score.alias("score"))
 

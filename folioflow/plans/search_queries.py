@@ -29,7 +29,7 @@ b AS (SELECT {f"p.{group}, " if group else ""}doc_id, sum(ln(1 + (n - df + 0.5)
 
 @query(f"WITH {_bm25_sql()} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY score DESC, doc_id LIMIT 10")
 def keyword_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    hits = keyword.bm25(table(spark, folder, "documents"), ASK)
+    hits = keyword.bm25(table(spark, folder, "documents"), ASK, stored=True)
     return hits.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 

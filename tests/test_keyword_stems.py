@@ -91,3 +91,12 @@ def test_han_texts_stay_in_spark(spark):
     rows = docs.selectExpr("i", "t", "1 AS one").select("i", "t", docs["t"].rlike(keyword.CHANGED_BY_NFKC).alias("sent"), keyword.nfkc(docs["t"]).alias("n")).orderBy("i").collect()
     assert [r.n for r in rows] == [t and unicodedata.normalize("NFKC", t) for t in texts]
     assert not any(r.sent for r in rows if r.t and r.n == r.t and not re.search("[“…]", r.t))
+
+
+def test_stored_counts_give_the_same_scores(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for group in ([], ["source"]):
+        plain, stored = (sorted(map(tuple, keyword.bm25(docs, "the houses and", group=group, stored=s).collect())) for s in (False, True))
+        assert plain == stored and plain
+    plan = keyword.bm25(docs, "the", stored=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
