@@ -154,7 +154,7 @@ h AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM k
 
 def _hybrid(spark: SparkSession, folder: str, limit: int) -> DataFrame:
     near = dense.top_k(table(spark, folder, "embeddings"), _query_vector(spark, folder), 40).withColumnRenamed("vec_id", "doc_id")
-    return search.rrf([keyword.bm25(table(spark, folder, "documents"), ASK), near], 40, limit)
+    return search.rrf([keyword.bm25(table(spark, folder, "documents"), ASK, stored=True), near], 40, limit)
 
 
 @query(f"WITH {_LEGS} SELECT doc_id, round(score, 9) AS score FROM h ORDER BY round(score, 12) DESC, doc_id LIMIT 10")
