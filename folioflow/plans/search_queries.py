@@ -43,7 +43,7 @@ def index_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_bm25_sql('source')} SELECT source, doc_id, round(score, 6) AS score FROM b")
 def keyword_bm25_by_source(spark: SparkSession, folder: str) -> DataFrame:
-    return keyword.bm25(table(spark, folder, "documents"), ASK, group=["source"]).select("source", "doc_id", F.round("score", 6).alias("score"))
+    return keyword.bm25(table(spark, folder, "documents"), ASK, group=["source"], stored=True).select("source", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH t AS (SELECT doc_id, unnest({WORDS}) AS term FROM documents) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY term ORDER BY n DESC, term LIMIT 50")
