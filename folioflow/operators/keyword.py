@@ -33,11 +33,11 @@ MAY_HOLD_CJK = "[^\\u0000-\\u10FF\\u2000-\\u206F]"  #: also what becomes CJK in
 CJK = "\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uFAFF"
 
 
-def nfkc(text: Column) -> Column:
 def _beyond_ascii(text: Column) -> Column:
     return F.octet_length(text) > F.length(text)
 
 
+def nfkc(text: Column) -> Column:
     """``text`` in NFKC, the one step that Spark has no function for.
 
     Only texts with a character that the form may change are sent to Python; for all others a null goes.  Texts of ASCII
@@ -116,6 +116,21 @@ def stems(terms: DataFrame, term: str = "term", language: str = "lang") -> DataF
     return terms.withColumn("stem", stem_column(F.col(term), F.col(language)))
 
 
+def counted(tokens: Column) -> Column:
+    """``tokens`` as an array of term and tf, each distinct token once in order: a row's counts without a shuffle."""
+    runs = lambda sorted_: F.filter(F.sequence(F.lit(0), F.greatest(F.array_size(sorted_) - 1, F.lit(0))), lambda i: (i < F.array_size(sorted_)) & ((i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1))))
+    count = lambda sorted_, starts: F.transform(starts, lambda at, i: F.struct(F.get(sorted_, at).alias("term"), (F.coalesce(F.get(starts, i + 1), F.array_size(sorted_)) - at).cast("bigint").alias("tf")))
+    # each step's array is bound to a name, so that it is made once
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    return bound(F.sort_array(tokens), lambda sorted_: bound(runs(sorted_), lambda starts: count(sorted_, starts)))
+
+
+def term_counts(docs: DataFrame, held: Sequence[str], text: str = "text") -> DataFrame:
+    """``held``, length and terms (``counted``) of each row, which is tokenised once."""
+    cut = docs.select(*held, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
+    return cut.select(*held, F.inline(F.array(F.struct(F.array_size("_t").cast("bigint").alias("length"), counted(F.col("_t")).alias("terms")))))
+
+
 def postings(docs: DataFrame, keys: Sequence[str], text: str = "text", normalise: bool = True, language: str | None = None) -> DataFrame:
     """``keys``, term and tf: how often each raw token occurs in each document.  Documents without tokens have no rows.
 
@@ -207,28 +222,37 @@ def bm25_stems(docs: DataFrame, query: str, doc: str = "doc_id", group: Sequence
 def sparse_vectors(docs: DataFrame, doc: str = "doc_id", text: str = "text", group: Sequence[str] = (), language: str | None = None) -> DataFrame:
     """group, doc, term, tf and weight: the stored part of BM25, against the exact average length.
 
-    A row is tokenised once: the average is the sum of the postings' tf over the number of texts that aren't null.
+    A row's tokens are counted within the row; a second look at the texts, for the average, shuffles nothing but sums.
 
     With ``language`` stems are stored beside the tokens, as in ``postings``; a document's length is that of its tokens.
     """
     held = [*dict.fromkeys([*group, doc, *([language] if language else [])])]
-    cut = docs.select(*held, F.explode(F.array(tokens(F.col(text)))).alias("_t"))  # a generator, so that tokens are made once
-    cut = cut.select(*held, F.inline(F.array(F.struct(F.col("_t"), F.size("_t").cast("bigint").alias("length")))))
-    found = cut.select(*held, "length", F.explode("_t").alias("term")).groupBy(*held, "length", "term").agg(F.count("*").alias("tf"))
-    length = found.groupBy(*group).agg(F.sum("tf").alias("_sum"))
+    sized = docs.select(*group, F.array_size(tokens(F.col(text))).cast("bigint").alias("length"))
+    return weights(term_counts(docs, held, text), sized, doc, group, language)
+
+
+def weights(cut: DataFrame, sized: DataFrame, doc: str = "doc_id", group: Sequence[str] = (), language: str | None = None, distinct: bool = False) -> DataFrame:
+    """``sparse_vectors`` of counted rows (``term_counts``) and of all rows' lengths; null ones don't count.
+
+    Rows of one document are added up, which takes a shuffle of all postings; ``distinct`` says that there are none such.
+    """
+    found = cut.select(*cut.columns[:-1], F.inline("terms"))
     if language:
         both = F.array_compact(F.array("term", stem_column(F.col("term"), F.col(language))))
-        found = found.select(*group, doc, "length", F.explode(both).alias("term"), "tf").groupBy(*group, doc, "length", "term").agg(F.sum("tf").alias("tf"))
-    rows = docs.groupBy(*group).agg(F.count(text).alias("_rows"))
-    both = length.join(rows, list(group)) if group else length.join(F.broadcast(rows))
-    average = both.select(*group, F.coalesce(F.nullif(F.col("_sum") / F.col("_rows"), F.lit(0.0)), F.lit(EMPTY_AVERAGE)).alias("average"))
+        found = found.select(*group, doc, "length", F.explode(both).alias("term"), "tf")
+    if language or not distinct:
+        found = found.groupBy(*group, doc, "length", "term").agg(F.sum("tf").alias("tf"))
+    average = average_length(sized, group).drop("n")
     joined = found.join(average, list(group)) if group else found.join(F.broadcast(average))
     return joined.select(*group, doc, "term", "tf", tf_weight(F.col("tf"), F.col("length"), F.col("average")).alias("weight"))
 
 
 def score_postings(stored: DataFrame, query: str, n: int, doc: str = "doc_id", language: str | None = None) -> DataFrame:
-    """doc and score from stored weights: the query's terms, with their stems in ``language``, meet their postings."""
+    """doc and score from stored weights: the query's terms, with their stems in ``language``, meet their postings.
+
+    Those postings are written to the shared folder, so that weights that aren't stored yet are made for them alone and once.
+    """
     asked = asked_tokens(stored.sparkSession, query, language)
-    found = stored.where(F.col("term").isin(asked))
+    found = materialise(stored.where(F.col("term").isin(asked)).select(doc, "term", "weight"), "asked")
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each of the query's terms
     return found.join(F.broadcast(df), "term").groupBy(doc).agg(F.sum(idf(F.lit(n), F.col("df")) * F.col("weight")).alias("score"))

@@ -100,3 +100,22 @@ def test_stored_counts_give_the_same_scores(spark, folder):
         assert plain == stored and plain
     plan = keyword.bm25(docs, "the", stored=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_terms_are_counted_within_the_row(spark):
+    rows = [(0, "b a b  c a b"), (1, ""), (2, None), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: (r.length, [(t.term, t.tf) for t in r.terms or []]) for r in keyword.term_counts(docs, ["doc_id"]).collect()}
+    assert got == {0: (6, [("a", 2), ("b", 3), ("c", 1)]), 1: (0, []), 2: (None, []), 3: (1, [("x", 1)])}
+    plan = keyword.weights(keyword.term_counts(docs, ["doc_id"]), docs.selectExpr("1L AS length"), distinct=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # the average's
+
+
+def test_the_average_and_the_asked_terms_need_no_shuffle_of_postings(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id int, text string")
+    stored = keyword.sparse_vectors(docs)
+    sized = stored._jdf.queryExecution().optimizedPlan().toString()
+    assert sized.count("Aggregate") == 2  # the postings once, the lengths once
+    scored = keyword.score_postings(stored, "a", 2)
+    assert "regexp_extract_all" not in scored._jdf.queryExecution().optimizedPlan().toString()  # made once, for the asked terms
+    assert [r.doc_id for r in scored.collect()] == [1]
