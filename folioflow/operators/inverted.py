@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import keyword
 from folioflow.operators.numbering import numbered
-from folioflow.scratch import free_name
+from folioflow.scratch import Scratch, free_name, remove_dir
 
 BUCKETS = 64
 BLOCK = 4096  #: documents of a block
@@ -35,7 +35,8 @@ def build(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", n
 
     ``near`` names columns whose equal values put documents next to each other; within those the order is that of the
     text's length, which sets the weights.  The order's numbers come from prefix sums (``numbered``); rows that are equal in
-    all are told apart by their place, so ``docs`` has to be a stored table.  A row is a document: rows that share a value of ``doc`` are scored each for itself.  Null and empty texts count in the number of documents
+    all are told apart by their place, so ``docs`` has to be a stored table.  Each text is tokenised once; its counted terms
+    are stored meanwhile, and the average and the ranges of the order are taken from them.  A row is a document: rows that share a value of ``doc`` are scored each for itself.  Null and empty texts count in the number of documents
     as in ``keyword.bm25`` but have no postings.  With ``language`` stems are stored beside the tokens.
     """
     spark = docs.sparkSession
@@ -45,11 +46,14 @@ def build(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", n
     lined = lined.select(*kept, F.col(text).alias("_text"), F.col(at).alias("row"))
     lined.select(doc, "row").write.parquet(f"{path}/documents")
     rows = lined.drop(doc) if doc != language else lined
-    weights = keyword.sparse_vectors(rows, "row", "_text", language=language)
+    run = Scratch(spark, "index-terms")
+    cut = run.write(keyword.term_counts(rows, ["row", *([language] if language else [])], "_text"), "counts")
+    weights = keyword.weights(cut, cut.select("length"), "row", language=language, distinct=True)
     placed = weights.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", F.floor((F.col("row") - 1) / block).alias("block"), "row", "tf", "weight")
     # ranges of the order, so that a term in very many documents fills many files
     placed = placed.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block", "row")
     placed.write.partitionBy("bucket").parquet(f"{path}/postings")
+    remove_dir(spark, run.path)
     stored = spark.read.schema(placed.schema).parquet(f"{path}/postings")
     heads = stored.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max("weight").alias("top"))
     heads.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/heads")
