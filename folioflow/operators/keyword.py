@@ -195,7 +195,8 @@ def bm25_stems(docs: DataFrame, query: str, doc: str = "doc_id", group: Sequence
     The query's tokens and their stems in ``query_language`` weigh 1 each; a document's occurrence counts for its token and,
     where that differs, for its stem in the document's language.  Lengths are those of the tokens.  Each row is tokenised
     once; only tokens that share the first letter with something asked (accents aside, no stemmer changes it otherwise) are
-    looked at for their stems.
+    kept, counted, in the shared folder.  Of those each distinct one of a language is stemmed once, and the few that are
+    asked, or have an asked stem, meet the rows by a broadcast: a stem has no more forms than its language has endings.
     """
     spark = docs.sparkSession
     asked = asked_tokens(spark, query, query_language(query))
@@ -207,10 +208,13 @@ def bm25_stems(docs: DataFrame, query: str, doc: str = "doc_id", group: Sequence
     heads = [r["h"] for r in heads.collect()]  # one for each asked term at most
     cut = docs.select(*held, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
     near = F.filter("_t", lambda t: first(t).isin(heads))
-    cut = cut.select(*held, F.inline(F.array(F.struct(F.size("_t").cast("bigint").alias("length"), near.alias("near")))))
-    found = cut.where(F.size("near") > 0).select(*held, "length", F.explode("near").alias("term")).groupBy(*held, "length", "term").agg(F.count("*").alias("tf"))
-    both = F.array_compact(F.array("term", stem_column(F.col("term"), F.col(language))))
-    found = found.select(*group, doc, "length", F.explode(both).alias("term"), "tf").where(F.col("term").isin(asked)).groupBy(*group, doc, "length", "term").agg(F.sum("tf").alias("tf"))
+    cut = materialise(cut.select(*held, F.inline(F.array(F.struct(F.array_size("_t").cast("bigint").alias("length"), counted(near).alias("near"))))), "stems")
+    each = cut.select(*held, "length", F.inline("near"))
+    forms = each.select(F.col(language).alias("_lang"), F.col("term").alias("_form")).distinct()
+    both = F.array_compact(F.array("_form", stem_column(F.col("_form"), F.col("_lang"))))
+    forms = forms.select("_lang", "_form", F.explode(both).alias("_asked")).where(F.col("_asked").isin(asked))
+    found = each.join(F.broadcast(forms), each[language].eqNullSafe(forms["_lang"]) & (each["term"] == forms["_form"]))
+    found = found.select(*group, doc, "length", F.col("_asked").alias("term"), "tf").groupBy(*group, doc, "length", "term").agg(F.sum("tf").alias("tf"))
     sums = average_length(cut, group)
     df = found.groupBy(*group, "term").agg(F.count("*").alias("df"))  # a row for each group and asked term
     joined = found.join(df, [*group, "term"])
