@@ -86,7 +86,8 @@ def cjk_bigrams(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def stemmed_terms(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "documents", ["lang", "text"]).select("lang", F.explode(F.array_distinct(keyword.tokens(F.col("text")))).alias("term"))
-    return keyword.stems(found.distinct()).where("stem is not null")
+    # the stem stands behind a generator: a filter on it would be pushed down and stem all terms twice
+    return found.distinct().select("lang", "term", F.explode(F.array_compact(F.array(keyword.stem_column(F.col("term"), F.col("lang"))))).alias("stem"))
 
 
 @query()

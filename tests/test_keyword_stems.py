@@ -119,3 +119,8 @@ def test_the_average_and_the_asked_terms_need_no_shuffle_of_postings(spark):
     scored = keyword.score_postings(stored, "a", 2)
     assert "regexp_extract_all" not in scored._jdf.queryExecution().optimizedPlan().toString()  # made once, for the asked terms
     assert [r.doc_id for r in scored.collect()] == [1]
+
+
+def test_stems_are_made_once(spark, folder):
+    plan = QUERIES["stemmed_terms"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [run(") <= 2  # the form of the texts, the stems
