@@ -115,6 +115,20 @@ def replaced_occurrence(content: Column, old: str, new: str, occurrence: int) ->
     return F.when(F.size(parts) > occurrence + 1, F.concat(head, F.lit(new), tail)).otherwise(content)
 
 
+#: what Python's ``str.strip`` and ``\s`` take for white space, but for the newline
+_BLANK = r"[\t\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def section_replaced(content: Column, heading: str, text: str) -> Column:
+    """``content`` with the lines below a heading replaced, up to the next heading of its level or above; null if absent."""
+    level = min(len(heading) - len(heading.lstrip("#")), 6)
+    quoted = "\\Q" + heading.strip().replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    until = rf"\n#{{1,{level}}}{_BLANK}|\z" if level else r"\z"
+    found = rf"(?s)\A((?:|.*?\n){_BLANK}*{quoted}{_BLANK}*(?![^\n]))"
+    new = text.replace("\\", "\\\\").replace("$", "\\$")
+    return F.when(content.rlike(found), F.regexp_replace(content, rf"{found}.*?(?={until})", f"$1\n{new}"))
+
+
 def rendered(content: Column, note_title: Column, note_tags: Column) -> Column:
     """The note with a title line and a tag line in front, where its body doesn't have them."""
     head = F.when(~content.rlike(r"(?m)^#\s+\S"), F.concat(F.lit("# "), note_title, F.lit("\n\n"))).otherwise("")

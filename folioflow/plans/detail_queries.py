@@ -38,7 +38,7 @@ def stored_postings_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT doc_id AS note_id, sha256({MARKDOWN_SQL.split(chr(124) * 2 + ' chr(10) || chr(10) || ' + chr(39) + 'See')[0]} || chr(10) || 'new tail') AS content_sha256 FROM documents")
 def section_replace(spark: SparkSession, folder: str) -> DataFrame:
-    return markdown(spark, folder).select("note_id", F.sha2(P.section_replaced(F.col("content"), "## Tail", "new tail"), 256).alias("content_sha256"))
+    return markdown(spark, folder).select("note_id", F.sha2(T.section_replaced(F.col("content"), "## Tail", "new tail"), 256).alias("content_sha256"))
 
 
 @query("SELECT doc_id, (length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::INT AS \"offset\", 0 AS deleted, '!x' AS inserted FROM documents WHERE NOT suffix(text, '!')")

@@ -70,6 +70,16 @@ def test_occurrences_and_sections(spark):
     assert one(spark, T.rendered(F.col("c"), F.lit("T"), F.array(F.lit("x"))), c="body") == "# T\n\nTags: x\n\nbody"
 
 
+def test_sections_are_replaced_without_python(spark):
+    lines = ["", "## A", " ## A\u2003", "## A b", "x## A", "# T", "### deep", "####### no", "##", "##\tB", "te$t \\1", "\r"]
+    notes = ["\n".join(lines[i] for i in pick) for pick in [(), *((a, b, c, d) for a in range(12) for b in range(5) for c in range(0, 12, 3) for d in range(12))]]
+    rows = spark.createDataFrame([(n,) for n in [*notes, None]], "c string")
+    for heading, new in (("## A", "n$1\\w\nz"), ("# T", ""), ("A\\E b", "x"), ("", "y")):
+        got = rows.select("c", T.section_replaced(F.col("c"), heading, new).alias("x"))
+        assert all(r.x == (None if r.c is None else P.replaced_section(r.c, heading, new)) for r in got.collect())
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chunks(spark):
     content = "---\ntags: [a]\n---\n# Hello\nintro\n\n## One\nétext\n### Deep\nmore\n## Two\n" + "word " * 1000
     rows = spark.createDataFrame([(1, "Test/Hello World.md", content), (2, "x.md", ""), (3, "y.md", "no heading"), (4, "z.md", None)], "note_id int, path string, content string")
