@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ _EXTERNAL = re.compile(r"(?:[a-z][a-z0-9+.\-]*:|//)", re.I)
 _CODE = (re.compile(r"```.*?```", re.S), re.compile(r"~~~.*?~~~", re.S), re.compile(r"`[^`\n]*`"))
 
 LINK = "struct<position:int,target:string,target_raw:string,target_start:int,target_len:int,alias:string,anchor:string,link_type:string,form:string>"
+_FIELDS = {name: pa.int32() if kind == "int" else pa.string() for name, kind in (field.split(":") for field in LINK[7:-1].split(","))}
 
 
 def extracted(content: str) -> list[tuple]:
@@ -53,13 +55,20 @@ def extracted(content: str) -> list[tuple]:
     return out
 
 
-def _extract(contents: pd.Series) -> pd.Series:
-    return pd.Series([extracted(c) if c else [] for c in contents])
+def _extract(contents: pa.Array) -> pa.Array:
+    """``extracted`` of a batch, a text at a time: beside the batch only one text and the links found are held."""
+    found, ends = [], [0]
+    for content in contents:
+        found += extracted(content.as_py() or "")
+        ends.append(len(found))
+    columns = zip(*found) if found else [()] * len(_FIELDS)
+    fields = [pa.array(column, kind) for column, kind in zip(columns, _FIELDS.values(), strict=True)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, list(_FIELDS)))
 
 
 def extract_links(notes: DataFrame, note_id: str = "note_id", content: str = "content") -> DataFrame:
     """A row for each link: note_id, its fields and the basename_key of its target."""
-    rows = notes.select(F.col(note_id).alias("source_note_id"), *([F.col("vault_id")] if "vault_id" in notes.columns else []), F.explode(F.pandas_udf(_extract, f"array<{LINK}>")(content)).alias("_l"))
+    rows = notes.select(F.col(note_id).alias("source_note_id"), *([F.col("vault_id")] if "vault_id" in notes.columns else []), F.explode(F.arrow_udf(_extract, f"array<{LINK}>")(content)).alias("_l"))
     return rows.select(*[c for c in rows.columns if c != "_l"], "_l.*").withColumn("basename_key", T.basename_key(F.col("target")))
 
 

@@ -1,6 +1,7 @@
 import json
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,16 @@ def test_sections_are_replaced_without_python(spark):
         assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_links_are_found_in_arrow_batches(spark):
+    notes = spark.createDataFrame([(1, "a [[b|c]] [d](e.md)"), (2, None), (3, ""), (4, "none"), (5, "é ![[f#g]]")], "note_id int, content string")
+    plan = links.extract_links(notes)
+    got = sorted((r.source_note_id, r.target, r.position, r.alias, r.anchor, r.link_type) for r in plan.collect())
+    assert got == [(1, "b", 2, "c", None, "wikilink"), (1, "e.md", 10, "d", None, "wikilink"), (5, "f", 3, None, "g", "embed")]
+    assert links.extract_links(notes.where("note_id = 2")).count() == 0
+    batch = links._extract(pa.array(["[[b]]", None], pa.string()))
+    assert batch.type == pa.list_(pa.struct(list(links._FIELDS.items()))) and len(batch) == 2
+
+
 def test_chunks(spark):
     content = "---\ntags: [a]\n---\n# Hello\nintro\n\n## One\nétext\n### Deep\nmore\n## Two\n" + "word " * 1000
     rows = spark.createDataFrame([(1, "Test/Hello World.md", content), (2, "x.md", ""), (3, "y.md", "no heading"), (4, "z.md", None)], "note_id int, path string, content string")
