@@ -171,6 +171,19 @@ HOT_SHARE = 4
 HOT_ROWS = 100
 
 
+TASK_ROWS = 10_000  #: rows for which a task of its own is worth its start
+
+
+def few_tasks(df: DataFrame, rows: int, size: int = TASK_ROWS) -> DataFrame:
+    """``df``, which has about so many rows, in no more tasks than these are worth; each reads several shuffle partitions.
+
+    As many tasks as cores stay, and with more rows than ``size`` for each shuffle partition nothing changes.
+    """
+    spark = df.sparkSession
+    tasks = max(1, spark.sparkContext.defaultParallelism, -(-rows // size))
+    return df.coalesce(tasks) if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def join_counted(many: DataFrame, one: DataFrame, on: str | list[str], count: str, how: str = "inner", total: int | None = None, most: int | None = None) -> DataFrame:
     """``many`` joined with ``one``, which has each value of ``on`` once and in ``count`` how many rows of ``many`` have it.
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Rolling, Scratch, Words, free_name, join_counted, mix, remove_dir, slices
+from folioflow.llm.common import Rolling, Scratch, Words, few_tasks, free_name, join_counted, mix, remove_dir, slices
 
 FREQUENT_SHARE = 1 / 400  #: of a task's documents
 FREQUENT = 100_000  #: n-grams in the hint at most
@@ -48,6 +48,10 @@ GROUP_NODES = 1_000  #: nodes of one n-gram that one task compares
 BLOCK_ITEMS = 2_000_000  #: n-grams of all sets that one task links
 HEADS = 8  #: sets that stand for a class of a chunk when chunks are compared
 BROADCAST_ROWS = 1_000_000  #: rows of two numbers that are broadcast at most; more are joined by a shuffle
+HUB_ROWS = 250_000  #: rows of two numbers that each step of ``components`` broadcasts at most
+TASK_TEXTS = 500  #: texts for which a task of its own is worth its start
+FEW_ITEMS = 16_384  #: n-grams of the sets below a trie's node that are compared at once, without going down
+TOGETHER = 256  #: sets that are compared at once at most
 _TASK_ITEMS = 1_000_000
 _TOP = np.uint64(1 << 63)
 
@@ -140,12 +144,12 @@ def set_digest(grams: np.ndarray) -> bytes:
 # --- blocks -----------------------------------------------------------------------------------------------------------
 
 
-def _groups(run: Scratch, nodes: DataFrame) -> DataFrame:
-    """group, node: nodes that share a key.  Of keys that the same nodes have, one makes a group."""
+def _groups(run: Scratch, nodes: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """group, node: nodes that share a key, and how many rows.  Of keys that the same nodes have, one makes a group."""
     items = nodes.select("node", F.explode("keys").alias("key"))
     held = items.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("these")).where("n > 1")
-    keys, seen = run.measured(held.groupBy("these", "n").agg(F.min("key").alias("key")).select("key", "n"), "keys", total=F.sum("n"), most=F.max("n"))
-    return run.write(join_counted(items, keys, "key", "n", **seen).select(F.col("key").alias("group"), "node"), "groups")
+    keys, seen = run.measured(few_tasks(held.groupBy("these", "n").agg(F.min("key").alias("key")).select("key", "n"), total), "keys", total=F.sum("n"), most=F.max("n"))
+    return run.write(few_tasks(join_counted(items, keys, "key", "n", **seen).select(F.col("key").alias("group"), "node"), seen["total"] or 0), "groups"), seen["total"] or 0
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -231,29 +235,35 @@ def plausible_edges(size: np.ndarray, shape: np.ndarray, percent: int, recent: i
     return edges
 
 
-def components(edges: DataFrame, run: Scratch | None = None) -> DataFrame:
+def components(edges: DataFrame, run: Scratch | None = None, rows: int | None = None) -> DataFrame:
     """node, root: the smallest node of each node's component, for all nodes in ``edges`` (columns a, b).
 
     Alternates the large-star and small-star steps; each is an aggregation and a join, and the edges are written to the
-    shared folder after every round.  A hub's edges, however many, are not brought together: see ``join_counted``.
+    shared folder after every round.  A hub's edges, however many, are not brought together: the least neighbours are
+    broadcast up to HUB_ROWS, and beyond it see ``join_counted``.  ``rows`` is about how many edges there are, if known.
     """
     run = run or Scratch(edges.sparkSession, "components")
     mark = {"edges": F.count("*"), "digest": F.bit_xor(F.xxhash64("a", "b"))}
 
-    def starred(pairs: DataFrame, least) -> tuple[DataFrame, str]:
+    def starred(pairs: DataFrame, least) -> DataFrame:
         """Each pair with the least neighbour m of its a."""
-        hubs, seen = run.measured(pairs.groupBy("a").agg(least.alias("m"), F.count("*").alias("n")), "least", total=F.sum("n"), most=F.max("n"))
+        hubs = few_tasks(pairs.groupBy("a").agg(least.alias("m"), F.count("*").alias("n")), size)
+        if size <= HUB_ROWS:
+            return pairs.join(F.broadcast(hubs.drop("n")), "a")
+        hubs, seen = run.measured(hubs, "least", total=F.sum("n"), most=F.max("n"))
         return join_counted(pairs, hubs, "a", "n", **seen)
 
     old = []
-    edges, before = run.measured(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", **mark)
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, before = run.measured(edges if rows is None else few_tasks(edges, rows), "edges", **mark)
     while True:
         begun = len(run.paths)
+        size = 2 * (before["edges"] or 0)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = run.write(starred(both, F.least(F.min("b"), F.col("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        large = run.write(few_tasks(starred(both, F.least(F.min("b"), F.col("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), size), "large-star")
         pairs = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = starred(large, F.min("b")).select(F.explode(pairs).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges, now = run.measured(small, "edges", **mark)
+        edges, now = run.measured(few_tasks(small, size), "edges", **mark)
         for path in old:
             remove_dir(run.spark, path)
         old = run.paths[begun:]
@@ -304,8 +314,8 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
 
-def _plausible(run: Scratch, groups: DataFrame, shapes: DataFrame, percent: int, near: Near | None = None, sketches: DataFrame | None = None) -> DataFrame:
-    """node, root: nodes joined by plausible links.
+def _plausible(run: Scratch, groups: DataFrame, rows: int, shapes: DataFrame, percent: int, near: Near | None = None, sketches: DataFrame | None = None) -> DataFrame:
+    """node, root: nodes joined by plausible links.  ``groups`` has so many rows.
 
     ``shapes`` has node, n_shingles and shape; other nodes take no part.  ``near`` compares shapes; without it they are
     sketches.  ``sketches`` (node, sketch) is for boxes, which are always of sketches; without it they are the shapes.
@@ -330,26 +340,27 @@ def _plausible(run: Scratch, groups: DataFrame, shapes: DataFrame, percent: int,
             found = box_edges(root, table["least"].to_numpy(), table["most"].to_numpy(), low, high, percent)
             yield _edges([(int(root[i]), int(root[j])) for i, j in found])
 
-    large = run.write(groups.groupBy("group").agg(F.count("*").alias("nodes")).where(F.col("nodes") > GROUP_NODES), "large-groups")
+    large = run.write(few_tasks(groups.groupBy("group").agg(F.count("*").alias("nodes")).where(F.col("nodes") > GROUP_NODES), rows), "large-groups")
     dealt = groups.join(_few(large), "group", "left")
     part = F.when(F.col("nodes").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") * 2 / GROUP_NODES)))
     members = dealt.withColumn("task", F.when(part == 0, F.col("group")).otherwise(F.xxhash64("group", part))).join(shapes, "node")
-    compared = members.select("task", "node", "n_shingles", "shape").repartition("task").sortWithinPartitions("task", "n_shingles", "node")
-    found = components(compared.mapInArrow(compare, "a bigint, b bigint"), run)
+    compared = few_tasks(members.select("task", "node", "n_shingles", "shape").repartition("task").sortWithinPartitions("task", "n_shingles", "node"), rows)
+    found = components(compared.mapInArrow(compare, "a bigint, b bigint"), run, rows)
     if large.isEmpty():
         return found
-    found = run.write(found, "parts")
+    found = run.write(few_tasks(found, rows), "parts")
     named = members.where("nodes IS NOT NULL").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.withColumn("sketch", F.col("shape")) if sketches is None else named.join(sketches, "node")
     boxes = named.select("group", "root", F.col("n_shingles").alias("least"), F.col("n_shingles").alias("most"), F.col("sketch").alias("low"), F.col("sketch").alias("high"))
-    boxes = run.write(boxes.mapInArrow(_boxes, _BOX).repartition("group", "root").sortWithinPartitions("group", "root").mapInArrow(_boxes, _BOX), "boxes")
+    boxes = few_tasks(boxes, rows).mapInArrow(_boxes, _BOX).repartition("group", "root").sortWithinPartitions("group", "root")
+    boxes = run.write(few_tasks(boxes, rows).mapInArrow(_boxes, _BOX), "boxes")
     sizes = boxes.groupBy("group").agg(F.count("*").alias("boxes"), F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
     parts = sizes.select("group", F.when(F.col("boxes") > GROUP_NODES, F.ceil(F.col("boxes") * 2 / GROUP_NODES)).otherwise(1).cast("int").alias("parts"))
     dealt = boxes.join(_few(parts), "group")
     mine = F.pmod(F.xxhash64("root", "least"), F.col("parts")).cast("int")
     tasks = dealt.select(*boxes.columns, F.explode(_pairs(mine, F.col("parts"))).alias("pair")).withColumn("task", F.xxhash64("group", "pair.i", "pair.j"))
-    across = tasks.drop("group", "pair").repartition("task").sortWithinPartitions("task", "most", "root").mapInArrow(compare_boxes, "a bigint, b bigint")
-    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across), run)
+    across = few_tasks(tasks.drop("group", "pair").repartition("task").sortWithinPartitions("task", "most", "root"), rows).mapInArrow(compare_boxes, "a bigint, b bigint")
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across), run, rows)
 
 
 def _pairs(mine, parts):
@@ -357,17 +368,19 @@ def _pairs(mine, parts):
     return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
 
 
-def _blocks(run: Scratch, rows: DataFrame, nodes: DataFrame, n: int, percent: int, near: Near | None) -> DataFrame:
-    """node, root: nodes that may be linked, with their block."""
-    groups = _groups(run, nodes)
+def _blocks(run: Scratch, rows: DataFrame, nodes: DataFrame, total: int, n: int, percent: int, near: Near | None) -> tuple[DataFrame, int]:
+    """node, root: nodes that may be linked, with their block, and how many; ``nodes`` are ``total`` at most."""
+    groups, held = _groups(run, nodes, total)
+    count = {"rows": F.count("*")}
     sketches = nodes.select("node", "sketch")
     shapes = nodes.select("node", "n_shingles", "shape") if near else nodes.select("node", "n_shingles", F.col("sketch").alias("shape"))
-    blocks = run.write(_plausible(run, groups, shapes, percent, near, sketches if near else None), "blocks")
+    blocks, seen = run.measured(few_tasks(_plausible(run, groups, held, shapes, percent, near, sketches if near else None), min(held, total)), "blocks", **count)
+    size = seen["rows"] or 0
     sized = blocks.join(nodes.select("node", "n_shingles", "key"), "node")
-    large = run.write(sized.groupBy("root").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("root"), "too-large")
+    large = run.write(few_tasks(sized.groupBy("root").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("root"), size), "too-large")
     again = sized.join(_few(large), "root", "left_semi")
     if large.isEmpty():
-        return blocks
+        return blocks, size
 
     def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
@@ -375,14 +388,15 @@ def _blocks(run: Scratch, rows: DataFrame, nodes: DataFrame, n: int, percent: in
 
     texts = _texts(rows, again.select("key", "node", "n_shingles"))
     finer = run.write(texts.select("node", "n_shingles", "text").mapInArrow(fine, "node bigint, n_shingles bigint, shape binary").dropDuplicates(["node"]), "sketches")
-    return run.write(blocks.join(_few(large), "root", "left_anti").select("node", "root").unionByName(_plausible(run, groups, finer, percent)), "blocks")
+    blocks, seen = run.measured(blocks.join(_few(large), "root", "left_anti").select("node", "root").unionByName(_plausible(run, groups, held, finer, percent)), "blocks", **count)
+    return blocks, seen["rows"] or 0
 
 
 # --- trie -------------------------------------------------------------------------------------------------------------
 
 
 class _Node:
-    __slots__ = ("part", "below", "least", "most", "ends", "some", "one")
+    __slots__ = ("part", "below", "least", "most", "ends", "some", "one", "few", "items")
 
     def __init__(self, part: np.ndarray):
         self.part = part  # ranks on the edge into this node
@@ -391,6 +405,8 @@ class _Node:
         self.ends: list[int] = []  # sets that end here
         self.some = -1  # one set below
         self.one = True  # whether all sets below were linked when the last came
+        self.few: list[int] | None = []  # all sets below, if it is one or they have FEW_ITEMS at most
+        self.items = 0  # n-grams of those
 
 
 class Trie:
@@ -400,13 +416,15 @@ class Trie:
         self.sets, self.percent = sets, percent
         self.root = _Node(np.zeros(0, np.int32))
         self.mask = np.zeros(n_ranks, bool)
-        self.visited = 0
+        self.held: dict[int, np.ndarray] = {}  # the sets in the trie
+        self.visited = 0  # nodes gone through one by one
 
     def link(self, item: int, ranks: np.ndarray) -> None:
         """Links ``item`` with the sets in the trie that reach the threshold."""
         sets, mask, percent, n = self.sets, self.mask, self.percent, len(ranks)
         mask[ranks] = True
-        stack = [(node, 0, 0) for node in self.root.below.values()]
+        few = [node for node in self.root.below.values() if node.few is not None]
+        stack = [(node, 0, 0) for node in self.root.below.values() if node.few is None]
         while stack:
             node, overlap, depth = stack.pop()
             if node.one and sets.find(node.some) == sets.find(item):
@@ -423,11 +441,28 @@ class Trie:
             for other in node.ends:
                 if 100 * overlap >= percent * (n + depth - overlap):
                     sets.join(item, other)
-            stack += [(child, overlap, depth) for child in node.below.values()]
+            few += [child for child in node.below.values() if child.few is not None]
+            stack += [(child, overlap, depth) for child in node.below.values() if child.few is None]
+        others = [i for node in few if percent * node.least <= 100 * n and percent * n <= 100 * node.most for i in node.few]
+        for k in range(0, len(others), TOGETHER):
+            self._compare(item, n, others[k : k + TOGETHER])
         mask[ranks] = False
 
+    def _compare(self, item: int, n: int, others: list[int]) -> None:
+        """Links ``item``, a set of n that the mask holds, with those of some sets that reach the threshold."""
+        find = self.sets.find
+        own = find(item)
+        parts = [(i, self.held[i]) for i in others if find(i) != own]
+        if not parts:
+            return
+        size = np.array([len(p) for _, p in parts])
+        overlap = np.add.reduceat(self.mask[np.concatenate([p for _, p in parts])], np.cumsum(size) - size, dtype=np.int64)
+        for k in np.flatnonzero(100 * overlap >= self.percent * (n + size - overlap)).tolist():
+            self.sets.join(item, parts[k][0])
+
     def add(self, item: int, ranks: np.ndarray) -> None:
         node, at, n = self.root, 0, len(ranks)
+        self.held[item] = ranks
         while True:
             self._note(node, item, n)
             if at == n:
@@ -446,6 +481,7 @@ class Trie:
             if same < len(child.part):
                 middle = _Node(child.part[:same])
                 middle.least, middle.most, middle.some, middle.one = child.least, child.most, child.some, child.one
+                middle.few, middle.items = child.few and list(child.few), child.items
                 child.part = child.part[same:]
                 middle.below[int(child.part[0])] = child
                 node.below[int(ranks[at])] = middle
@@ -454,6 +490,11 @@ class Trie:
 
     def _note(self, node: _Node, item: int, n: int) -> None:
         node.least, node.most = min(node.least, n), max(node.most, n)
+        if node.few is not None:
+            node.few.append(item)
+            node.items += n
+            if node.items > FEW_ITEMS and len(node.few) > 1:
+                node.few = None
         if node.some < 0:
             node.some = item
         node.one = node.one and self.sets.find(node.some) == self.sets.find(item)
@@ -537,24 +578,25 @@ def linked_documents(run: Scratch, rows: DataFrame, all_: DataFrame, n: int, per
     Linked sets must share a key.  Sets are verified as wholes, so keys and ``near`` decide only what is compared.
     """
     once = ["n_shingles", "keys", "sketch", *(["shape"] if near else [])]
-    if not all_.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+    total = all_.count()
+    if not few_tasks(all_.groupBy("doc_id", "text_hash").count().where("count > 1"), total).isEmpty():
         rows = rows.mapInArrow(_first_of_each, "doc_id bigint, text_hash bigint, text string")
     nodes = all_.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("copies"), F.min(_key(F.col("doc_id"), F.col("text_hash"))).alias("key"), *(F.first(c).alias(c) for c in once))
-    nodes, copies = run.measured(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", total=F.sum("copies"), most=F.max("copies"))
-    blocks = _blocks(run, rows, nodes, n, percent, near)
-    linked = _linked(run, rows, nodes, blocks, n, percent)
-    named = run.write(nodes.join(linked, "node", "left").select("digest", "copies", "key", F.coalesce("root", "node").alias("root")), "named")
-    first, sizes = run.measured(named.groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("n")), "first", total=F.sum("n"), most=F.max("n"))
-    found = run.write(join_counted(named, first, "root", "n", **sizes).select("digest", "copies", "least"), "components")
+    nodes, copies = run.measured(few_tasks(nodes, total).withColumn("node", F.monotonically_increasing_id()), "nodes", total=F.sum("copies"), most=F.max("copies"))
+    blocks, size = _blocks(run, rows, nodes, total, n, percent, near)
+    linked = _linked(run, rows, nodes, blocks, size, n, percent)
+    named = run.write(few_tasks(nodes.join(linked, "node", "left").select("digest", "copies", "key", F.coalesce("root", "node").alias("root")), total), "named")
+    first, sizes = run.measured(few_tasks(named.groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("n")), total), "first", total=F.sum("n"), most=F.max("n"))
+    found = run.write(few_tasks(join_counted(named, first, "root", "n", **sizes).select("digest", "copies", "least"), total), "components")
     joined = join_counted(all_.select("doc_id", "text_hash", "n_shingles", "digest"), found, "digest", "copies", "left", **copies)
     own = F.col("least").isNull()
     component = F.when(own, F.col("doc_id")).when(~F.col("least.none"), F.col("least.d"))
     is_first = own | (F.col("least") == _key(F.col("doc_id"), F.col("text_hash")))
-    return run.finish(joined.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), is_first.alias("first")))
+    return run.finish(few_tasks(joined.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), is_first.alias("first")), total))
 
 
-def _tries(dealt: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b, head: each node with the first that it is linked with in its task, by tries.
+def _tries(dealt: DataFrame, size: int, n: int, percent: int) -> DataFrame:
+    """a, b, head: each node with the first that it is linked with in its task, by tries; ``dealt`` has about so many rows.
 
     ``dealt`` has task, node, root (nodes of one root are known to be linked) and text.  HEADS nodes of a class are heads.
     """
@@ -571,7 +613,7 @@ def _tries(dealt: DataFrame, n: int, percent: int) -> DataFrame:
                     seen[r] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([node[r] for r in first], pa.int64()), pa.array(head, pa.bool_())], ["a", "b", "head"])
 
-    return dealt.select("task", "node", "root", "text").repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "a bigint, b bigint, head boolean")
+    return few_tasks(dealt.select("task", "node", "root", "text").repartition("task").sortWithinPartitions("task", "node"), size, TASK_TEXTS).mapInArrow(run, "a bigint, b bigint, head boolean")
 
 
 def _chunks(size):
@@ -582,13 +624,13 @@ def _chunk(chunks):
     return F.pmod(F.xxhash64("node"), chunks).cast("int")
 
 
-def _linked(run: Scratch, rows: DataFrame, nodes: DataFrame, blocks: DataFrame, n: int, percent: int) -> DataFrame:
-    """node, root for the nodes of all blocks, by tries over their texts."""
+def _linked(run: Scratch, rows: DataFrame, nodes: DataFrame, blocks: DataFrame, size: int, n: int, percent: int) -> DataFrame:
+    """node, root for the nodes of all blocks, so many, by tries over their texts."""
     sized = blocks.withColumnRenamed("root", "block").join(nodes.select("node", "key", "n_shingles"), "node")
-    split = run.write(sized.groupBy("block").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("block", _chunks(F.col("size")).alias("chunks")), "large-blocks")
+    split = run.write(few_tasks(sized.groupBy("block").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("block", _chunks(F.col("size")).alias("chunks")), size), "large-blocks")
     placed = sized.join(_few(split), "block", "left")
     texts = _texts(rows, placed.select("node", F.col("node").alias("root"), "key", F.xxhash64("block", _chunk(F.coalesce("chunks", F.lit(1)))).alias("task")))
-    found = run.write(_tries(texts, n, percent), "links")
+    found = run.write(_tries(texts, size, n, percent), "links")
     if split.isEmpty():
         return found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     # a few sets of each class, over the chunks of a block
@@ -596,7 +638,7 @@ def _linked(run: Scratch, rows: DataFrame, nodes: DataFrame, blocks: DataFrame,
     heads = run.write(placed.join(found.where("head").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "node"), "heads")
     dealt = heads.join(_few(heads.groupBy("block").agg(_chunks(F.sum("n_shingles")).alias("chunks"))), "block")
     texts = _texts(rows, dealt.select("node", "root", "key", F.xxhash64("block", _chunk(F.col("chunks"))).alias("task")))
-    joined = run.write(components(found.select("a", "b").unionByName(_tries(texts, n, percent).select("a", "b")), run), "joined")
+    joined = run.write(few_tasks(components(found.select("a", "b").unionByName(_tries(texts, size, n, percent).select("a", "b")), run, size), size), "joined")
     # sets outside the largest class of a block meet all of it
     named = placed.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("block", "root").agg(F.sum("n_shingles").alias("size"))
@@ -613,7 +655,7 @@ def _linked(run: Scratch, rows: DataFrame, nodes: DataFrame, blocks: DataFrame,
     texts = _texts(rows, open_.select("node", "root", "key", "block", F.when(F.col("root") == F.col("main"), main).otherwise(other).alias("tasks")))
     dealt = texts.select("node", "root", "text", "block", F.explode("tasks").alias("at")).withColumn("task", F.xxhash64("block", "at.i", "at.j", "at.others"))
     edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(edges.unionByName(_tries(dealt, n, percent).select("a", "b")), run)
+    return components(edges.unionByName(_tries(dealt, size, n, percent).select("a", "b")), run, size)
 
 
 def kept(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -212,3 +212,45 @@ def test_one_very_long_text(spark, documents):
     words = [f"w{x}" for x in r.integers(0, 50_000, 400_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:-5])), (3, " ".join(words[: len(words) // 2]))]
     assert answer(spark, documents, rows, 3, 90) == brute(rows, 3, 90)
+
+
+def test_few_rows_take_few_tasks(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)]
+    context, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup("few rows", "")
+    try:
+        got = {x.node: x.root for x in J.components(spark.createDataFrame(edges, "a bigint, b bigint"), rows=300).coalesce(1).collect()}
+        stages = {i for j in context.statusTracker().getJobIdsForGroup("few rows") for i in context.statusTracker().getJobInfo(j).stageIds}
+        tasks = [context.statusTracker().getStageInfo(i).numCompletedTasks for i in stages]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    sets = J.Sets(400)
+    for a, b in edges:
+        sets.join(a, b)
+    assert got == {i: sets.find(i) for e in edges if e[0] != e[1] for i in e}
+    assert max(tasks) < 64
+
+
+def test_near_copies_that_do_not_link_are_compared_together():
+    r = np.random.default_rng(5)
+    grams = [np.setdiff1d(np.arange(150), r.choice(150, 20, replace=False)).astype(np.uint64) for _ in range(200)]
+    size = [len(g) for g in grams]
+    sets = J.Sets(200)
+    trie = J.Trie(sets, 150, 90)
+    for i, g in enumerate(grams):
+        trie.link(i, g.astype(np.int32))
+        trie.add(i, g.astype(np.int32))
+    plain = J.Sets(200)
+    for i in range(200):
+        for j in range(i):
+            common = len(np.intersect1d(grams[i], grams[j]))
+            if 100 * common >= 90 * (size[i] + size[j] - common):
+                plain.join(i, j)
+    assert [sets.find(i) for i in range(200)] == [plain.find(i) for i in range(200)]
+    assert trie.visited < 200 * 20
