@@ -48,6 +48,11 @@ ENCODE_BYTES = 4 << 20  #: of text that is taken together
 #: how the pre-tokenizer cuts a normalised text; fixed by the tokenizer's file
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
+#: WORDS always cuts a run between an ASCII letter (1) and an ASCII sign (2 or 3), but not after an apostrophe (3)
+_KIND = np.array([1 if chr(b).isascii() and chr(b).isalpha() else 3 if b == 0x27 else 2 if 0x20 < b < 0x7F and not chr(b).isalnum() else 0 for b in range(256)], np.uint8)
+_CUT = np.zeros(16, bool)
+_CUT[[1 * 4 + 2, 1 * 4 + 3, 2 * 4 + 1]] = True
+
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _P = np.uint64(PRECISION)
@@ -169,7 +174,7 @@ class WordEncoder:
     """Ids of texts (UTF-8) by the tokenizers library, remembered for each run of bytes between spaces.
 
     A tokenizer that cuts by WORDS drops white space and never joins across it, so a text's ids are those of its runs.
-    numpy finds the distinct runs of many texts.  A new run of ASCII and Latin-1 letters is lower-cased and cut by WORDS
+    numpy finds the distinct runs of many texts, cut between ASCII letters and signs.  A new run of ASCII and Latin-1 letters is lower-cased and cut by WORDS
     here, and each new word goes to the library's model; other new runs go through the library as they are.  Whole texts go
     there where they hold an added token, such as ``<|endoftext|>``, and where the tokenizer is of another make.
     """
@@ -187,7 +192,7 @@ class WordEncoder:
             self.known_make = False  # such tokens are not found by their content alone
         self.added = re.compile(b"|".join(re.escape(t["content"].encode()) for t in tokens) or rb"(?!)")
         self.runs, self.words = Memory(), Memory()
-        self.plain = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+        self.plain = re.compile("[\n!-~À-ÖØ-öø-ÿ]*").fullmatch
         self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
         self.alphabet = byte_alphabet()
 
@@ -203,21 +208,27 @@ class WordEncoder:
 
     def _learn(self, wanted: list[bytes]) -> None:
         """Puts the ids of some runs into the young generation."""
-        young, old, match, cut, known_word, odd = self.runs.young, self.runs.old, self.plain.fullmatch, self.cut.findall, self.words.young.get, []
-        for raw in wanted:
-            known = old.get(raw)
-            if known is not None:
+        young, cut, known_word, odd = self.runs.young, self.cut.findall, self.words.young.get, []
+        if self.runs.old:
+            before = list(map(self.runs.old.get, wanted))
+            young.update((raw, x) for raw, x in zip(wanted, before, strict=True) if x is not None)
+            wanted = [raw for raw, x in zip(wanted, before, strict=True) if x is None]
+        text = b"\n".join(wanted).decode()  # a run holds no white space
+        if not self.plain(text):
+            match = [self.plain(run) is not None for run in text.split("\n")]
+            odd = [raw for raw, plain in zip(wanted, match, strict=True) if not plain]
+            wanted = [raw for raw, plain in zip(wanted, match, strict=True) if plain]
+            text = b"\n".join(wanted).decode()
+        if wanted:
+            low = text.lower().split("\n")
+            for raw, run, known in zip(wanted, low, list(map(known_word, low)), strict=True):  # each word is cut into itself
+                if known is None:
+                    if run.isalpha():
+                        known = self._word(run)
+                    else:
+                        words = cut(run)
+                        known = b"".join([x or self._word(w) for x, w in zip(map(known_word, words), words)])
                 young[raw] = known
-                continue
-            run = raw.decode()
-            if not match(run):
-                odd.append(raw)
-                continue
-            words = cut(run.lower())
-            ids_ = list(map(known_word, words))
-            if None in ids_:
-                ids_ = [x or self._word(w) for x, w in zip(ids_, words)]
-            young[raw] = ids_[0] if len(ids_) == 1 else b"".join(ids_)
         for k in range(0, len(odd), 4096):
             young.update(zip(odd[k : k + 4096], self._whole([x.decode() for x in odd[k : k + 4096]]), strict=True))
 
@@ -234,6 +245,10 @@ class WordEncoder:
         words = Words(texts)
         if not len(words.start):
             return [b""] * len(texts)
+        kind = _KIND[words.buf]
+        cuts = np.flatnonzero(_CUT[kind[:-1] * 4 + kind[1:]]) + 1
+        words.first = words.first + np.searchsorted(cuts, np.append(words.start, len(words.buf))[words.first])
+        words.start, words.end = (np.sort(np.concatenate((x, cuts)), kind="stable") for x in (words.start, words.end))
         _, first, each = np.unique(words.hashes(), return_index=True, return_inverse=True)
         length = words.end - words.start
         same = length == length[first][each]

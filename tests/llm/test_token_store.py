@@ -97,3 +97,17 @@ def test_rows_of_one_id_fill_many_parts(spark, documents, monkeypatch):
     got = S.round_trip(docs).orderBy("start").collect()
     assert [g.doc_id for g in got] == [None] * 100 + [7] * 400
     assert [g.start for g in got] == np.cumsum([0] + [g.n_tokens for g in got])[:-1].tolist()
+
+
+def test_a_word_is_learned_once_with_all_signs():
+    coder = S.WordEncoder(S.TOKENIZER)
+    text = " ".join(f"{a}{word}{z}" for word in ("alpha", "beta", "gamma", "don't", "I'LL") for a in ("", "(", "'") for z in ("", "...", "$$$", ",", "'"))
+    assert np.frombuffer(coder.encode([text.encode()])[0], coder.kind).tolist() == library().encode(text, add_special_tokens=False).ids
+    assert len(coder.runs.young) < 30
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="astldmLLRVE''''$.=< 1é̸́ß", max_size=30), max_size=4))
+def test_runs_cut_at_signs_as_the_library(texts):
+    got = [np.frombuffer(x, S.encoder(S.TOKENIZER).kind).tolist() for x in S.encoder(S.TOKENIZER).encode([t.encode() for t in texts])]
+    assert got == [library().encode(t, add_special_tokens=False).ids for t in texts]
