@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import sentencepiece
@@ -154,13 +155,13 @@ def encode_documents(docs: DataFrame, path: str = RANKS, digest: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, public_tokenizers.PATTERN)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             begin = size = 0
-            for stop in range(1, len(texts) + 1):
-                size += len(texts[stop - 1] or "")
+            for stop, length in enumerate(pc.utf8_length(texts).to_pylist(), 1):
+                size += length or 0
                 if size < BATCH_BYTES and stop < len(texts):
                     continue
-                encoded = coder.encode([t or "" for t in texts[begin:stop]])
+                encoded = coder.encode([t or "" for t in texts.slice(begin, stop - begin).to_pylist()])
                 decoded = map(coder.decode, encoded)
                 ids = batch.column("doc_id").slice(begin, stop - begin)
                 if digest:

@@ -108,7 +108,7 @@ def frequent(rows: DataFrame, n: int) -> np.ndarray:
             yield report()
 
     found = rows.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r["gram"] for r in found.orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()], np.int64)).view(np.uint64)
+    return np.sort(found.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").toArrow()["gram"].to_numpy()).view(np.uint64)
 
 
 def _summaries(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -340,13 +340,13 @@ def _plausible(run: Scratch, groups: DataFrame, rows: int, shapes: DataFrame, pe
             found = box_edges(root, table["least"].to_numpy(), table["most"].to_numpy(), low, high, percent)
             yield _edges([(int(root[i]), int(root[j])) for i, j in found])
 
-    large = run.write(few_tasks(groups.groupBy("group").agg(F.count("*").alias("nodes")).where(F.col("nodes") > GROUP_NODES), rows), "large-groups")
-    dealt = groups.join(_few(large), "group", "left")
+    large, seen = run.measured(few_tasks(groups.groupBy("group").agg(F.count("*").alias("nodes")).where(F.col("nodes") > GROUP_NODES), rows), "large-groups", rows=F.count("*"))
+    dealt = groups.join(_few(large, seen["rows"] or 0), "group", "left")
     part = F.when(F.col("nodes").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") * 2 / GROUP_NODES)))
     members = dealt.withColumn("task", F.when(part == 0, F.col("group")).otherwise(F.xxhash64("group", part))).join(shapes, "node")
     compared = few_tasks(members.select("task", "node", "n_shingles", "shape").repartition("task").sortWithinPartitions("task", "n_shingles", "node"), rows)
     found = components(compared.mapInArrow(compare, "a bigint, b bigint"), run, rows)
-    if large.isEmpty():
+    if not seen["rows"]:
         return found
     found = run.write(few_tasks(found, rows), "parts")
     named = members.where("nodes IS NOT NULL").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -377,18 +377,19 @@ def _blocks(run: Scratch, rows: DataFrame, nodes: DataFrame, total: int, n: int,
     blocks, seen = run.measured(few_tasks(_plausible(run, groups, held, shapes, percent, near, sketches if near else None), min(held, total)), "blocks", **count)
     size = seen["rows"] or 0
     sized = blocks.join(nodes.select("node", "n_shingles", "key"), "node")
-    large = run.write(few_tasks(sized.groupBy("root").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("root"), size), "too-large")
-    again = sized.join(_few(large), "root", "left_semi")
-    if large.isEmpty():
+    large, seen = run.measured(few_tasks(sized.groupBy("root").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("root"), size), "too-large", **count)
+    if not seen["rows"]:
         return blocks, size
+    large = _few(large, seen["rows"])
+    again = sized.join(large, "root", "left_semi")
 
     def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n_shingles"), pa.array([sketch(g, FINE_CLASSES) for g in gram_sets(texts, n)], pa.binary())], ["node", "n_shingles", "shape"])
 
-    texts = _texts(rows, again.select("key", "node", "n_shingles"))
+    texts = _texts(rows, again.select("key", "node", "n_shingles"), size)
     finer = run.write(texts.select("node", "n_shingles", "text").mapInArrow(fine, "node bigint, n_shingles bigint, shape binary").dropDuplicates(["node"]), "sketches")
-    blocks, seen = run.measured(blocks.join(_few(large), "root", "left_anti").select("node", "root").unionByName(_plausible(run, groups, held, finer, percent)), "blocks", **count)
+    blocks, seen = run.measured(blocks.join(large, "root", "left_anti").select("node", "root").unionByName(_plausible(run, groups, held, finer, percent)), "blocks", **count)
     return blocks, seen["rows"] or 0
 
 
@@ -548,14 +549,17 @@ def _key(doc_id, text_hash):
     return F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("d"), text_hash.alias("h"))
 
 
-def _few(small: DataFrame) -> DataFrame:
-    """``small``, marked for broadcast if it has at most BROADCAST_ROWS rows; otherwise Spark joins by a shuffle."""
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+def _few(small: DataFrame, most: int = BROADCAST_ROWS + 1) -> DataFrame:
+    """``small``, marked for broadcast if it has at most BROADCAST_ROWS rows; otherwise Spark joins by a shuffle.
+
+    Where ``most``, which it has at most, doesn't tell, its rows are counted, which runs its plan once more.
+    """
+    return F.broadcast(small) if most <= BROADCAST_ROWS or small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
 
 
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (with a column key) and the text of the document with that key, which stands for its node."""
-    return rows.select(_key(F.col("doc_id"), F.col("text_hash")).alias("key"), "text").join(_few(wanted), "key")
+def _texts(rows: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """``wanted`` (with a column key, ``most`` rows at most) and the text of the document with that key, which stands for its node."""
+    return rows.select(_key(F.col("doc_id"), F.col("text_hash")).alias("key"), "text").join(_few(wanted, most), "key")
 
 
 def links(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -627,17 +631,18 @@ def _chunk(chunks):
 def _linked(run: Scratch, rows: DataFrame, nodes: DataFrame, blocks: DataFrame, size: int, n: int, percent: int) -> DataFrame:
     """node, root for the nodes of all blocks, so many, by tries over their texts."""
     sized = blocks.withColumnRenamed("root", "block").join(nodes.select("node", "key", "n_shingles"), "node")
-    split = run.write(few_tasks(sized.groupBy("block").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("block", _chunks(F.col("size")).alias("chunks")), size), "large-blocks")
-    placed = sized.join(_few(split), "block", "left")
-    texts = _texts(rows, placed.select("node", F.col("node").alias("root"), "key", F.xxhash64("block", _chunk(F.coalesce("chunks", F.lit(1)))).alias("task")))
+    large = sized.groupBy("block").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_ITEMS).select("block", _chunks(F.col("size")).alias("chunks"))
+    split, seen = run.measured(few_tasks(large, size), "large-blocks", rows=F.count("*"))
+    placed = sized.join(_few(split, seen["rows"] or 0), "block", "left")
+    texts = _texts(rows, placed.select("node", F.col("node").alias("root"), "key", F.xxhash64("block", _chunk(F.coalesce("chunks", F.lit(1)))).alias("task")), size)
     found = run.write(_tries(texts, size, n, percent), "links")
-    if split.isEmpty():
+    if not seen["rows"]:
         return found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     # a few sets of each class, over the chunks of a block
     placed = placed.where("chunks IS NOT NULL").drop("chunks")
     heads = run.write(placed.join(found.where("head").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "node"), "heads")
-    dealt = heads.join(_few(heads.groupBy("block").agg(_chunks(F.sum("n_shingles")).alias("chunks"))), "block")
-    texts = _texts(rows, dealt.select("node", "root", "key", F.xxhash64("block", _chunk(F.col("chunks"))).alias("task")))
+    dealt = heads.join(_few(heads.groupBy("block").agg(_chunks(F.sum("n_shingles")).alias("chunks")), seen["rows"]), "block")
+    texts = _texts(rows, dealt.select("node", "root", "key", F.xxhash64("block", _chunk(F.col("chunks"))).alias("task")), size)
     joined = run.write(few_tasks(components(found.select("a", "b").unionByName(_tries(texts, size, n, percent).select("a", "b")), run, size), size), "joined")
     # sets outside the largest class of a block meet all of it
     named = placed.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -646,13 +651,13 @@ def _linked(run: Scratch, rows: DataFrame, nodes: DataFrame, blocks: DataFrame,
     largest = run.write(largest.select("block", "main", _chunks(F.col("size")).alias("chunks"), _chunks(F.col("total") - F.col("size")).alias("others")), "largest")
     if largest.isEmpty():
         return joined
-    open_ = named.join(_few(largest), "block")
+    open_ = named.join(_few(largest, seen["rows"]), "block")
     upto = lambda parts: F.sequence(F.lit(0), parts - 1)
     task = lambda i, j, others: F.struct(i.alias("i"), j.alias("j"), F.lit(others).alias("others"))
     main = F.transform(upto(F.col("others")), lambda j: task(_chunk(F.col("chunks")), j, False))
     mine = _chunk(F.col("others"))
     other = F.concat(F.transform(upto(F.col("chunks")), lambda i: task(i, mine, False)), F.transform(_pairs(mine, F.col("others")), lambda p: task(p["i"], p["j"], True)))
-    texts = _texts(rows, open_.select("node", "root", "key", "block", F.when(F.col("root") == F.col("main"), main).otherwise(other).alias("tasks")))
+    texts = _texts(rows, open_.select("node", "root", "key", "block", F.when(F.col("root") == F.col("main"), main).otherwise(other).alias("tasks")), size)
     dealt = texts.select("node", "root", "text", "block", F.explode("tasks").alias("at")).withColumn("task", F.xxhash64("block", "at.i", "at.j", "at.others"))
     edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(edges.unionByName(_tries(dealt, size, n, percent).select("a", "b")), run, size)

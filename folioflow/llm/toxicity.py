@@ -4,8 +4,9 @@ A document is a bag of sentences.  Each sentence has a logistic score from its w
 noisy-or of them: ``1 - prod(1 - p)``.  Only document labels are needed to train; the sentence scores then say where the
 offending sentences are.
 
-The model is fitted on the driver with numpy, on at most ``FIT_ROWS`` labelled documents of at most ``FIT_BYTES`` hashed
-words, which are all that travels.  Toxic documents are few, so the likelihood weighs both classes alike; one labelled
+The model is fitted with numpy on at most ``FIT_ROWS`` labelled documents of at most ``FIT_BYTES`` hashed words.  Spark
+keeps these and finds the words that tell most about the label; only those, and a mark for each sentence without one at
+its start, travel to the driver.  Toxic documents are few, so the likelihood weighs both classes alike; one labelled
 document in CALIBRATE stays out of the fit and sets the scale, so that 0.5 is the score that parts toxic from clean
 documents best while at least CLEAN_KEPT of the clean ones stay below it.  The scale is an exponent on ``prod(1 - p)``: the
 document's score stays the noisy-or of its sentences'.  Scoring is one pass over the documents without a shuffle.
@@ -13,8 +14,7 @@ document's score stays the noisy-or of its sentences'.  Scoring is one pass over
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import hash_ranges, slices
+from folioflow.llm.common import few_tasks, hash_ranges, remove_dir, slices, stored
 
 FIT_ROWS = 12_000  #: labelled documents that the model is fitted on at most, those with the smallest hash of doc_id
 FIT_BYTES = 96 << 20  #: their packed words at most; later documents in the order of the hash are left out beyond it
@@ -38,6 +38,7 @@ _LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 _NEW = np.uint32(1 << 31)  #: marks the first word of a sentence in a packed bag
+_NO_WORD = np.uint32(SLOTS)  #: stands for a first word that ``thinned`` left out
 
 
 @dataclass(frozen=True)
@@ -109,35 +110,51 @@ def weights_of(labels: np.ndarray) -> np.ndarray:
     return np.where(labels > 0, 0.5 / max(toxic, 1), 0.5 / max(n - toxic, 1))
 
 
+def slot_counts(bags: Iterable[bytes | pa.Buffer], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot how many of the bags hold it, and how many toxic ones."""
+    all_, pos = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
+    for bag, label in zip(bags, labels, strict=True):  # bag by bag, so that memory holds little more than the bags
+        seen = np.unique(np.frombuffer(bag, np.uint32) & ~_NEW)
+        all_[seen] += 1
+        pos[seen] += label
+    return all_[:SLOTS], pos[:SLOTS]
+
+
+def telling(all_: np.ndarray, pos: np.ndarray, n: int, toxic: float) -> np.ndarray:
+    """Whether slots that ``all_`` of n documents hold, ``pos`` of the toxic ones, tell enough about the label."""
+
+    def gain(k, m):  # log-likelihood of k toxic in m documents, at their own rate
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.nan_to_num(k * np.log(k / m)) + np.nan_to_num((m - k) * np.log1p(-k / m))
+
+    return 2 * (gain(pos, all_) + gain(toxic - pos, n - all_) - gain(toxic, n)) >= MIN_GAIN
+
+
+def thinned(bag: bytes | pa.Buffer, chosen: np.ndarray) -> bytes:
+    """A packed bag with the words of the chosen slots (one flag a slot) and a mark for each sentence that begins with none."""
+    words = np.frombuffer(bag, np.uint32)
+    told, first = chosen[words & ~_NEW], words & _NEW
+    return np.where(told, words, first | _NO_WORD)[told | (first != 0)].tobytes()
+
+
 def train(bags: list[bytes], labels: np.ndarray) -> Model:
     """Fits packed bags to 0/1 labels by full-batch Adam on the weighted likelihood, with a small weight decay.
 
-    Features are the slots whose presence in a document tells most about its label.  Without a toxic or without a clean
-    document, or without a telling word, the model is constant at the labels' mean over bags with words.
+    Features are the slots whose presence in a document tells most about its label; bags ``thinned`` to these give the
+    same model.  Without a toxic or without a clean document, or without a telling word, the model is constant at the
+    labels' mean over bags with words.
     """
     labels = np.asarray(labels, np.float64)
-    all_, pos, sentences = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(len(bags), np.int64)
-    for i, bag in enumerate(bags):  # bag by bag, so that memory holds little more than the bags
-        words = np.frombuffer(bag, np.uint32)
-        sentences[i] = np.count_nonzero(words & _NEW)
-        seen = np.unique(words & ~_NEW)
-        all_[seen] += 1
-        pos[seen] += labels[i]
+    sentences = np.array([np.count_nonzero(np.frombuffer(bag, np.uint32) & _NEW) for bag in bags], np.int64)
     of = np.repeat(np.arange(len(bags)), sentences)
     n, toxic = max(len(labels), 1), float(labels.sum())
     none = np.zeros(0, np.int64)
-
-    def gain(k, m):  # log-likelihood of k toxic in m documents, at their own rate
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.nan_to_num(k * np.log(k / m)) + np.nan_to_num((m - k) * np.log1p(-k / m))
-
-    told = gain(pos, all_) + gain(toxic - pos, n - all_) - gain(toxic, n)
-    chosen = np.flatnonzero(2 * told >= MIN_GAIN)
+    chosen = np.flatnonzero(telling(*slot_counts(bags, labels), n, toxic))
     if not len(of) or not 0 < toxic < n or not len(chosen):
         rate = min(max(toxic / n, 1e-9), 1 - 1e-9)
         per = max(len(of) / n, 1.0)
         return Model(none, np.zeros(0), float(np.log(np.expm1(-np.log1p(-rate) / per))))
-    at = np.full(SLOTS, -1)
+    at = np.full(SLOTS + 1, -1)
     at[chosen] = np.arange(len(chosen))
     features, rows = [none], [none]
     for bag, first in zip(bags, (np.cumsum(sentences) - sentences).tolist(), strict=True):
@@ -152,10 +169,14 @@ def train(bags: list[bytes], labels: np.ndarray) -> Model:
     counts = weights_of(labels)
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, ROUNDS + 1):
-        z = b + np.bincount(row, w[feature], len(of))
+        z = np.bincount(row, w[feature], len(of))  # changed in place: there are as many as sentences
+        z += b
         total = np.bincount(of, softplus(z), len(labels))
         slope = counts * ((1 - labels) - labels / np.clip(np.expm1(np.minimum(total, 700)), 1e-6, None))  # of the loss, by the bag's total
-        g = slope[of] / (1 + np.exp(-np.maximum(z, -700)))
+        np.exp(np.negative(np.maximum(z, -700, out=z), out=z), out=z)
+        z += 1
+        g = slope[of]
+        g /= z
         step = np.append(np.bincount(feature, g[row], len(chosen)) + DECAY * w, g.sum())
         m, v = 0.9 * m + 0.1 * step, 0.99 * v + 0.01 * step * step
         move = 0.1 * (1 - t / (ROUNDS + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -181,7 +202,7 @@ def calibrated(model: Model, bags: list[bytes], labels: np.ndarray) -> Model:
     toxic, clean = labels.sum(), (1 - labels).sum()
     if not toxic or not clean or not len(model.slots):
         return model
-    table = model.table()
+    table = np.append(model.table(), 0.0)  # of _NO_WORD
     totals = np.array([total_of(bag, table, model.bias) for bag in bags])
     order = np.argsort(-totals, kind="stable")
     ranked = totals[order]
@@ -194,13 +215,18 @@ def calibrated(model: Model, bags: list[bytes], labels: np.ndarray) -> Model:
     return Model(model.slots, model.weights, model.bias, float(np.log(2) / max(edge, 1e-12)))
 
 
+def parted(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bags are fitted, all but every CALIBRATE-th, and which calibrate, those; all where the ones in question lack a label."""
+    last = np.arange(len(labels)) % CALIBRATE == CALIBRATE - 1
+    mixed = lambda mask: 0 < labels[mask].sum() < mask.sum()
+    every = np.ones(len(labels), bool)
+    return ~last if mixed(~last) else every, last if mixed(last) else every
+
+
 def train_calibrated(bags: list[bytes], labels: np.ndarray) -> Model:
-    """``train`` on all but every CALIBRATE-th bag, ``calibrated`` on those, or on all where those lack a label."""
+    """``train`` and ``calibrated`` on the bags that are ``parted`` for each."""
     labels = np.asarray(labels)
-    last = np.arange(len(bags)) % CALIBRATE == CALIBRATE - 1
-    mixed = lambda mask: 0 < labels[mask].sum() < mask.sum()
-    fitted = ~last if mixed(~last) else np.ones(len(bags), bool)
-    judged = last if mixed(last) else np.ones(len(bags), bool)
+    fitted, judged = parted(labels)
     of = lambda mask: [bag for bag, m in zip(bags, mask, strict=True) if m]
     return calibrated(train(of(fitted), labels[fitted]), of(judged), labels[judged])
 
@@ -222,17 +248,56 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     packed = found.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, toxic int, bag binary")
     one = packed.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("bag").alias("bag"))  # at most ``rows``
-    before = F.sum(F.length("bag")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    got = one.withColumn("before", before).where(F.col("before") <= FIT_BYTES).select("toxic", "bag").toArrow()
-    bags, toxic = got["bag"].to_pylist(), got["toxic"].to_pylist()
-    del got
-    order = sorted(range(len(bags)), key=lambda i: (hash_bag(bags[i]), toxic[i]))
-    return train_calibrated([bags[i] for i in order], np.array([toxic[i] for i in order], np.int64))
-
-
-def hash_bag(bag: bytes) -> int:
-    """An order of bags that doesn't depend on how Spark delivered them."""
-    return zlib.crc32(bag)
+    kept, folder = stored(few_tasks(one, rows), "fit")
+    sizes = kept.select("doc_id", "toxic", F.crc32("bag").alias("crc"), F.length("bag").alias("size"))
+    before = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # in an order of bags that doesn't depend on how Spark delivered them
+    got = sizes.withColumn("before", before).where(F.col("before") <= FIT_BYTES).orderBy("crc", "toxic", F.xxhash64("doc_id"), "doc_id").select("doc_id", "toxic").toArrow()
+    doc_ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
+    chosen = chosen_slots(kept, doc_ids, toxic)
+    bags = thinned_bags(kept, doc_ids, chosen)
+    remove_dir(docs.sparkSession, folder)
+    return train_calibrated(bags, toxic)
+
+
+def chosen_slots(kept: DataFrame, doc_ids: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The slots that tell enough about the labels ``toxic`` of the documents ``doc_ids`` that are fitted, ascending; their bags are in ``kept``."""
+    fitted = parted(toxic)[0]
+    mine, n, positive = np.sort(doc_ids[fitted]), max(int(fitted.sum()), 1), float(toxic[fitted].sum())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.flatnonzero(np.isin(batch.column("doc_id").to_numpy(), mine))
+            all_, pos = slot_counts((batch.column("bag")[i].as_buffer() for i in at.tolist()), batch.column("toxic").to_numpy()[at])
+            seen = np.flatnonzero(all_)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(all_[seen]), pa.array(pos[seen])], ["slot", "n", "k"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = telling(batch.column("n").to_numpy(), batch.column("k").to_numpy(), n, positive)
+            yield pa.RecordBatch.from_arrays([batch.column("slot").filter(pa.array(told))], ["slot"])
+
+    counts = kept.mapInArrow(count, "slot bigint, n double, k double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    return np.sort(few_tasks(counts, SLOTS).mapInArrow(choose, "slot bigint").toArrow()["slot"].to_numpy())
+
+
+def thinned_bags(kept: DataFrame, doc_ids: np.ndarray, chosen: np.ndarray) -> list[bytes]:
+    """The bags of ``doc_ids`` in ``kept``, thinned to the chosen slots, in the order of doc_ids."""
+    order = np.argsort(doc_ids)
+    ranked = doc_ids[order]
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(SLOTS, bool)
+        flags[chosen] = True
+        for batch in batches:
+            doc_id = batch.column("doc_id").to_numpy()
+            at = np.flatnonzero(np.isin(doc_id, ranked))
+            bags = pa.array([thinned(batch.column("bag")[i].as_buffer(), flags) for i in at.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(order[np.searchsorted(ranked, doc_id[at])]), bags], ["place", "bag"])
+
+    got = kept.mapInArrow(thin, "place bigint, bag binary").toArrow()
+    bags = got["bag"].to_pylist()
+    return [bags[i] for i in np.argsort(got["place"].to_numpy())]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -254,3 +254,14 @@ def test_near_copies_that_do_not_link_are_compared_together():
                 plain.join(i, j)
     assert [sets.find(i) for i in range(200)] == [plain.find(i) for i in range(200)]
     assert trie.visited < 200 * 20
+
+
+def test_tables_of_known_size_are_not_counted_again(spark, documents, monkeypatch):
+    """Each count runs its plan once more, joins and broadcasts included, and the driver pays for it."""
+    rows, asked = corpus(7), []
+    frame = type(spark.range(0))
+    limit = frame.limit
+    monkeypatch.setattr(frame, "limit", lambda self, n: asked.append(n) or limit(self, n))
+    got = J.links(documents(rows), 3, 90).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 3, 90)
+    assert J.BROADCAST_ROWS + 1 not in asked

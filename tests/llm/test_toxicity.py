@@ -142,3 +142,36 @@ def test_repeated_ids_don_t_lengthen_the_sample(spark, documents):
     finally:
         T.train_calibrated = real
     assert seen == [5]
+
+
+def test_driver_gets_telling_words_only(spark, documents, monkeypatch):
+    """The same model as from whole bags, though few of their words travel."""
+    rows = [(i, text + " filler of words that tell nothing" * 20, toxic) for i, text, toxic in corpus(900)]
+    whole = [T.pack(text.encode()) for _, text, _ in rows]
+    order = sorted(range(len(rows)), key=lambda i: (zlib.crc32(whole[i]), rows[i][2]))
+    want = T.train_calibrated([whole[i] for i in order], np.array([rows[i][2] for i in order]))
+    seen, train = [], T.train_calibrated
+    monkeypatch.setattr(T, "train_calibrated", lambda bags, toxic: seen.append(sum(map(len, bags))) or train(bags, toxic))
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id bigint, quality int, toxic int")
+    got = T.fit(documents([(i, text) for i, text, _ in rows]).repartition(5), labels)
+    assert len(seen) == 1 and seen[0] < 0.2 * sum(map(len, whole))
+    assert got.slots.tolist() == want.slots.tolist() and len(want.slots) and got.weights.tolist() == want.weights.tolist()
+    assert (got.bias, got.power) == (want.bias, want.power)
+
+
+def test_fit_keeps_within_its_bytes(spark, documents, monkeypatch):
+    """Bags are left out beyond FIT_BYTES of whole words, in the order of the hash, as before thinning."""
+    rows = corpus(300)
+    bags = {i: T.pack(text.encode()) for i, text, _ in rows}
+    monkeypatch.setattr(T, "FIT_BYTES", sum(map(len, bags.values())) // 2)
+    seen = []
+    monkeypatch.setattr(T, "train_calibrated", lambda bags, toxic: seen.append(toxic))
+    T.fit(documents([(i, text) for i, text, _ in rows]), spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id bigint, quality int, toxic int"))
+    order = [r.id for r in spark.range(300).selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").collect()]
+    kept, total = [], 0
+    for i in order:
+        total += len(bags[i])
+        if total <= T.FIT_BYTES:
+            kept.append(i)
+    label = {i: t for i, _, t in rows}
+    assert seen[0].tolist() == [label[i] for i in sorted(kept, key=lambda i: (zlib.crc32(bags[i]), label[i]))]
